@@ -45,8 +45,8 @@ def ua_features() -> dict[str, Column]:
     agent = text("user_agent")
     return {
         "ua_length": F.length(agent),
-        "is_bot_ua": _flag(contains(agent, V.BOT_WORDS)),
-        "is_legitimate_bot": _flag(contains(agent, V.SEARCH_BOTS)),
+        "is_bot_ua": _flag(contains(agent, *V.BOT_WORDS)),
+        "is_legitimate_bot": _flag(contains(agent, *V.SEARCH_BOTS)),
         "is_empty_ua": _flag(agent.isin("", "-")),
     }
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logsieve.session import work_dir
+from logsieve.sources.tables import stored
+
 RANGES = 256
 
 
@@ -18,17 +21,19 @@ def counts_below(
 ) -> DataFrame:
     """One row per (group, value): each count, and ``<count>_below``, its sum over smaller values of the group.
 
-    Range bounds are approximate quantiles of the distinct values. They only balance the tasks: whatever bounds
-    come out, the sums are exact.
+    The counted values are written to the shared folder once, so that ``df`` is scanned a single time. Range
+    bounds are approximate quantiles of the distinct values. They only balance the tasks: whatever bounds come
+    out, the sums are exact.
     """
-    per_value = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         *[c.alias(name) for name, c in counts.items()]
     )
+    per_value = stored(counted, work_dir(df.sparkSession))
     marks = [i / RANGES for i in range(1, RANGES)]
     bounds = per_value.agg(F.percentile_approx(value, marks, F.lit(10_000))).scalar()
     # Place of the value among the bounds. No lambda here: the optimizer would inline a costly value into it.
     place = F.array_position(F.sort_array(F.array_append(bounds, F.col(value))), F.col(value))
-    ranged = per_value.withColumn("_range", place)
+    ranged = per_value.withColumn("_range", F.coalesce(place, F.lit(0)))
 
     by_range = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = (
@@ -68,17 +73,14 @@ def distribution(
     """Per group: n, mean, sample deviation, min, max and linearly interpolated quantiles."""
     number = F.col(value).cast("double")
     ranked = counts_below(df.select(group, number.alias("_v")), "_v", {"n": F.count("*")}, [group])
-    moments = df.groupBy(group).agg(
-        F.count(number).alias("n"),
-        F.avg(number).alias("mean"),
-        F.stddev_samp(number).alias("std"),
-        F.min(number).alias("min"),
-        F.max(number).alias("max"),
-    )
     # One row per group of a label column.
-    placed = ranked.select(group, "_v", "n", "n_below").join(
-        F.broadcast(moments.select(group, F.col("n").alias("_total"))), group
+    totals = ranked.groupBy(group).agg(
+        F.sum("n").alias("_total"),
+        (F.sum(F.col("n") * F.col("_v")) / F.sum("n")).alias("_mean"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
     )
+    placed = ranked.join(F.broadcast(totals), group)
 
     def at(position: Column) -> Column:
         here = (F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n"))
@@ -92,17 +94,22 @@ def distribution(
             at(F.ceil(spot)).alias(f"_hi{i}"),
             F.max(spot - F.floor(spot)).alias(f"_w{i}"),
         ]
-    picked = placed.groupBy(group).agg(*picks)
+    squares = F.sum(F.col("n") * F.pow(F.col("_v") - F.col("_mean"), 2))
+    picked = placed.groupBy(group, "_total", "_mean", "_min", "_max").agg(squares.alias("_squares"), *picks)
+    deviation = F.when(F.col("_total") > 1, F.sqrt(F.col("_squares") / (F.col("_total") - 1)))
     named = [
         F.round(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}"), 6).alias(
             f"p{int(round(q * 100))}"
         )
         for i, q in enumerate(quantiles)
     ]
-    return moments.join(F.broadcast(picked), group).select(
+    return picked.select(
         group,
-        "n",
-        *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")],
+        F.col("_total").alias("n"),
+        F.round("_mean", 6).alias("mean"),
+        F.round(deviation, 6).alias("std"),
+        F.round("_min", 6).alias("min"),
+        F.round("_max", 6).alias("max"),
         *named,
     )
 

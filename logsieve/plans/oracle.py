@@ -58,7 +58,9 @@ req AS (SELECT *, coalesce(path, '') AS p, coalesce(user_agent, '') AS a, coales
     coalesce(path, '') || ' ' || coalesce(referer, '') AS pf FROM log)"""
 
 FIELD = {"path": "p", "user_agent": "a", "path_ref": "pf"}
-RULES = [(n, FIELD[f], p.replace("{host}", SITE_HOST.replace(".", r"\."))) for n, f, p in V.LABEL_RULES]
+RULES = [
+    (n, FIELD[f], "|".join(patterns).replace("{host}", SITE_HOST.replace(".", r"\."))) for n, f, patterns in V.LABEL_RULES
+]
 LABELED = LOG + f""",
 classed AS (SELECT *, CASE {' '.join(f"WHEN {like(c, p)} THEN '{n}'" for n, c, p in RULES)} ELSE 'normal' END
     AS attack_type FROM req),
@@ -135,8 +137,8 @@ URL_SQL = {
 }
 UA_SQL = {
     "ua_length": "length(a)",
-    "is_bot_ua": flag(like("a", V.BOT_WORDS)),
-    "is_legitimate_bot": flag(like("a", V.SEARCH_BOTS)),
+    "is_bot_ua": flag(like("a", *V.BOT_WORDS)),
+    "is_legitimate_bot": flag(like("a", *V.SEARCH_BOTS)),
     "is_empty_ua": flag("a IN ('', '-')"),
 }
 REQUEST_SQL = {

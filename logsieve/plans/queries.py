@@ -18,7 +18,7 @@ from logsieve.functions.requests import (
     url_features,
 )
 from logsieve.functions.rules import label_rules, text
-from logsieve.operators import audit, bans, coverage, distribution, learning, metrics, reports, sampling
+from logsieve.operators import audit, bans, coverage, distribution, labeling, learning, metrics, reports, sampling
 from logsieve.operators.features import align_features, feature_table, select_profile
 from logsieve.operators.joins import join_labels
 from logsieve.operators.labeling import exclude_classes, repair_counts, repair_labels, rule_flag
@@ -26,6 +26,7 @@ from logsieve.operators.windows import add_previous_path, add_window_features
 from logsieve.plans import tables
 from logsieve.session import work_dir
 from logsieve.sources import artifacts, derived, logs
+from logsieve.sources import tables as stored_tables
 from logsieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +68,8 @@ def parse_stats(spark: SparkSession, sf: str) -> DataFrame:
 def table_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled table written partitioned by site and read back with pruned columns."""
     target = f"{work_dir(spark)}/labeled-{tables.run_id()}"
-    artifacts.write_table(tables.labeled(spark, sf), target)
-    table = artifacts.read_table(spark, target, ["source", "attack_type", "size"])
+    stored_tables.write_table(tables.labeled(spark, sf), target)
+    table = stored_tables.read_table(spark, target, ["source", "attack_type", "size"])
     return table.groupBy("source", "attack_type").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
@@ -123,8 +124,8 @@ def _label_flag(name: str) -> Query:
     return run
 
 
-for _rule in label_rules():
-    QUERIES[f"label_{_rule.name}"] = _label_flag(_rule.name)
+for _class, _, _ in V.LABEL_RULES:
+    QUERIES[f"label_{_class}"] = _label_flag(_class)
 
 
 @query
@@ -179,7 +180,7 @@ def audit_residual(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_first_match(spark: SparkSession, sf: str) -> DataFrame:
-    matched = coverage.match_first_rule(tables.cleaned(spark, sf))
+    matched = tables.first_rules(spark, sf)
     return matched.select("row_id", F.col("blocked").cast("int").alias("blocked"), "rule_type", "matched")
 
 
@@ -201,7 +202,7 @@ def rule_match_old_new(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def missed_probes(spark: SparkSession, sf: str) -> DataFrame:
-    matched = coverage.match_first_rule(tables.cleaned(spark, sf))
+    matched = tables.first_rules(spark, sf)
     return audit.missed_probes(matched.filter((F.col("is_attack") == 1) & ~F.col("blocked")))
 
 
@@ -223,7 +224,7 @@ def payload_missed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.rule_coverage(coverage.match_first_rule(tables.cleaned(spark, sf)))
+    return coverage.rule_coverage(tables.first_rules(spark, sf))
 
 
 @query
@@ -553,7 +554,7 @@ def train_serve_skew(spark: SparkSession, sf: str) -> DataFrame:
     served = {**scalar_features("serve"), **{f: F.lit(0) for f in V.WINDOW_FEATURES}}
     names = PROFILES["v3"]
     both = feature_table(
-        tables.labeled(spark, sf), "train", extra={f"serve_{n}": served[n] for n in names}, keep=[]
+        labeling.label_requests(derived.access_log(spark, sf)), "train", extra={f"serve_{n}": served[n] for n in names}, keep=[]
     )
     wide = both.agg(
         *[F.avg(n).alias(f"t_{n}") for n in names], *[F.avg(f"serve_{n}").alias(f"s_{n}") for n in names]
@@ -655,7 +656,7 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
 def _training_table(spark: SparkSession, sf: str, mode: str = "constant") -> DataFrame:
     """Feature table with its split, written once: training reads it many times and must survive lost executors."""
     table = sampling.split_three(feature_table(tables.cleaned(spark, sf, mode), "train"))
-    return artifacts.stored(table, work_dir(spark))
+    return stored_tables.stored(table, work_dir(spark))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.hashing import md5_number
 from logsieve.functions.rules import blacklisted
-from logsieve.operators.coverage import label_text, match_old_new, with_uri
+from logsieve.operators.coverage import label_text, match_first_rule, match_old_new, with_uri
 from logsieve.operators.features import feature_table
 from logsieve.operators.labeling import exclude_classes, label_requests, repair_labels
 from logsieve.sources import derived
@@ -18,17 +18,31 @@ def run_id() -> str:
     return uuid.uuid4().hex
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """Evaluate costly columns where they are made, once per row.
+
+    A filter on a label would otherwise be pushed below the projection that computes it, and run all its patterns
+    a second time. Labels read from a stored table need none of this.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_once")).select(*rest, "_once.*")
+
+
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
-    return label_requests(derived.access_log(spark, sf))
+    return once(label_requests(derived.access_log(spark, sf)), "attack_type", "is_attack")
+
+
+def _cleaned(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    return repair_labels(exclude_classes(labeled(spark, sf), "seo_spam"), mode)
 
 
 def cleaned(spark: SparkSession, sf: str, mode: str = "constant") -> DataFrame:
     """Labelled requests without bulk spam, missed labels repaired."""
-    return repair_labels(exclude_classes(labeled(spark, sf), "seo_spam"), mode)
+    return once(_cleaned(spark, sf, mode), "attack_type", "is_attack")
 
 
 def features(spark: SparkSession, sf: str, profile: str = "train") -> DataFrame:
-    return feature_table(labeled(spark, sf), profile)
+    return feature_table(label_requests(derived.access_log(spark, sf)), profile)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +51,11 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored_features(spark: SparkSession, sf: str) -> DataFrame:
     """Scored requests with their features, as the false-positive reports need them."""
-    return derived.scored(feature_table(cleaned(spark, sf), "train"))
+    return derived.scored(feature_table(_cleaned(spark, sf, "constant"), "train"))
+
+
+def first_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return once(match_first_rule(cleaned(spark, sf)), "blocked", "rule_type", "matched")
 
 
 def typed_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +63,7 @@ def typed_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return match_old_new(cleaned(spark, sf))
+    return once(match_old_new(cleaned(spark, sf)), "old_blocked", "new_blocked")
 
 
 def replay(spark: SparkSession, sf: str) -> DataFrame:

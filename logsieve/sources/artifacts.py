@@ -1,7 +1,6 @@
 """Sinks and read-back of tables, reports and models."""
 
 import json
-import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -14,24 +13,6 @@ from logsieve.operators.learning import Trained
 FEATURE_LIST = "features.json"
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("source",)) -> None:
-    """Large tables: Parquet, one folder per site, written by all tasks."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.select(*columns) if columns else table
-
-
-def stored(df: DataFrame, folder: str) -> DataFrame:
-    """Write ``df`` once under ``folder`` (shared storage) and read it back: a cut in lineage that lost executors
-    cannot undo."""
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def write_csv_report(report: DataFrame, path: str, files: int | None = None) -> None:
     """CSV with a header; ``files=1`` for reports of a few rows that people open by hand."""
     out = report.coalesce(files) if files else report

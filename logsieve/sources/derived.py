@@ -29,9 +29,19 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
+def _spread(table: DataFrame, key: str) -> DataFrame:
+    """Spread a table that fits in one read task over all cores; anything larger is read in parallel anyway."""
+    spark = table.sparkSession
+    one_task = 16 * 1024 * 1024
+    if table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > one_task:
+        return table
+    return table.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event; time runs 3000 times faster, so that a minute holds several requests of a client."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    events = _spread(events, "event_id")
     hashed = events.select(
         F.col("event_id").alias("row_id"),
         "user_id",
@@ -101,7 +111,7 @@ def predicted_class(requests: DataFrame) -> DataFrame:
 def rule_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to test rules with: every page's own path, and one corpus request drawn for every page."""
     corpus = [(name, uri) for name, uris in V.PAYLOADS.items() for uri in uris]
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = _spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id")
     drawn = F.struct(
         _pick([name for name, _ in corpus], md5_number("corpus", "page_id")).alias("class"),
         _pick([uri for _, uri in corpus], md5_number("corpus", "page_id")).alias("uri"),
