@@ -50,6 +50,8 @@ def main() -> None:
         spark__sql__shuffle__partitions=CPUS,
         spark__ui__enabled="false",
         spark__driver__memory="16g",
+        # 100,000 rows: let small shuffles keep all cores busy
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
     )
     spark.sparkContext.setLogLevel("OFF")
     timings: dict[str, float] = {}

@@ -56,15 +56,11 @@ def breakdown(df: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
     return joined.select("dimension", "value", "n", F.round(F.col("n") / F.col("_total"), 6).alias("share"))
 
 
-def group_means(
-    df: DataFrame, features: Sequence[str], left: Column, right: Column, names: tuple[str, str]
-) -> DataFrame:
-    """Mean of every feature over two row groups, in one aggregation of one scan."""
-    aggregated = df.agg(
-        *[F.avg(F.when(left, F.col(f))).alias(f"l_{f}") for f in features],
-        *[F.avg(F.when(right, F.col(f))).alias(f"r_{f}") for f in features],
-    )
-    return to_rows(
-        aggregated,
-        [{"feature": F.lit(f), names[0]: F.col(f"l_{f}"), names[1]: F.col(f"r_{f}")} for f in features],
+def group_means(df: DataFrame, features: Sequence[str], left: str, right: str, names: tuple[str, str]) -> DataFrame:
+    """Mean of every feature over two row groups (SQL conditions), in one aggregation of one scan."""
+    aggregated = df.selectExpr(
+        *[f"avg(CASE WHEN {left} THEN {f} END) AS l_{f}" for f in features],
+        *[f"avg(CASE WHEN {right} THEN {f} END) AS r_{f}" for f in features],
     )
+    rows = ", ".join(f"'{f}', l_{f}, r_{f}" for f in features)
+    return aggregated.selectExpr(f"stack({len(features)}, {rows}) AS (feature, {names[0]}, {names[1]})")

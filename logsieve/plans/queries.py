@@ -494,7 +494,7 @@ def rule_priority(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fp_tn_means(spark: SparkSession, sf: str) -> DataFrame:
     means = reports.group_means(
-        tables.scored_features(spark, sf), V.FP_COMPARE_FEATURES, F.expr(FP), F.expr(TN), ("fp_mean", "tn_mean")
+        tables.scored_features(spark, sf), V.FP_COMPARE_FEATURES, FP, TN, ("fp_mean", "tn_mean")
     )
     return means.select(
         "feature",
@@ -506,9 +506,8 @@ def fp_tn_means(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_means(spark: SparkSession, sf: str) -> DataFrame:
-    normal, attack = F.col("is_attack") == 0, F.col("is_attack") == 1
     means = reports.group_means(
-        tables.features(spark, sf), PROFILES["v3"], normal, attack, ("normal_mean", "attack_mean")
+        tables.features(spark, sf), PROFILES["v3"], "is_attack = 0", "is_attack = 1", ("normal_mean", "attack_mean")
     )
     floor = F.greatest(F.abs("normal_mean"), F.lit(0.001))
     return means.select(

@@ -3,7 +3,7 @@
 Each request is a function of one event, so these tables grow with their input; no join or shuffle is involved.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
@@ -25,8 +25,22 @@ USER_AGENTS = [
 ]
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+PAGES = "page_id long, url string"
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _pick(values: list[str], index: str) -> str:
+    """SQL for the entry of a fixed list at ``index`` modulo its length."""
+    return f"element_at(array({', '.join(map(_quoted, values))}), CAST({index} % {len(values)} + 1 AS INT))"
+
+
+def _hash(salt: str, key: str) -> str:
+    """SQL for the same number as ``md5_number``."""
+    return f"CAST(conv(substr(md5(concat('{salt}', CAST({key} AS STRING))), 1, 8), 16, 10) AS LONG)"
 
 
 def _spread(table: DataFrame, key: str) -> DataFrame:
@@ -40,41 +54,27 @@ def _spread(table: DataFrame, key: str) -> DataFrame:
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event; time runs 3000 times faster, so that a minute holds several requests of a client."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    events = _spread(events, "event_id")
-    hashed = events.select(
-        F.col("event_id").alias("row_id"),
+    events = _spread(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), "event_id")
+    hashed = events.selectExpr(
+        "event_id AS row_id",
         "user_id",
         "event_type",
-        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)").alias("us"),
-        *[md5_number(salt, "event_id").alias(f"h{salt}") for salt in ("p", "u", "s", "r")],
-    )
-    status = (
-        F.when(F.col("event_type") != "error", 200)
-        .when(F.col("hs") % 5 == 0, 403)
-        .when(F.col("hs") % 5 == 1, 444)
-        .when(F.col("hs") % 5 == 2, 500)
-        .otherwise(404)
-    )
-    method = (
-        F.when(F.col("event_type") == "signup", "POST")
-        .when(F.col("event_type") == "purchase", "PUT")
-        .when(F.col("event_type") == "error", "HEAD")
-        .otherwise("GET")
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) AS us",
+        *[f"{_hash(salt, 'event_id')} AS h{salt}" for salt in ("p", "u", "s", "r")],
     )
-    return hashed.select(
+    return hashed.selectExpr(
         "row_id",
-        F.expr("concat('10.0.', user_id DIV 256, '.', user_id % 256)").alias("ip"),
-        F.expr("1704067200 + us DIV 3000000000").alias("event_s"),
-        method.alias("method"),
-        F.when(F.col("hp") % 97 != 0, _pick(PATHS, F.col("hp"))).alias("path"),
-        status.alias("status"),
-        (F.col("hs") % 20000).alias("size"),
-        F.when(F.col("hr") % 3 == 0, "-")
-        .when(F.col("hr") % 3 == 2, f"https://www.{SITE_HOST}/")
-        .alias("referer"),
-        _pick(USER_AGENTS, F.col("hu")).alias("user_agent"),
-        F.when(F.col("hr") % 10 == 0, "data").otherwise("www").alias("source"),
+        "concat('10.0.', user_id DIV 256, '.', user_id % 256) AS ip",
+        "1704067200 + us DIV 3000000000 AS event_s",
+        "CASE event_type WHEN 'signup' THEN 'POST' WHEN 'purchase' THEN 'PUT' WHEN 'error' THEN 'HEAD' ELSE 'GET' END "
+        "AS method",
+        f"CASE WHEN hp % 97 <> 0 THEN {_pick(PATHS, 'hp')} END AS path",
+        "CASE WHEN event_type <> 'error' THEN 200 WHEN hs % 5 = 0 THEN 403 WHEN hs % 5 = 1 THEN 444 "
+        "WHEN hs % 5 = 2 THEN 500 ELSE 404 END AS status",
+        "hs % 20000 AS size",
+        f"CASE hr % 3 WHEN 0 THEN '-' WHEN 2 THEN 'https://www.{SITE_HOST}/' END AS referer",
+        f"{_pick(USER_AGENTS, 'hu')} AS user_agent",
+        "CASE WHEN hr % 10 = 0 THEN 'data' ELSE 'www' END AS source",
     )
 
 
@@ -111,15 +111,11 @@ def predicted_class(requests: DataFrame) -> DataFrame:
 def rule_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to test rules with: every page's own path, and one corpus request drawn for every page."""
     corpus = [(name, uri) for name, uris in V.PAYLOADS.items() for uri in uris]
-    pages = _spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id")
-    drawn = F.struct(
-        _pick([name for name, _ in corpus], md5_number("corpus", "page_id")).alias("class"),
-        _pick([uri for _, uri in corpus], md5_number("corpus", "page_id")).alias("uri"),
-    )
-    own = F.struct(
-        F.lit("page").alias("class"),
-        F.concat(F.lit("/"), F.regexp_extract("url", r"^[a-z]+://[^/]*/?(.*)$", 1)).alias("uri"),
-    )
-    return pages.select("page_id", F.explode(F.array(drawn, own)).alias("r")).select(
-        "page_id", F.col("r.class").alias("class"), F.col("r.uri").alias("uri")
+    pages = _spread(spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    slot = _hash("corpus", "page_id")
+    drawn = (
+        f"named_struct('class', {_pick([name for name, _ in corpus], slot)}, "
+        f"'uri', {_pick([uri for _, uri in corpus], slot)})"
     )
+    own = "named_struct('class', 'page', 'uri', concat('/', regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1)))"
+    return pages.selectExpr("page_id", f"explode(array({drawn}, {own})) AS r").selectExpr("page_id", "r.class", "r.uri")
