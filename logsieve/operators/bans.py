@@ -18,17 +18,17 @@ def rate_limited(df: DataFrame, limit: int = V.RATE_LIMIT_PER_MINUTE, seconds: i
     )
 
 
-def ban_windows(
-    df: DataFrame, errors: int = V.BAN_AFTER_ERRORS, period: int = V.BAN_SECONDS, ban: int = V.BAN_SECONDS
-) -> DataFrame:
-    """Bans ``[ban_start, ban_end)`` per client: at ``errors`` 4xx within ``period`` a ban of ``ban`` seconds
-    starts, and a new trigger inside it extends it.
+def error_seconds(df: DataFrame) -> DataFrame:
+    """4xx answers per client and second: at most one row per second whatever a client sends."""
+    failed = df.filter(F.col("status").between(400, 499) & F.col("event_s").isNotNull())
+    return failed.groupBy("ip", "event_s").agg(F.count("*").alias("n"))
 
-    Errors are counted per client and second first, so a client is at most one row per second afterwards. Each
-    such row holds an error, so the last ``errors`` rows are enough to decide whether the period holds that many.
+
+def ban_triggers(per_second: DataFrame, errors: int, period: int) -> DataFrame:
+    """Seconds at which a client reaches ``errors`` within ``period``.
+
+    Each row holds an error, so the last ``errors`` rows are enough to decide whether the period holds that many.
     """
-    failed = df.filter(F.col("status").between(400, 499) & F.col("event_s").isNotNull())
-    per_second = failed.groupBy("ip", "event_s").agg(F.count("*").alias("n"))
     client = W.partitionBy("ip").orderBy("event_s")
     recent = F.collect_list(F.struct("event_s", "n")).over(client.rowsBetween(-(errors - 1), W.currentRow))
     in_period = F.aggregate(
@@ -36,7 +36,12 @@ def ban_windows(
         F.lit(0).cast("long"),
         lambda total, r: total + F.when(r["event_s"] > F.col("event_s") - period, r["n"]).otherwise(0),
     )
-    triggers = per_second.withColumn("recent", recent).filter(in_period >= errors).select("ip", "event_s")
+    return per_second.withColumn("recent", recent).filter(in_period >= errors).select("ip", "event_s")
+
+
+def merge_triggers(triggers: DataFrame, ban: int) -> DataFrame:
+    """Bans of triggers less than ``ban`` apart joined into one. ``since`` is the start of a ban already running."""
+    client = W.partitionBy("ip").orderBy("event_s")
     fresh = (F.col("event_s") - F.lag("event_s").over(client) >= ban).cast("int")
     island = F.sum(F.coalesce("fresh", F.lit(0))).over(client.rowsBetween(W.unboundedPreceding, W.currentRow))
     return (
@@ -44,7 +49,7 @@ def ban_windows(
         .withColumn("island", island)
         .groupBy("ip", "island")
         .agg(
-            F.min("event_s").alias("ban_start"),
+            F.min(F.least("since", "event_s")).alias("ban_start"),
             (F.max("event_s") + ban).alias("ban_end"),
             F.count("*").alias("triggers"),
         )
@@ -52,6 +57,15 @@ def ban_windows(
     )
 
 
+def ban_windows(
+    df: DataFrame, errors: int = V.BAN_AFTER_ERRORS, period: int = V.BAN_SECONDS, ban: int = V.BAN_SECONDS
+) -> DataFrame:
+    """Bans ``[ban_start, ban_end)`` per client: at ``errors`` 4xx within ``period`` a ban of ``ban`` seconds
+    starts, and a new trigger inside it extends it."""
+    triggers = ban_triggers(error_seconds(df), errors, period)
+    return merge_triggers(triggers.withColumn("since", F.col("event_s")), ban)
+
+
 def mark_banned(df: DataFrame, bans: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     """Add ``banned``, 1 for requests inside a ban of their client.
 

@@ -4,17 +4,16 @@ Each job takes its source as a streaming DataFrame or a folder, keeps its progre
 storage, and by default drains what is there and stops (``availableNow``).
 """
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logsieve.functions import fixed_values as V
 from logsieve.functions.rules import Rule
+from logsieve.operators.bans import ban_triggers, error_seconds, merge_triggers
 from logsieve.operators.labeling import label_requests
 from logsieve.operators.windows import add_window_features
 from logsieve.sources.logs import parse_log
@@ -65,48 +64,67 @@ def rate_limit_stream(
     )
 
 
+# --- micro-batches with a carried table --------------------------------------------
+
+
+def _previous(batch: DataFrame, state: str, number: int) -> DataFrame | None:
+    """What the micro-batch before this one carried over."""
+    return batch.sparkSession.read.parquet(f"{state}/batch={number - 1}") if number > 0 else None
+
+
+def _run_batches(
+    stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict[str, Any] | None
+) -> None:
+    (
+        stream.writeStream.foreachBatch(process)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+        .awaitTermination()
+    )
+
+
 # --- bans -------------------------------------------------------------------------
 
 
-def ban_stream(
+def run_ban_stream(
     requests: DataFrame,
+    target: str,
+    state: str,
+    checkpoint: str,
     errors: int = V.BAN_AFTER_ERRORS,
     period: int = V.BAN_SECONDS,
     ban: int = V.BAN_SECONDS,
-    delay: str = "1 minute",
-) -> DataFrame:
-    """One row for each new or extended ban: ``ip, ban_start, ban_end``.
+    trigger: dict[str, Any] | None = None,
+) -> None:
+    """New and extended bans ``ip, ban_start, ban_end`` of each micro-batch of ``ip, event_s, status``.
 
-    Errors are first counted per client and second, so a busy client reaches the stateful step as at most one row
-    per second; its state is the last ``errors`` such seconds.
+    Carried from batch to batch: error counts per client and second of the last ``period``, and the bans that
+    ended no longer ago than that. Outputs are stored by batch number, which makes retries idempotent; the latest
+    row of a (client, start) holds.
     """
-    failed = requests.withWatermark("event_time", delay).filter(F.col("status").between(400, 499))
-    per_second = (
-        failed.groupBy("ip", F.window("event_time", "1 second"))
-        .agg(F.count("*").alias("n"))
-        .select("ip", F.window_time("window").alias("event_time"), F.unix_timestamp("window.start").alias("event_s"), "n")
-    )
 
-    def step(key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        seconds, counts, start, end = state.get if state.exists else ([], [], -1, -1)
-        recent = list(zip(seconds, counts, strict=True))
-        out = []
-        for chunk in chunks:
-            for second, n in chunk.sort_values("event_s")[["event_s", "n"]].itertuples(index=False):
-                recent = [*recent, (int(second), int(n))][-errors:]
-                if sum(c for s, c in recent if s > second - period) >= errors:
-                    start, end = (start if second < end else int(second)), int(second) + ban
-                    out.append((key[0], start, end))
-        state.update(([s for s, _ in recent], [c for _, c in recent], start, end))
-        yield pd.DataFrame(out, columns=["ip", "ban_start", "ban_end"])
-
-    return per_second.groupBy("ip").applyInPandasWithState(
-        step,
-        "ip string, ban_start long, ban_end long",
-        "seconds array<long>, counts array<long>, ban_start long, ban_end long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    def process(batch: DataFrame, number: int) -> None:
+        fresh = error_seconds(batch).select("ip", "event_s", "n", F.lit(None).cast("long").alias("since"))
+        carried = _previous(batch, state, number)
+        known = fresh if carried is None else fresh.unionByName(carried)
+        seconds = known.filter("since IS NULL").groupBy("ip", "event_s").agg(F.sum("n").alias("n"))
+        # A known ban counts as one more trigger, at the second that set its end.
+        running = known.filter("since IS NOT NULL").select("ip", "event_s", "since")
+        triggers = ban_triggers(seconds, errors, period).withColumn("since", F.col("event_s")).unionByName(running)
+        bans = merge_triggers(triggers, ban).select("ip", "ban_start", "ban_end")
+        before = running.select("ip", F.col("since").alias("ban_start"), (F.col("event_s") + ban).alias("ban_end"))
+        changed = bans.join(before, ["ip", "ban_start", "ban_end"], "left_anti")
+        changed.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+        newest = seconds.agg(F.max("event_s")).scalar()
+        keep = seconds.select("ip", "event_s", "n", F.lit(None).cast("long").alias("since")).unionByName(
+            bans.select("ip", (F.col("ban_end") - ban).alias("event_s"), F.lit(0).alias("n"), F.col("ban_start").alias("since"))
+        )
+        recent = F.when(F.col("since").isNull(), F.col("event_s")).otherwise(F.col("event_s") + ban)
+        keep.filter(recent > newest - period).write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    _run_batches(requests.select("ip", "event_s", "status"), process, checkpoint, trigger)
 
 
 # --- live window features ------------------------------------------------------------
@@ -130,11 +148,9 @@ def run_live_features(
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(*REQUEST_COLUMNS).withColumn("is_new", F.lit(True))
-        known = fresh
-        if number > 0:
-            known = fresh.unionByName(spark.read.parquet(f"{state}/batch={number - 1}").withColumn("is_new", F.lit(False)))
+        fresh = batch.withColumn("is_new", F.lit(True))
+        carried = _previous(batch, state, number)
+        known = fresh if carried is None else fresh.unionByName(carried.withColumn("is_new", F.lit(False)))
         add_window_features(known, seconds).filter("is_new").drop("is_new").write.mode("overwrite").parquet(
             f"{target}/batch={number}"
         )
@@ -150,10 +166,4 @@ def run_live_features(
         window = rows.filter(F.col("event_s") > newest - seconds)
         window.unionByName(latest).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-    (
-        requests.writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-        .awaitTermination()
-    )
+    _run_batches(requests.select(*REQUEST_COLUMNS), process, checkpoint, trigger)
