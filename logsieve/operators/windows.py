@@ -21,16 +21,19 @@ def _rows_in_second(df: DataFrame) -> DataFrame:
     """Running values of each row inside its own second. Rows without a time get a cell of their own."""
     cell = W.partitionBy(*CELL).orderBy("row_id")
     so_far = cell.rowsBetween(W.unboundedPreceding, W.currentRow)
-    keyed = df.withColumn("_second", F.coalesce(F.col("event_s"), -1 - F.col("row_id"))).withColumn(
-        "_path", F.coalesce("path", F.lit(""))
+    keyed = df.withColumns(
+        {"_second": F.coalesce(F.col("event_s"), -1 - F.col("row_id")), "_path": F.coalesce("path", F.lit(""))}
     )
-    stepped = (
-        keyed.withColumn("_pos", F.row_number().over(cell))
-        .withColumn("_err", F.sum(F.coalesce((F.col("status") == 404).cast("long"), F.lit(0))).over(so_far))
-        .withColumn("_prev", F.lag("_path").over(cell))
+    is_404 = F.coalesce((F.col("status") == 404).cast("long"), F.lit(0))
+    stepped = keyed.withColumns(
+        {
+            "_pos": F.row_number().over(cell),
+            "_err": F.sum(is_404).over(so_far),
+            "_prev": F.lag("_path").over(cell),
+        }
     )
     repeat = F.coalesce((F.col("_path") == F.col("_prev")).cast("long"), F.lit(0))
-    return stepped.withColumn("_repeat", repeat).withColumn("_repeats", F.sum("_repeat").over(so_far))
+    return stepped.withColumns({"_repeat": repeat, "_repeats": F.sum(repeat).over(so_far)})
 
 
 def _between_seconds(rows: DataFrame, seconds: int) -> DataFrame:

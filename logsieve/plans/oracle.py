@@ -646,3 +646,7 @@ lines AS (SELECT source, {group(5)} AS p, {group(10)} AS a, {group(5)} || ' ' ||
 classed AS (SELECT source, CASE {' '.join(f"WHEN {like(c, p)} THEN '{n}'" for n, c, p in RULES)} ELSE 'normal' END
   AS attack_type FROM lines)""", "SELECT source, attack_type, count(*) AS n FROM classed GROUP BY ALL")
 put("stream_live_features", WINDOWED, f"SELECT row_id, {', '.join(V.WINDOW_FEATURES)} FROM windows")
+put("stream_bans", LOG + "," + BANS, "SELECT ip, ban_start, ban_end FROM bans")
+put("stream_rate_limit", LOG, """
+SELECT ip, event_s // 60 * 60 AS window_start, count(*) AS requests FROM log GROUP BY 1, 2
+HAVING count(*) > 8 AND window_start + 60 <= (SELECT max(event_s) - 60 FROM log)""")

@@ -717,13 +717,40 @@ def stream_label(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/labeled").groupBy("source", "attack_type").agg(F.count("*").alias("n"))
 
 
+def _request_stream(spark: SparkSession, sf: str, base: str) -> DataFrame:
+    """The whole log as a stream of requests."""
+    derived.access_log(spark, sf).select(*jobs.REQUEST_COLUMNS).write.parquet(f"{base}/requests")
+    schema = "row_id long, ip string, event_s long, path string, status int"
+    return spark.readStream.schema(schema).parquet(f"{base}/requests")
+
+
+@query
+def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """Minutes above the limit that the watermark has closed when the log ends."""
+    base = f"{work_dir(spark)}/stream-{tables.run_id()}"
+    timed = _request_stream(spark, sf, base).withColumn("event_time", F.timestamp_seconds("event_s"))
+    jobs.run_to_table(jobs.rate_limit_stream(timed, SMALL_RATE_LIMIT), f"{base}/limits", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/limits")
+
+
+@query
+def stream_bans(spark: SparkSession, sf: str) -> DataFrame:
+    base = f"{work_dir(spark)}/stream-{tables.run_id()}"
+    jobs.run_ban_stream(
+        _request_stream(spark, sf, base),
+        f"{base}/bans",
+        f"{base}/state",
+        f"{base}/checkpoint",
+        SMALL_BAN_ERRORS,
+        SMALL_BAN_PERIOD,
+        SMALL_BAN,
+    )
+    return spark.read.parquet(f"{base}/bans").select("ip", "ban_start", "ban_end")
+
+
 @query
 def stream_live_features(spark: SparkSession, sf: str) -> DataFrame:
     """Window features of the whole log, fed to a stream."""
     base = f"{work_dir(spark)}/stream-{tables.run_id()}"
-    derived.access_log(spark, sf).select(*jobs.REQUEST_COLUMNS).write.parquet(f"{base}/requests")
-    stream = spark.readStream.schema("row_id long, ip string, event_s long, path string, status int").parquet(
-        f"{base}/requests"
-    )
-    jobs.run_live_features(stream, f"{base}/features", f"{base}/state", f"{base}/checkpoint")
+    jobs.run_live_features(_request_stream(spark, sf, base), f"{base}/features", f"{base}/state", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/features").select("row_id", *V.WINDOW_FEATURES)

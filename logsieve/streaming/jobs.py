@@ -9,7 +9,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 from logsieve.functions import fixed_values as V
 from logsieve.functions.rules import Rule
@@ -22,13 +21,15 @@ LINES = "source string, value string"
 REQUEST_COLUMNS = ["row_id", "ip", "event_s", "path", "status"]
 
 
-def _start(stream: DataFrame, target: str, checkpoint: str, trigger: dict[str, Any] | None) -> StreamingQuery:
-    return (
+def run_to_table(stream: DataFrame, target: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> None:
+    """Append the stream to a Parquet table and wait until it stops."""
+    (
         stream.writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
+        .awaitTermination()
     )
 
 
@@ -44,7 +45,7 @@ def run_label_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str, trigger: dict[str, Any] | None = None
 ) -> None:
     lines = spark.readStream.schema(LINES).parquet(source)
-    _start(label_stream(lines), target, checkpoint, trigger).awaitTermination()
+    run_to_table(label_stream(lines), target, checkpoint, trigger)
 
 
 # --- rate limit -------------------------------------------------------------------
