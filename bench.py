@@ -15,16 +15,16 @@ HEADLINE = [
     "repair_labels_typed",
     "audit_patterns",
     "rule_first_match",
-    "rule_match_old_new",
+    "rule_match_oldnew",
     "rule_coverage",
     "rule_compare",
     "payload_coverage",
-    "feature_table_all",
+    "feature_table",
     "feature_table_serve",
     "win_unique_url",
     "split_stratified",
     "balanced_sample",
-    "join_label_columns",
+    "join_labels",
     "ban_interval_join",
     "layered_verdict",
     "threshold_sweep",

@@ -246,7 +246,7 @@ SELECT source, attack_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FR
 put("exclude_class", KEPT, "SELECT row_id, attack_type, is_attack FROM kept")
 for _profile, _names in PROFILES.items():
     put(f"feature_profile_{_profile}", FEATURED, f"SELECT {META}, {', '.join(_names)} FROM features")
-put("align_feature_list", LOG, "SELECT row_id, " + ", ".join(
+put("align_features", LOG, "SELECT row_id, " + ", ".join(
     f"CAST({SCALAR_SQL.get(n, '0')} AS FLOAT) AS {n}" for n in PROFILES["v3"]) + " FROM req")
 put("top_first_segment", LABELED, """
 SELECT CASE WHEN contains(p, '/') THEN split_part(p, '/', 2) ELSE p END AS segment, count(*) AS n
@@ -273,6 +273,8 @@ mix("ua_family_mix", LOG, "log", UA_FAMILY, "family")
 mix("mix_status", LOG, "log", "status", "status")
 mix("mix_method", LOG, "log", "method", "method", "ORDER BY n DESC, method LIMIT 10")
 mix("mix_source", LOG, "log", "source", "source")
+mix("csv_report_round_trip", LABELED, "labeled", "attack_type", "attack_type")
+mix("json_report_round_trip", LABELED, "labeled", "attack_type", "attack_type")
 mix("mix_class", LABELED, "labeled", "attack_type", "attack_type")
 
 # --- rules ----------------------------------------------------------------------------------------
@@ -281,9 +283,9 @@ for _n, _c, _p in RULES:
     put(f"label_{_n}", LOG, f"SELECT row_id, CAST({like(_c, _p)} AS INT) AS matched FROM req")
 put("label_requests", LABELED, "SELECT row_id, attack_type, is_attack FROM labeled")
 put("label_mix", LABELED, "SELECT attack_type, is_attack, count(*) AS n FROM labeled GROUP BY ALL")
-put("repair_labels_constant", CLEANED, "SELECT row_id, attack_type, is_attack FROM fixed")
+put("repair_labels", CLEANED, "SELECT row_id, attack_type, is_attack FROM fixed")
 put("repair_labels_typed", ALL_TYPED, "SELECT row_id, attack_type, is_attack FROM fixed")
-put("repair_rule_counts", LABELED, f"""
+put("repair_counts", LABELED, f"""
 SELECT ord, {listing([p for p, _ in V.REPAIR_RULES])}[ord + 1] AS pattern, count(*) AS repaired FROM (
   SELECT CAST(CASE {' '.join(f"WHEN {like('p', p)} THEN {i}" for i, (p, _) in enumerate(V.REPAIR_RULES))} END AS INT)
     AS ord FROM labeled WHERE attack_type = 'normal' AND is_attack = 0) WHERE ord IS NOT NULL GROUP BY ord""")
@@ -328,7 +330,7 @@ _type, _match = first_rule(True)
 put("rule_first_match_body", LABELED + f""",
 sent AS (SELECT *, {URI} AS uri, a AS ua, concat_ws(' ', path, referer) AS body FROM labeled)""", f"""
 SELECT method, {_type} AS rule_type, {_match} AS matched, count(*) AS n FROM sent GROUP BY ALL""")
-put("rule_match_old_new", MATCHED, """
+put("rule_match_oldnew", MATCHED, """
 SELECT row_id, CAST(old_blocked AS INT) AS old_blocked, CAST(new_blocked AS INT) AS new_blocked FROM matched""")
 
 
@@ -343,8 +345,8 @@ SELECT probe, CAST(missed AS BIGINT) AS missed, CAST(rank AS INT) AS rank, attac
   FROM (SELECT probe, attack_type, count(*) AS n FROM ({hits}) GROUP BY ALL)) WHERE rank <= 3"""
 
 
-put("missed_probes", FIRST + ",\nlost AS (SELECT * FROM ruled WHERE is_attack = 1 AND rule_type IS NULL)", probes("lost"))
-put("missed_probes_all", LABELED + f",\nlost AS (SELECT *, {URI} AS uri FROM labeled WHERE is_attack = 1)", probes("lost"))
+put("missed_probe", FIRST + ",\nlost AS (SELECT * FROM ruled WHERE is_attack = 1 AND rule_type IS NULL)", probes("lost"))
+put("missed_probe_all", LABELED + f",\nlost AS (SELECT *, {URI} AS uri FROM labeled WHERE is_attack = 1)", probes("lost"))
 
 _corpus = [(n, u) for n, uris in V.PAYLOADS.items() for u in uris]
 CORPUS = f"""
@@ -412,7 +414,7 @@ put("features_url_serve", LOG, f"SELECT row_id, {cols({n: SERVE_SQL[n] for n in
 put("features_ua", LOG, f"SELECT row_id, {cols(UA_SQL)} FROM req")
 put("features_request", LOG, f"SELECT row_id, {cols(REQUEST_SQL)} FROM req")
 put("features_path", LOG, f"SELECT row_id, {cols(PATH_SQL)} FROM req")
-put("feature_table_all", FEATURED, "SELECT * FROM features")
+put("feature_table", FEATURED, "SELECT * FROM features")
 put("feature_table_serve", LABELED, f"SELECT {META}, {cols(SERVE_SQL, ALL_FEATURES)} FROM labeled")
 WINDOWED = LOG + "," + windowed("req")
 put("lag_same_url", WINDOWED, "SELECT row_id, prev_path, same_url FROM windows")
@@ -452,10 +454,10 @@ SELECT row_id, attack_type, CASE WHEN r <= n * 80 // 100 THEN 'train' ELSE 'test
 put("fp_sample", SCORED, """
 SELECT row_id, path, attack_type, source, ip, is_attack, score FROM scored
 WHERE is_attack = 0 AND predicted = 1 ORDER BY row_id LIMIT 1000""")
-put("join_label_columns", LABELED, f"""
+put("join_labels", LABELED, f"""
 SELECT r.row_id, {', '.join(f'r.{n}' for n in PATH_SQL)}, l.is_attack, l.attack_type
 FROM (SELECT row_id, {cols(PATH_SQL)} FROM req) r JOIN labeled l ON r.row_id = l.row_id""")
-put("join_label_columns_left", LABELED, f"""
+put("join_labels_left", LABELED, f"""
 SELECT r.row_id, {', '.join(f'r.{n}' for n in UA_SQL)}, l.attack_type
 FROM (SELECT row_id, {cols(UA_SQL)} FROM req) r
 LEFT JOIN (SELECT * FROM labeled WHERE source = 'www') l ON r.row_id = l.row_id""")

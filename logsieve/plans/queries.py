@@ -51,6 +51,16 @@ def query(function: Query) -> Query:
     return function
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    """Register under a name that the operator itself already has in this module."""
+
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
+
+
 # --- parsing --------------------------------------------------------------------
 
 
@@ -73,6 +83,25 @@ def table_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return table.groupBy("source", "attack_type").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+def _report_round_trip(kind: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """A report written with a header (CSV) or as objects (JSON) and read back with its schema."""
+        target = f"{work_dir(spark)}/report-{tables.run_id()}"
+        report = reports.value_counts(tables.labeled(spark, sf), "attack_type", "attack_type")
+        schema = "attack_type string, n long, share double"
+        if kind == "csv":
+            artifacts.write_csv_report(report, target, files=1)
+            return artifacts.read_csv_report(spark, target, schema)
+        artifacts.write_json_report(report, target, files=1)
+        return artifacts.read_json_report(spark, target, schema)
+
+    return run
+
+
+for _kind in ("csv", "json"):
+    QUERIES[f"{_kind}_report_round_trip"] = _report_round_trip(_kind)
+
+
 # --- projections and families ------------------------------------------------------
 
 
@@ -92,7 +121,7 @@ for _name in PROFILES:
     QUERIES[f"feature_profile_{_name}"] = _profile(_name)
 
 
-@query
+@named("align_features")
 def align_feature_list(spark: SparkSession, sf: str) -> DataFrame:
     """Scalar features aligned to the v3 list: the absent window features become 0, all values floats."""
     scalars = tables.labeled(spark, sf).select("row_id", *[c.alias(n) for n, c in scalar_features().items()])
@@ -138,7 +167,7 @@ def label_mix(spark: SparkSession, sf: str) -> DataFrame:
     return tables.labeled(spark, sf).groupBy("attack_type", "is_attack").agg(F.count("*").alias("n"))
 
 
-@query
+@named("repair_labels")
 def repair_labels_constant(spark: SparkSession, sf: str) -> DataFrame:
     return tables.cleaned(spark, sf).select("row_id", "attack_type", "is_attack")
 
@@ -148,7 +177,7 @@ def repair_labels_typed(spark: SparkSession, sf: str) -> DataFrame:
     return repair_labels(tables.labeled(spark, sf), "typed").select("row_id", "attack_type", "is_attack")
 
 
-@query
+@named("repair_counts")
 def repair_rule_counts(spark: SparkSession, sf: str) -> DataFrame:
     return repair_counts(tables.labeled(spark, sf))
 
@@ -193,20 +222,20 @@ def rule_first_match_body(spark: SparkSession, sf: str) -> DataFrame:
     return matched.groupBy("method", "rule_type", "matched").agg(F.count("*").alias("n"))
 
 
-@query
+@named("rule_match_oldnew")
 def rule_match_old_new(spark: SparkSession, sf: str) -> DataFrame:
     return tables.rule_matches(spark, sf).select(
         "row_id", F.col("old_blocked").cast("int").alias("old_blocked"), F.col("new_blocked").cast("int").alias("new_blocked")
     )
 
 
-@query
+@named("missed_probe")
 def missed_probes(spark: SparkSession, sf: str) -> DataFrame:
     matched = tables.first_rules(spark, sf)
     return audit.missed_probes(matched.filter((F.col("is_attack") == 1) & ~F.col("blocked")))
 
 
-@query
+@named("missed_probe_all")
 def missed_probes_all(spark: SparkSession, sf: str) -> DataFrame:
     """The same probes over all attacks, caught or not."""
     return audit.missed_probes(coverage.with_uri(tables.labeled(spark, sf)).filter(F.col("is_attack") == 1))
@@ -275,7 +304,7 @@ def features_path(spark: SparkSession, sf: str) -> DataFrame:
     return derived.access_log(spark, sf).select("row_id", *[c.alias(n) for n, c in path_features().items()])
 
 
-@query
+@named("feature_table")
 def feature_table_all(spark: SparkSession, sf: str) -> DataFrame:
     return tables.features(spark, sf)
 
@@ -360,13 +389,13 @@ def fp_sample(spark: SparkSession, sf: str) -> DataFrame:
 # --- joins ---------------------------------------------------------------------------------
 
 
-@query
+@named("join_labels")
 def join_label_columns(spark: SparkSession, sf: str) -> DataFrame:
     features = derived.access_log(spark, sf).select("row_id", *[c.alias(n) for n, c in path_features().items()])
     return join_labels(features, tables.labeled(spark, sf))
 
 
-@query
+@named("join_labels_left")
 def join_label_columns_left(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of one site only, so rows of the other keep NULL labels."""
     features = derived.access_log(spark, sf).select("row_id", *[c.alias(n) for n, c in ua_features().items()])
@@ -685,7 +714,7 @@ def config_search(spark: SparkSession, sf: str) -> DataFrame:
     return ranked
 
 
-@query
+@named("score")
 def score_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Model saved, loaded again and applied to every request with served features."""
     table = _training_table(spark, sf)
@@ -698,7 +727,7 @@ def score_requests(spark: SparkSession, sf: str) -> DataFrame:
     return learning.score_binary(loaded, served).select("row_id", "attack_type", "score", "predicted")
 
 
-@query
+@named("feature_importance")
 def model_importance(spark: SparkSession, sf: str) -> DataFrame:
     table = _training_table(spark, sf)
     trained = learning.train_binary(table, PROFILES["v3"], maxIter=5, maxDepth=4, stepSize=0.1)

@@ -10,9 +10,9 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as contract  # noqa: E402
 
 SF = Path("/root/testdata/sf0.001")
-TRAINED = {"train_binary", "train_multiclass", "config_search", "score_requests", "model_importance"}
+TRAINED = {"train_binary", "train_multiclass", "config_search", "score", "feature_importance"}
 COMPARED = [
-    "label_mix", "parse_log", "audit_patterns", "rule_coverage", "payload_coverage", "feature_table_all", "lag_same_url",
+    "label_mix", "parse_log", "audit_patterns", "rule_coverage", "payload_coverage", "feature_table", "lag_same_url",
     "split_stratified", "ban_interval_join", "layered_verdict", "threshold_sweep", "auc", "score_distribution", "macro_metrics",
 ]
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="test tables not present")
