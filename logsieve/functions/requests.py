@@ -14,8 +14,11 @@ def _flag(condition: Column) -> Column:
 
 
 def _count_chars(value: Column, chars: str) -> Column:
-    """Occurrences of any of ``chars``: what deleting them takes off the length."""
-    return F.length(value) - F.length(F.translate(value, chars, ""))
+    """Occurrences of any of ``chars``."""
+    if len(chars) == 1:
+        return F.length(value) - F.length(F.replace(value, F.lit(chars), F.lit("")))
+    members = "".join(c if c.isalnum() else f"\\{c}" for c in chars)
+    return F.regexp_count(value, F.lit(f"[{members}]"))
 
 
 def url_features(profile: str = "train") -> dict[str, Column]:
