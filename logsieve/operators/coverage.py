@@ -1,7 +1,6 @@
 """Rule coverage: what the blacklists block, old against new, and the layered verdict."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
