@@ -8,6 +8,7 @@ one number per context. After the empty context come all symbols never seen, in
 passed over. A gram, a context with its symbol, costs the same wherever it stands, and each distinct gram is priced once.
 """
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -164,15 +165,16 @@ def _head(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(F.col("n") >= least) if least else counted.limit(0)
 
 
-_dictionaries: dict[int, dict[bytes, int]] = {}
+_dictionaries: dict[str, dict[bytes, int]] = {}
 
 
 def _places(words: Broadcast) -> dict[bytes, int]:
     """The head's words with their counts, built once per worker process."""
-    if words.id not in _dictionaries:
+    key, names, counts = words.value
+    if key not in _dictionaries:
         _dictionaries.clear()
-        _dictionaries[words.id] = dict(zip(words.value["word"].tolist(), words.value["n"].tolist()))
-    return _dictionaries[words.id]
+        _dictionaries[key] = dict(zip(names, counts))
+    return _dictionaries[key]
 
 
 def _scorer(head_grams: Broadcast, head_words: Broadcast) -> Callable:
@@ -247,7 +249,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     head = _head(grams, head_grams).join(priced, "gram").select("gram", "price").toPandas().sort_values("gram")
     sent_grams = spark.sparkContext.broadcast((head["gram"].to_numpy(np.int64), head["price"].to_numpy(np.float64)))
     head = _head(words, head_words).toPandas()
-    sent_words = spark.sparkContext.broadcast({"word": head["word"], "n": head["n"]})
+    sent_words = spark.sparkContext.broadcast((uuid.uuid4().hex, [bytes(w) for w in head["word"]], head["n"].tolist()))
     parts = stored(rows.mapInPandas(_scorer(sent_grams, sent_words), PARTS), "parts")
 
     own = ["doc_id", "version", "held_out"]

@@ -153,3 +153,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = spread_join(linked.drop("_copies"), sizes, "component_id", "left")
     found = spread_join(prints, linked, "fp")
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "class_size")
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the row whose id is the class's, the first copy where that row is repeated.
+
+    Rows with a null id stand for a class only where it has no other; then one of them stays.
+    """
+    classes = near_duplicates(docs, id_col, text_col)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = classes.where(first).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    return rows.dropDuplicates([id_col])
