@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.work import spread_join
+from logsieve.llm.work import spread_join, stored
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -40,15 +40,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = F.count(F.lit(1)).alias("group_size")
     keep = (-F.col("_best._id")).alias("keep_id")
     checked = rows.groupBy("_hash").agg(size, best, F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
-    checked = checked.select("_hash", "group_size", keep, (F.col("_low") != F.col("_high")).alias("_clash"))
+    clash = F.col("_low") != F.col("_high")
+    checked = stored(checked.select("_hash", "group_size", keep, clash.alias("_clash")), "groups")
     slim = rows.select("doc_id", "_hash", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"))
     settled = spread_join(slim, checked, "_hash")
+    out = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    found = settled.where(~F.col("_clash")).select(*out)
 
     clashing = checked.where("_clash").select("_hash")
-    by_bytes = rows.join(clashing, "_hash", "left_semi").groupBy("_hash", "_norm").agg(size, best)
-    by_bytes = by_bytes.select(F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), "group_size", keep)
-    again = spread_join(settled.where("_clash").select("doc_id", "text_sha256"), by_bytes, "text_sha256")
-
-    out = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    both = settled.where(~F.col("_clash")).select(*out).unionByName(again.select(*out))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if not clashing.isEmpty():
+        by_bytes = rows.join(clashing, "_hash", "left_semi").groupBy("_hash", "_norm").agg(size, best)
+        by_bytes = by_bytes.select(F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), "group_size", keep)
+        again = spread_join(settled.where("_clash").select("doc_id", "text_sha256"), by_bytes, "text_sha256")
+        found = found.unionByName(again.select(*out))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
