@@ -23,12 +23,12 @@ WITH raw AS (
 ), numbered AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM line WHERE body <> ''
 ), pair AS (
-    SELECT doc_id, pos, struct_pack(a := body, b := lead(body) OVER (PARTITION BY doc_id ORDER BY pos)) AS both,
+    SELECT doc_id, pos, struct_pack(a := body, b := lead(body) OVER (PARTITION BY doc_id ORDER BY pos)) AS two,
         lead(body) OVER (PARTITION BY doc_id ORDER BY pos) IS NOT NULL AS whole
     FROM numbered
 ), first AS (
     SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
-    FROM pair WHERE whole WINDOW w AS (PARTITION BY both ORDER BY doc_id, pos)
+    FROM pair WHERE whole WINDOW w AS (PARTITION BY two ORDER BY doc_id, pos)
 ), later AS (
     SELECT doc_id, pos FROM first WHERE CASE WHEN doc_id = first_doc THEN pos - first_pos >= 2 ELSE true END
 ), gone AS (
