@@ -20,7 +20,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The MD5 of the normalised text is the group's key. The same aggregation takes the smallest and the largest text of
     a group: where they are the same bytes, all are. Groups whose bytes differ (a hash collision) are grouped again by
-    the bytes themselves. The aggregation combines inside the map tasks, so a group that holds a third of all rows
+    the bytes themselves; where there are none, as nearly always, that step is not run. The aggregation combines inside the map tasks, so a group that holds a third of all rows
     reaches the shuffle as one row per task, and its members get their verdict from a join that adaptive execution can
     split.
 
