@@ -1,5 +1,7 @@
 """Mixing sources to target weights with a low-discrepancy schedule of equal-token blocks."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Slots of the schedule. The size of a block follows from the corpus, so a source's share is met to a few slots.
+#: Slots of the schedule at the most. The size of a block follows from the corpus, so a source's share is met to a few slots.
 SLOTS = 1 << 18
 #: Golden-ratio step over 2**32 points.
 STEP, POINTS = 2_654_435_769, 1 << 32
@@ -113,9 +115,10 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST, id_col: str = "do
     sizes = sized(docs, id_col, text_col, source_col)
     sizes = stored(sizes.withColumn("key", source_key("source")), "sizes")
     goals = stored(targets(sizes, most=most), "targets")
-    block = goals.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / slots))).first()[0] or 1
+    total = goals.agg(F.sum("target")).first()[0] or 0.0
+    block = max(1, math.ceil(total / slots))
     blocks = goals.select(source_key("source").alias("key"), F.ceil(F.col("source_size") / block).alias("blocks"))
-    taken = schedule(goals, slots).withColumn("key", source_key("source")).join(blocks, "key")
+    taken = schedule(goals, round(total / block)).withColumn("key", source_key("source")).join(blocks, "key")
     taken = taken.where(F.col("rank") < F.lit(most) * F.col("blocks")).groupBy("key", (F.col("rank") % F.col("blocks")).alias("block"))
     taken = taken.agg(F.count(F.lit(1)).alias("times"))
     rows = placed(sizes).withColumn("end", F.col("start") + F.col("size"))
@@ -137,7 +140,7 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     Rows of one id share their count. Documents that the mix leaves out, and those without a word, are gone.
     """
     copies = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_copies"))
+    copies = copies.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_copies"))
     kept = docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
     again = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return again.select(*docs.columns)

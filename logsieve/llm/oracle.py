@@ -63,13 +63,14 @@ WITH sized AS (
     SELECT source, source_size, CASE WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS target
     FROM (SELECT *, max(level) FILTER (WHERE level <= full_at) OVER () AS top FROM levels)
 ), block AS (
-    SELECT greatest(1, coalesce(ceil(sum(target) / 262144), 1))::BIGINT AS b FROM goals
+    SELECT b, round_even(total / b, 0)::BIGINT AS n
+    FROM (SELECT coalesce(sum(target), 0) AS total, greatest(1, coalesce(ceil(sum(target) / 262144), 1))::BIGINT AS b FROM goals)
 ), parts AS (
     SELECT source, floor((upper - target) / total * 4294967296)::BIGINT AS low, floor(upper / total * 4294967296)::BIGINT AS high
     FROM (SELECT source, target, sum(target) OVER (ORDER BY source NULLS LAST) AS upper, sum(target) OVER () AS total FROM goals WHERE target > 0)
 ), slots AS (
     SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
-    FROM (SELECT i AS slot, (i * 2654435769) % 4294967296 AS point FROM range(262144) t(i)) p JOIN parts ON low <= point AND point < high
+    FROM (SELECT i AS slot, (i * 2654435769) % 4294967296 AS point FROM (SELECT unnest(range(n)) AS i FROM block)) p JOIN parts ON low <= point AND point < high
 ), taken AS (
     SELECT s.source, rank % blocks AS block, count(*) AS times
     FROM slots s JOIN (SELECT source, ceil(source_size / b)::BIGINT AS blocks FROM goals, block) g ON s.source IS NOT DISTINCT FROM g.source
