@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
 
-MAX_RULES = 10_000
-
-
 class Rule(NamedTuple):
     name: str  # class or rule name the match yields
     field: str  # column the pattern is searched in
@@ -90,12 +87,9 @@ def repair_rules() -> list[Rule]:
     return [Rule(name, "path", pattern) for pattern, name in V.REPAIR_RULES]
 
 
-def rules_from(df: DataFrame, max_rules: int = MAX_RULES) -> list[Rule]:
-    """Read a user's rule table ``(ord, name, field, pattern)`` in order; refuses tables that are not rule-sized."""
-    rows = df.orderBy("ord").select("name", "field", "pattern").take(max_rules + 1)
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
-    return [Rule(*row) for row in rows]
+def rules_from(df: DataFrame) -> list[Rule]:
+    """Read a user's rule table ``(ord, name, field, pattern)`` in order. All of it becomes part of the query plan."""
+    return [Rule(*row) for row in df.orderBy("ord").select("name", "field", "pattern").collect()]
 
 
 def blacklisted(uri: Column, user_agent: Column, version: str = "new") -> Column:
@@ -118,6 +112,16 @@ def first_rule(uri: Column, user_agent: Column, method: Column, body: Column | N
     if body is not None:
         carried = F.when(method.isin(V.BODY_METHODS), body)
         rules += [(carried, p, "body_rule", p[:40]) for p in V.BODY_RULES]
+    return _first(rules)
+
+
+def first_new_rule(uri: Column, user_agent: Column) -> tuple[Column, Column]:
+    """The same for the new blacklist: URI rules, then user-agent rules."""
+    rules = [(uri, p, "uri_rule", p[:40]) for p in V.NEW_URI_RULES]
+    return _first([*rules, *[(user_agent, p, "ua_rule", p[:40]) for p in V.NEW_UA_RULES]])
+
+
+def _first(rules: list[tuple[Column, str, str, str]]) -> tuple[Column, Column]:
     position = F.coalesce(*[F.when(contains(value, p), F.lit(i)) for i, (value, p, _, _) in enumerate(rules)])
     names = F.array(*[F.struct(F.lit(t).alias("rule_type"), F.lit(m).alias("matched")) for _, _, t, m in rules])
     return position, names

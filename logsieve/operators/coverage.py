@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
-from logsieve.functions.rules import blacklisted, first_rule, slash_uri, text
+from logsieve.functions.rules import blacklisted, first_new_rule, first_rule, slash_uri, text
 from logsieve.operators.reports import ratio, to_rows
 
 
@@ -99,29 +99,37 @@ def missed_by_class(matched: DataFrame) -> DataFrame:
     )
 
 
-def error_listing(matched: DataFrame, blocked: str, attacks: bool, n: int) -> DataFrame:
-    """First ``n`` missed attacks (or falsely blocked normal requests) by row id."""
-    wrong = (F.col("is_attack") == 1) & ~F.col(blocked) if attacks else (F.col("is_attack") == 0) & F.col(blocked)
-    return (
-        matched.filter(wrong)
-        .orderBy("row_id")
-        .limit(n)
-        .select(
-            "row_id", "attack_type", "method", F.substring("uri", 1, 60).alias("uri"), F.substring("ua", 1, 30).alias("ua")
-        )
-    )
+def missed_listing(matched: DataFrame, blocked: str, n: int) -> DataFrame:
+    """First ``n`` missed attacks by row id."""
+    missed = matched.filter((F.col("is_attack") == 1) & ~F.col(blocked)).orderBy("row_id").limit(n)
+    return missed.select("row_id", "attack_type", "method", *_shown())
+
+
+def _shown() -> list[Column]:
+    return [F.substring("uri", 1, 60).alias("uri"), F.substring("ua", 1, 30).alias("ua")]
+
+
+def false_block_listing(matched: DataFrame, version: str) -> DataFrame:
+    """Every normal request that the ``old`` or ``new`` blacklist blocks, with the first rule that does."""
+    position, names = first_rule(F.col("uri"), F.col("ua"), F.col("method")) if version == "old" else first_new_rule(F.col("uri"), F.col("ua"))
+    wrong = matched.filter((F.col("is_attack") == 0) & F.col(f"{version}_blocked")).withColumn("_rule", position)
+    rule = F.get(names, F.col("_rule"))
+    return wrong.select("row_id", "method", *_shown(), rule["rule_type"].alias("rule_type"), rule["matched"].alias("matched"))
 
 
 def corpus_coverage(corpus: DataFrame) -> DataFrame:
     """Blocked requests of a labelled corpus per class, and in total over the attack classes."""
     hit = blacklisted(F.col("uri"), F.lit(V.PROBE_USER_AGENT), "new")
-    per_class = corpus.groupBy("class").agg(F.count("*").alias("total"), F.count_if(hit).alias("blocked"))
-    attacks = per_class.filter(~F.col("class").isin("normal", "page"))
-    overall = attacks.agg(
-        F.lit("TOTAL ATTACK").alias("class"), F.sum("total").alias("total"), F.sum("blocked").alias("blocked")
+    attack = ~F.col("class").isin("normal", "page")
+    per_class = corpus.rollup(attack.alias("attack"), "class").agg(
+        F.grouping("class").alias("_all"), F.count("*").alias("total"), F.count_if(hit).alias("blocked")
     )
-    return per_class.unionByName(overall).withColumn(
-        "rate", F.round(ratio(F.col("blocked") * 100, F.col("total")), 6)
+    wanted = per_class.filter((F.col("_all") == 0) | F.col("attack"))
+    return wanted.select(
+        F.when(F.col("_all") == 1, "TOTAL ATTACK").otherwise(F.col("class")).alias("class"),
+        "total",
+        "blocked",
+        F.round(ratio(F.col("blocked") * 100, F.col("total")), 6).alias("rate"),
     )
 
 

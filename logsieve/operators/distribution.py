@@ -1,7 +1,7 @@
 """Exact order statistics without a global sort in one task.
 
-Values are first counted (equal values collapse before the shuffle), then split by value range; ranges are
-prefix-summed over at most ``RANGES`` rows per group and values only inside their range.
+Values are first counted (equal values collapse before the shuffle), then dealt by value range over the shuffle
+partitions; ranges are prefix-summed over one row each and values only inside their range.
 """
 
 from collections.abc import Mapping, Sequence
@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logsieve.session import work_dir
-from logsieve.sources.tables import stored
-
-RANGES = 256
+from logsieve.session import checkpoint
 
 
 def counts_below(
@@ -21,19 +18,13 @@ def counts_below(
 ) -> DataFrame:
     """One row per (group, value): each count, and ``<count>_below``, its sum over smaller values of the group.
 
-    The counted values are written to the shared folder once, so that ``df`` is scanned a single time. Range
-    bounds are approximate quantiles of the distinct values. They only balance the tasks: whatever bounds come
-    out, the sums are exact.
+    This is a job, not a lazy frame: the counted values are checkpointed in the shared folder, so that ``df`` is scanned
+    a single time and every later step sees the same ranges. Spark removes the checkpoint once nothing refers to it.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         *[c.alias(name) for name, c in counts.items()]
     )
-    per_value = stored(counted, work_dir(df.sparkSession))
-    marks = [i / RANGES for i in range(1, RANGES)]
-    bounds = per_value.agg(F.percentile_approx(value, marks, F.lit(10_000))).scalar()
-    # Place of the value among the bounds. No lambda here: the optimizer would inline a costly value into it.
-    place = F.array_position(F.sort_array(F.array_append(bounds, F.col(value))), F.col(value))
-    ranged = per_value.withColumn("_range", F.coalesce(place, F.lit(0)))
+    ranged = checkpoint(counted.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()))
 
     by_range = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = (
@@ -45,8 +36,7 @@ def counts_below(
     below = [
         (F.col(f"_{n}_start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in counts
     ]
-    # At most RANGES rows per group.
-    return ranged.join(F.broadcast(starts), [*groups, "_range"]).select(*groups, value, *counts, *below)
+    return ranged.join(starts, [*groups, "_range"]).select(*groups, value, *counts, *below)
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "is_attack") -> DataFrame:
@@ -73,14 +63,13 @@ def distribution(
     """Per group: n, mean, sample deviation, min, max and linearly interpolated quantiles."""
     number = F.col(value).cast("double")
     ranked = counts_below(df.select(group, number.alias("_v")), "_v", {"n": F.count("*")}, [group])
-    # One row per group of a label column.
     totals = ranked.groupBy(group).agg(
         F.sum("n").alias("_total"),
         (F.sum(F.col("n") * F.col("_v")) / F.sum("n")).alias("_mean"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
-    placed = ranked.join(F.broadcast(totals), group)
+    placed = ranked.join(totals, group)
 
     def at(position: Column) -> Column:
         here = (F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n"))

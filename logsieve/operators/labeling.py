@@ -1,6 +1,8 @@
 """Labels by rule priority, repair of missed labels, label reports."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +15,17 @@ NORMAL = "normal"
 
 def rule_flag(name: str, rules: Sequence[Rule]) -> Column:
     """1 where the class ``name`` matches on its own, whatever else matches."""
-    picked = [r for r in rules if r.name == name]
-    hit = contains(field_text(picked[0].field), *[r.pattern for r in picked])
-    return hit.cast("int")
+    by_field: dict[str, list[str]] = {}
+    for rule in rules:
+        if rule.name == name:
+            by_field.setdefault(rule.field, []).append(rule.pattern)
+    hits = [contains(field_text(field), *patterns) for field, patterns in by_field.items()]
+    return reduce(or_, hits, F.lit(False)).cast("int")
 
 
 def label_requests(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Add ``attack_type`` (first matching class by priority, else normal) and ``is_attack``."""
-    labeled = df.withColumn("attack_type", first_class(rules or label_rules(), F.lit(NORMAL)))
+    labeled = df.withColumn("attack_type", first_class(label_rules() if rules is None else rules, F.lit(NORMAL)))
     return labeled.withColumn("is_attack", (F.col("attack_type") != NORMAL).cast("int"))
 
 
@@ -35,7 +40,7 @@ def repair_labels(df: DataFrame, mode: str = "constant", rules: Sequence[Rule] |
     """
     if mode not in ("constant", "typed"):
         raise ValueError(f"unknown repair mode {mode!r}")
-    rules = list(rules or repair_rules())
+    rules = repair_rules() if rules is None else list(rules)
     missed = (F.col("attack_type") == NORMAL) & (F.col("is_attack") == 0)
     if mode == "typed":
         found = first_class(rules, F.lit(None).cast("string"))
@@ -51,7 +56,7 @@ def repair_labels(df: DataFrame, mode: str = "constant", rules: Sequence[Rule] |
 
 def repair_counts(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Rows each repair rule fixes, a row counted for the first rule that matches it."""
-    rules = list(rules or repair_rules())
+    rules = repair_rules() if rules is None else list(rules)
     numbered = [Rule(str(i), r.field, r.pattern) for i, r in enumerate(rules)]
     missed = df.filter((F.col("attack_type") == NORMAL) & (F.col("is_attack") == 0))
     hits = missed.select(first_class(numbered, F.lit(None).cast("string")).cast("int").alias("ord"))

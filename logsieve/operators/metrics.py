@@ -15,7 +15,8 @@ RATES = ["accuracy", "precision", "recall", "f1", "fpr", "fnr"]
 
 
 def confusion(df: DataFrame, label: str = "is_attack", predicted: str = "predicted") -> DataFrame:
-    y, p = F.col(label), F.col(predicted)
+    """The four counts; a row without a prediction counts as predicted normal."""
+    y, p = F.col(label), F.coalesce(F.col(predicted), F.lit(0))
     return df.agg(
         F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),
@@ -48,12 +49,13 @@ def threshold_sweep(df: DataFrame, grid: Sequence[str], digits: int = 6) -> Data
     """Metrics at every threshold (``score >= threshold``) from one pass over the scores.
 
     A row's slot is the number of thresholds it reaches; counting rows per slot and summing slots from the top
-    gives the counts of every threshold. ``grid`` is ascending decimal text.
+    gives the counts of every threshold. ``grid`` is ascending decimal text. A NULL or NaN score reaches none.
     """
     marks = sorted(float(t) for t in grid)
     if len(marks) != len(set(marks)):
         raise ValueError("thresholds repeat")
-    slot = sum(((F.col("score") >= F.lit(m)).cast("int") for m in marks), F.lit(0))
+    score = F.nanvl(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    slot = sum(((score >= F.lit(m)).cast("int") for m in marks), F.lit(0))
     y = F.col("is_attack")
     slots = df.groupBy(slot.alias("slot")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
@@ -195,9 +197,10 @@ def confusion_matrix(pairs: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 
 def replay_metrics(replay: DataFrame) -> DataFrame:
-    """Recall, miss and false-block rates of a replay; rows with an error are left out and counted."""
+    """Recall, miss and false-block rates of a replay; rows with an error are left out and counted. A request without a
+    status was not blocked."""
     ok = F.col("error").isNull()
-    attack, blocked = F.col("label") == "attack", F.col("status") == 403
+    attack, blocked = F.col("label").eqNullSafe("attack"), F.col("status").eqNullSafe(403)
     counts = replay.agg(
         F.count_if(~ok).alias("errors"),
         F.count_if(ok & ~attack & ~blocked).alias("tn"),

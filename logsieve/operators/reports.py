@@ -52,7 +52,7 @@ def breakdown(df: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
     )
     # Every row appears once per dimension, so the scanned rows are the total of any one of them.
     totals = counts.groupBy("dimension").agg(F.sum("n").alias("_total"))
-    joined = counts.join(F.broadcast(totals), "dimension")  # one row per named dimension
+    joined = counts.join(totals, "dimension")
     return joined.select("dimension", "value", "n", F.round(F.col("n") / F.col("_total"), 6).alias("share"))
 
 

@@ -59,8 +59,7 @@ def _stratum_cuts(df: DataFrame, label: str, train_percent: int, seed: str, key:
         .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select("_label", "_bucket", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
-    # One edge row per class: classes come from the rule table, so there are tens of them.
-    inside = keyed.withColumn("_bucket", digits).join(F.broadcast(edge), ["_label", "_bucket"])
+    inside = keyed.withColumn("_bucket", digits).join(edge, ["_label", "_bucket"])
     rank = F.row_number().over(W.partitionBy("_label").orderBy("_hash", "_key"))
     return (
         inside.withColumn("_rank", rank)
@@ -74,10 +73,10 @@ def split_stratified(
 ) -> DataFrame:
     """Exact share of every class: floor(share x class size) rows of smallest hash go to train.
 
-    The rows themselves are never shuffled; one cut per class is broadcast to them.
+    There is one cut per class; with few classes adaptive execution broadcasts them and rows are not shuffled.
     """
     cuts = _stratum_cuts(df, label, train_percent, seed, key)
-    joined = df.withColumn("_hash", md5_key(seed, key)).join(F.broadcast(cuts), label, "left")
+    joined = df.withColumn("_hash", md5_key(seed, key)).join(cuts, label, "left")
     below = (F.col("_hash") < F.col("_cut_hash")) | (
         (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
     )

@@ -234,6 +234,13 @@ SELECT row_id, source, {group(1)} AS ip, nullif({group(2)}, '-') AS "user", {gro
   CAST({group(8)} AS BIGINT) AS size, {group(9)} AS referer, {group(10)} AS user_agent,
   CAST(epoch(strptime(substr({group(3)}, 1, 20), '%d/%b/%Y:%H:%M:%S')) AS BIGINT) AS event_s
 FROM raw WHERE regexp_matches(value, {LINE})""")
+put("parse_text_log", RAW + """,
+numbered AS (SELECT row_number() OVER (ORDER BY source, row_id) - 1 AS row_id, source, value FROM raw)""", f"""
+SELECT row_id, source, {group(1)} AS ip, nullif({group(2)}, '-') AS "user", {group(3)} AS "time",
+  {group(4)} AS method, {group(5)} AS path, {group(6)} AS protocol, CAST({group(7)} AS INT) AS status,
+  CAST({group(8)} AS BIGINT) AS size, {group(9)} AS referer, {group(10)} AS user_agent,
+  CAST(epoch(strptime(substr({group(3)}, 1, 20), '%d/%b/%Y:%H:%M:%S')) AS BIGINT) AS event_s
+FROM numbered WHERE regexp_matches(value, {LINE})""")
 put("parse_stats", RAW, f"""
 SELECT source, count(*) AS total, count(*) FILTER (ok) AS parsed, count(*) FILTER (NOT ok) AS failed,
   CAST(0 AS BIGINT) AS bad_time
@@ -348,11 +355,10 @@ SELECT probe, CAST(missed AS BIGINT) AS missed, CAST(rank AS INT) AS rank, attac
 put("missed_probe", FIRST + ",\nlost AS (SELECT * FROM ruled WHERE is_attack = 1 AND rule_type IS NULL)", probes("lost"))
 put("missed_probe_all", LABELED + f",\nlost AS (SELECT *, {URI} AS uri FROM labeled WHERE is_attack = 1)", probes("lost"))
 
-_corpus = [(n, u) for n, uris in V.PAYLOADS.items() for u in uris]
+_corpus = ", ".join(f"({q(n)}, {q(u)})" for n, uris in V.PAYLOADS.items() for u in uris)
 CORPUS = f"""
 corpus AS (
-  SELECT {listing([n for n, _ in _corpus])}[{h('corpus', 'page_id')} % {len(_corpus)} + 1] AS class,
-    {listing([u for _, u in _corpus])}[{h('corpus', 'page_id')} % {len(_corpus)} + 1] AS uri FROM pages
+  SELECT * FROM (VALUES {_corpus}) v(class, uri)
   UNION ALL
   SELECT 'page', '/' || regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1) FROM pages),
 probed AS (SELECT *, {like('uri', *V.NEW_URI_RULES)} OR {like(q(V.PROBE_USER_AGENT), *V.NEW_UA_RULES)} AS hit
@@ -405,7 +411,24 @@ SELECT * FROM (SELECT attack_type,
 FROM matched GROUP BY 1) WHERE old_missed + new_missed + old_false_block + new_false_block > 0""")
 LISTED = "SELECT row_id, attack_type, method, substr(uri, 1, 60) AS uri, substr(ua, 1, 30) AS ua FROM matched"
 put("rule_missed_listing", MATCHED, LISTED + " WHERE is_attack = 1 AND NOT new_blocked ORDER BY row_id LIMIT 20")
-put("rule_false_block_listing", MATCHED, LISTED + " WHERE is_attack = 0 AND old_blocked ORDER BY row_id LIMIT 20")
+
+
+def false_blocks(version: str) -> str:
+    """Rule type and text of the first rule that blocks, per falsely blocked row."""
+    if version == "old":
+        kind, text = first_rule(False)
+    else:
+        tests = [(like("uri", p), "uri_rule", p[:40]) for p in V.NEW_URI_RULES]
+        tests += [(like("ua", p), "ua_rule", p[:40]) for p in V.NEW_UA_RULES]
+        kind = "CASE " + " ".join(f"WHEN {c} THEN {q(t)}" for c, t, _ in tests) + " END"
+        text = "CASE " + " ".join(f"WHEN {c} THEN {q(m)}" for c, _, m in tests) + " END"
+    return f"""
+SELECT row_id, method, substr(uri, 1, 60) AS uri, substr(ua, 1, 30) AS ua, {kind} AS rule_type, {text} AS matched
+FROM matched WHERE is_attack = 0 AND {version}_blocked"""
+
+
+put("rule_false_block_listing", MATCHED, false_blocks("old"))
+put("rule_false_block_listing_new", MATCHED, false_blocks("new"))
 
 # --- features -----------------------------------------------------------------------------------------
 
@@ -652,3 +675,37 @@ put("stream_bans", LOG + "," + BANS, "SELECT ip, ban_start, ban_end FROM bans")
 put("stream_rate_limit", LOG, """
 SELECT ip, event_s // 60 * 60 AS window_start, count(*) AS requests FROM log GROUP BY 1, 2
 HAVING count(*) > 8 AND window_start + 60 <= (SELECT max(event_s) - 60 FROM log)""")
+
+# --- training: what SQL can know of it -----------------------------------------------------------------
+
+PARTS = CLEANED + f""",
+parts AS (SELECT *, CASE WHEN s < 70 THEN 'train' WHEN s < 80 THEN 'valid' ELSE 'test' END AS split
+  FROM (SELECT *, {h('split', 'row_id')} % 100 AS s FROM fixed))"""
+CLASSES = """count(*) FILTER (split = 'test' AND is_attack = 1) AS positives,
+  count(*) FILTER (split = 'test' AND is_attack = 0) AS negatives"""
+
+
+def binary_report(*profiles: str) -> str:
+    listed = ", ".join(f"({q(p)})" for p in profiles)
+    return f"""
+SELECT profile, {CLASSES}, CAST(1 AS INT) AS rates_ok, count(*) FILTER (split = 'train') AS train_rows,
+  count(*) FILTER (split = 'valid') AS valid_rows, count(*) FILTER (split = 'test') AS test_rows
+FROM parts, (VALUES {listed}) v(profile) GROUP BY profile"""
+
+
+put("train_binary", PARTS, binary_report("v3", "v4"))
+for _key in ("base", "weighted"):
+    put(f"train_binary_{_key}", PARTS, binary_report("v3"))
+for _key in ("train_multiclass", "train_multiclass_boosted"):
+    put(_key, TYPED, """
+SELECT attack_type AS class, count(*) AS support, CAST(1 AS INT) AS rates_ok FROM (
+  SELECT attack_type, count(*) OVER (PARTITION BY attack_type) AS n, row_number() OVER (
+    PARTITION BY attack_type ORDER BY md5(concat('split', CAST(row_id AS VARCHAR))), row_id) AS r FROM fixed)
+WHERE r > n * 80 // 100 GROUP BY 1""")
+put("config_search", PARTS, f"""
+SELECT config, {CLASSES}, CAST(1 AS INT) AS in_grid, CAST(1 AS INT) AS rates_ok
+FROM parts, (VALUES ('A_v3_baseline'), ('B_relaxed'), ('C_aggressive')) v(config) GROUP BY config""")
+put("score", LABELED, """
+SELECT row_id, attack_type, CAST(1 AS INT) AS score_ok, CAST(1 AS INT) AS decision_ok FROM labeled""")
+_features = ", ".join(f"({q(n)})" for n in PROFILES["v3"])
+ORACLE["feature_importance"] = f"SELECT feature, CAST(100 AS DOUBLE) AS total_pct FROM (VALUES {_features}) v(feature)"

@@ -1,8 +1,11 @@
 """Named queries: one per operator, each over whole tables, as ``(spark, sf_dir) -> DataFrame``."""
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
@@ -69,6 +72,17 @@ def parse_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.parse_log(derived.raw_log(spark, sf)).drop("event_time")
 
 
+@query
+def parse_text_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log written as text files, one folder per site, and read back: rows numbered by line over both sites."""
+    base = f"{work_dir(spark)}/text-{tables.run_id()}"
+    raw = derived.raw_log(spark, sf)
+    for site in ("data", "www"):
+        raw.filter(F.col("source") == site).orderBy("row_id").select("value").write.text(f"{base}/{site}")
+    lines = logs.read_log_lines(spark, {site: f"{base}/{site}/*" for site in ("data", "www")})
+    return logs.parse_log(lines).drop("event_time")
+
+
 @query
 def parse_stats(spark: SparkSession, sf: str) -> DataFrame:
     return logs.parse_stats(derived.raw_log(spark, sf))
@@ -268,12 +282,17 @@ def rule_missed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_missed_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.error_listing(tables.rule_matches(spark, sf), "new_blocked", True, 20)
+    return coverage.missed_listing(tables.rule_matches(spark, sf), "new_blocked", 20)
 
 
 @query
 def rule_false_block_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.error_listing(tables.rule_matches(spark, sf), "old_blocked", False, 20)
+    return coverage.false_block_listing(tables.rule_matches(spark, sf), "old")
+
+
+@query
+def rule_false_block_listing_new(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.false_block_listing(tables.rule_matches(spark, sf), "new")
 
 
 # --- features --------------------------------------------------------------------------
@@ -681,57 +700,95 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
     return learning.label_index(tables.cleaned(spark, sf, "typed"))
 
 
-def _training_table(spark: SparkSession, sf: str, mode: str = "constant") -> DataFrame:
+def _binary_table(spark: SparkSession, sf: str) -> DataFrame:
     """Feature table with its split, written once: training reads it many times and must survive lost executors."""
-    table = sampling.split_three(feature_table(tables.cleaned(spark, sf, mode), "train"))
+    table = sampling.split_three(feature_table(tables.cleaned(spark, sf), "train"))
     return stored_tables.stored(table, work_dir(spark))
 
 
-@query
-def train_binary(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics on the test rows for two feature profiles."""
-    table = _training_table(spark, sf)
-    test = table.filter(F.col("split") == "test")
-    rows = []
-    for profile in ("v3", "v4"):
-        trained = learning.train_binary(table, PROFILES[profile], "regular", maxIter=10, maxDepth=4, stepSize=0.1)
-        scored = learning.score_binary(trained, test)
-        rows.append(learning.evaluate(scored).select(F.lit(profile).alias("profile"), "*"))
-    return rows[0].unionByName(rows[1])
+def _share(*names: str) -> Column:
+    """Whether all of these columns lie between 0 and 1."""
+    return reduce(and_, [F.col(n).between(0, 1) for n in names]).cast("int")
 
 
-@query
-def train_multiclass(spark: SparkSession, sf: str) -> DataFrame:
-    table = _training_table(spark, sf, "typed")
-    trained = learning.train_multiclass(table, PROFILES["v3"], num_trees=10)
-    predicted = learning.score_multiclass(trained, table.filter(F.col("split") == "test"))
-    return metrics.class_report(metrics.pair_counts(predicted))
+def _binary_report(config: str, profiles: tuple[str, ...]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Per feature profile: rows of the three parts, and the test rows' classes as the model's counts add them up."""
+        table = _binary_table(spark, sf)
+        sizes = {f"{r['split']}_rows": r["count"] for r in table.groupBy("split").count().collect()}
+        rows = []
+        for profile in profiles:
+            trained = learning.train_binary(table, PROFILES[profile], config)
+            report = learning.evaluate(learning.score_binary(trained, table.filter(F.col("split") == "test")))
+            sums = report.select(
+                F.lit(profile).alias("profile"),
+                (F.col("tp") + F.col("fn")).alias("positives"),
+                (F.col("fp") + F.col("tn")).alias("negatives"),
+                _share(*metrics.RATES, "auc").alias("rates_ok"),
+            )
+            rows.append(sums.withColumns({name: F.lit(n).cast("long") for name, n in sorted(sizes.items())}))
+        return reduce(DataFrame.unionByName, rows)
+
+    return run
+
+
+QUERIES["train_binary"] = _binary_report("regular", ("v3", "v4"))
+for _config in ("base", "weighted"):
+    QUERIES[f"train_binary_{_config}"] = _binary_report(_config, ("v3",))
+
+
+def _multiclass_report(learner: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Support of every class in the stratified test part, with the model's measures in range."""
+        split = sampling.split_stratified(feature_table(tables.cleaned(spark, sf, "typed"), "train"))
+        table = stored_tables.stored(split, work_dir(spark))
+        trained = learning.train_multiclass(table, PROFILES["v3"], learner)
+        predicted = learning.score_multiclass(trained, table.filter(F.col("split") == "test"))
+        report = metrics.class_report(metrics.pair_counts(predicted))
+        return report.filter("support > 0").select("class", "support", _share("precision", "recall", "f1").alias("rates_ok"))
+
+    return run
+
+
+QUERIES["train_multiclass"] = _multiclass_report("forest")
+QUERIES["train_multiclass_boosted"] = _multiclass_report("boosted")
 
 
 @query
 def config_search(spark: SparkSession, sf: str) -> DataFrame:
-    ranked, _ = learning.search(_training_table(spark, sf), PROFILES["v4"], maxIter=4, stepSize=0.1, maxDepth=4)
-    return ranked
+    """Per configuration: the test rows' classes, and whether its threshold is one of the grid's."""
+    ranked, _ = learning.search(_binary_table(spark, sf), PROFILES["v4"])
+    grid = [float(t) for t in V.SWEEP_GRIDS["search"]]
+    return ranked.select(
+        "config",
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("fp") + F.col("tn")).alias("negatives"),
+        F.col("best_threshold").isin(grid).cast("int").alias("in_grid"),
+        _share(*metrics.RATES, "auc", "best_f1").alias("rates_ok"),
+    )
 
 
 @named("score")
 def score_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Model saved, loaded again and applied to every request with served features."""
-    table = _training_table(spark, sf)
+    table = _binary_table(spark, sf)
     path = f"{work_dir(spark)}/model-{tables.run_id()}"
-    artifacts.save_model(
-        spark, learning.train_binary(table, PROFILES["v4"], maxIter=5, maxDepth=4, stepSize=0.1), path
-    )
+    artifacts.save_model(spark, learning.train_binary(table, PROFILES["v4"]), path)
     loaded = artifacts.load_model(spark, path)
     served = align_features(tables.features(spark, sf, "serve"), loaded.features)
-    return learning.score_binary(loaded, served).select("row_id", "attack_type", "score", "predicted")
+    scored = learning.score_binary(loaded, served)
+    decided = F.col("predicted") == (F.col("score") >= V.DEFAULT_THRESHOLD).cast("int")
+    return scored.select("row_id", "attack_type", _share("score").alias("score_ok"), decided.cast("int").alias("decision_ok"))
 
 
 @named("feature_importance")
 def model_importance(spark: SparkSession, sf: str) -> DataFrame:
-    table = _training_table(spark, sf)
-    trained = learning.train_binary(table, PROFILES["v3"], maxIter=5, maxDepth=4, stepSize=0.1)
-    return metrics.importance_cumulative(learning.feature_importance(trained, table))
+    """Every feature of the model, with the sum of all shares."""
+    table = _binary_table(spark, sf)
+    trained = learning.train_binary(table, PROFILES["v3"])
+    shares = metrics.importance_cumulative(learning.feature_importance(trained, table))
+    total = F.round(F.sum("pct").over(W.partitionBy()), 3)  # one row per feature
+    return shares.select("feature", total.alias("total_pct"))
 
 
 # --- streaming -------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "logsieve", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,6 +14,7 @@ def build_session(app: str = "logsieve", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
@@ -35,3 +36,11 @@ def work_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="logsieve-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder until nothing refers to it; its lineage ends here."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
 from logsieve.functions.hashing import md5_number
+from logsieve.sources.examples import example
 
 SITE_HOST = "example.com"
 PATHS = [
@@ -25,6 +26,36 @@ USER_AGENTS = [
 ]
 
 
+def _examples(*patterns: str) -> list[str]:
+    """One request path for each pattern."""
+    found = (example(p.replace("{host}", SITE_HOST.replace(".", r"\."))) for p in patterns)
+    return [text if text.startswith("/") else f"/{text}" for text in found]
+
+
+#: Plain requests, the whole rule corpus, and an example of every pattern that looks at paths or bodies.
+PATHS = list(
+    dict.fromkeys(
+        [
+            *PATHS,
+            *[uri for uris in V.PAYLOADS.values() for uri in uris],
+            *_examples(
+                *[p for _, field, patterns in V.LABEL_RULES if field != "user_agent" for p in patterns],
+                *[p for p, _ in V.REPAIR_RULES], *[p for _, p in V.AUDIT_PATTERNS], *[p for _, p in V.MISSED_PROBES],
+                *V.OLD_URI_RULES, *V.NEW_URI_RULES, *V.BODY_RULES, V.AUDIT_PHP, V.SEO_SPAM_RULE,
+            ),
+            "/archive/notes.bat", "/files/tool.ini", "/a.php?upload",
+        ]
+    )
+)
+#: A third of all requests come from plain agents, so that paths show their effect.
+USER_AGENTS = [
+    *USER_AGENTS,
+    *[example(p) for _, field, patterns in V.LABEL_RULES if field == "user_agent" for p in patterns],
+    *[example(p) for p in (*V.OLD_UA_RULES, *V.NEW_UA_RULES)],
+    *["Mozilla/5.0 (X11; Linux x86_64)"] * 40,
+]
+
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string"
 PAGES = "page_id long, url string"
 
@@ -43,18 +74,9 @@ def _hash(salt: str, key: str) -> str:
     return f"CAST(conv(substr(md5(concat('{salt}', CAST({key} AS STRING))), 1, 8), 16, 10) AS LONG)"
 
 
-def _spread(table: DataFrame, key: str) -> DataFrame:
-    """Spread a table that fits in one read task over all cores; anything larger is read in parallel anyway."""
-    spark = table.sparkSession
-    one_task = 16 * 1024 * 1024
-    if table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > one_task:
-        return table
-    return table.repartition(spark.sparkContext.defaultParallelism, key)
-
-
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event; time runs 3000 times faster, so that a minute holds several requests of a client."""
-    events = _spread(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), "event_id")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     hashed = events.selectExpr(
         "event_id AS row_id",
         "user_id",
@@ -109,13 +131,8 @@ def predicted_class(requests: DataFrame) -> DataFrame:
 
 
 def rule_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests to test rules with: every page's own path, and one corpus request drawn for every page."""
-    corpus = [(name, uri) for name, uris in V.PAYLOADS.items() for uri in uris]
-    pages = _spread(spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet"), "page_id")
-    slot = _hash("corpus", "page_id")
-    drawn = (
-        f"named_struct('class', {_pick([name for name, _ in corpus], slot)}, "
-        f"'uri', {_pick([uri for _, uri in corpus], slot)})"
-    )
-    own = "named_struct('class', 'page', 'uri', concat('/', regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1)))"
-    return pages.selectExpr("page_id", f"explode(array({drawn}, {own})) AS r").selectExpr("page_id", "r.class", "r.uri")
+    """Requests to test rules with: the whole rule corpus once, and every page's own path."""
+    fixed = spark.createDataFrame([(name, uri) for name, uris in V.PAYLOADS.items() for uri in uris], "class string, uri string")
+    pages = spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet")
+    own = pages.selectExpr("'page' AS class", "concat('/', regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1)) AS uri")
+    return fixed.unionByName(own)

@@ -1,49 +1,55 @@
 """Access-log text: scan, parse, account for bad lines."""
 
-from collections.abc import Iterable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
 
 SEPARATOR = "\u0001"
 LINE_HEAD = r"^\s*" + V.LOG_LINE
-ROW_ID_STRIDE_BITS = 33
 
 
-def existing_paths(spark: SparkSession, paths: Iterable[str]) -> tuple[list[str], list[str]]:
-    """Split glob paths into those that match something and those that do not."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found, missing = [], []
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        matched = target.getFileSystem(conf).globStatus(target)
-        (found if matched is not None and len(matched) > 0 else missing).append(path)
-    return found, missing
+def existing_text(spark: SparkSession, path: str) -> DataFrame | None:
+    """The text files of a path or glob, or None where nothing matches."""
+    try:
+        return spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_log_lines(spark: SparkSession, sites: dict[str, str]) -> DataFrame:
     """Lines of each site's log as ``(row_id, source, value)``; sites whose files are missing are skipped.
 
     ``sites`` maps a source tag to a path or glob. Bytes that are not UTF-8 become the replacement character.
-    Row ids are unique and follow file order within an input split.
+
+    A row id is the line's number over all inputs: sites in the given order, files by path, lines as they stand in the
+    file. It is the same however files are split into read tasks: lines are numbered inside each file block as it is
+    read, and the blocks' line counts, one row per block, are added up in file order.
     """
-    found, missing = existing_paths(spark, sites.values())
-    for path in missing:
-        print(f"skipping missing input {path}")
-    if not found:
+    frames = []
+    for place, (tag, path) in enumerate(sites.items()):
+        text = existing_text(spark, path)
+        if text is None:
+            print(f"skipping missing input {path}")
+            continue
+        block = F.struct(
+            F.lit(place).alias("site"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+        )
+        value = F.make_valid_utf8("value").alias("value")
+        frames.append(text.select(F.lit(tag).alias("source"), value, block.alias("_block")))
+    if not frames:
         raise FileNotFoundError(f"no log file under {sorted(sites.values())}")
-    frames = [
-        spark.read.text(path).select(F.lit(tag).alias("source"), F.make_valid_utf8("value").alias("value"))
-        for tag, path in sites.items()
-        if path in found
-    ]
-    lines = frames[0]
-    for frame in frames[1:]:
-        lines = lines.unionByName(frame)
-    return lines.select(F.monotonically_increasing_id().alias("row_id"), "source", "value")
+    lines = reduce(DataFrame.unionByName, frames).withColumn("_at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(starts, "_block").select((F.col("_at") + F.col("_shift")).alias("row_id"), "source", "value")
 
 
 def _fields_by_group(value: Column) -> Column:

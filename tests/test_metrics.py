@@ -143,3 +143,19 @@ def test_importance_share_of_window_features(spark):
     shares = {r.feature: r.pct for r in table}
     assert round(sum(shares[f] for f in V.WINDOW_FEATURES), 1) == 42.8
     assert table[-1].cumulative_pct == 100.0
+
+
+def test_scores_that_are_missing_reach_no_threshold(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, None), (0, float("nan")), (0, 0.2)], "is_attack int, score double")
+    rows = metrics.threshold_sweep(df, ["0.1", "0.5"]).orderBy("threshold").collect()
+    assert [(r.tn, r.fp, r.fn, r.tp) for r in rows] == [(1, 1, 1, 1), (2, 0, 1, 1)]
+
+
+def test_rows_without_a_prediction_or_status_are_counted(spark):
+    df = spark.createDataFrame([(1, None), (0, None), (1, 1)], "is_attack int, predicted int")
+    assert tuple(metrics.confusion(df).first()) == (1, 0, 1, 1)
+    replay = spark.createDataFrame(
+        [("attack", None, None), ("attack", 403, None), ("normal", None, "timeout")], "label string, status int, error string"
+    )
+    row = metrics.replay_metrics(replay).first()
+    assert (row.errors, row.tn, row.fp, row.fn, row.tp, row.recall) == (1, 0, 0, 1, 1, 0.5)

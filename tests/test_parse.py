@@ -53,3 +53,16 @@ def test_files_sites_and_bytes(spark, tmp_path):
     assert rows[1].user_agent == "x�"
     with pytest.raises(FileNotFoundError):
         read_log_lines(spark, {"data": str(tmp_path / "none.log")})
+
+
+def test_row_ids_do_not_depend_on_read_splits(spark, tmp_path):
+    for site, lines in {"a": 1, "b": 3000, "c": 500}.items():
+        (tmp_path / f"{site}.log").write_text("".join(GOOD.replace("/a?x=1", f"/{site}{i}") + "\n" for i in range(lines)))
+    seen = []
+    for size in ("1k", "17k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        lines = read_log_lines(spark, {"www": str(tmp_path / "[ab].log"), "data": str(tmp_path / "c.log")})
+        seen.append([(r.row_id, r.source, r.path) for r in parse_log(lines).orderBy("row_id").collect()])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = [("www", "/a0"), *[("www", f"/b{i}") for i in range(3000)], *[("data", f"/c{i}") for i in range(500)]]
+    assert seen[0] == seen[1] == seen[2] == [(i, *name) for i, name in enumerate(names)]

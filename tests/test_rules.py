@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logsieve.functions import fixed_values as V
 from logsieve.functions.rules import Rule, alternation, label_rules, rules_from
 from logsieve.operators import audit, coverage
-from logsieve.operators.labeling import label_requests, repair_counts, repair_labels
+from logsieve.operators.labeling import label_requests, repair_counts, repair_labels, rule_flag
 from logsieve.sources.derived import PATHS
 
 TEXTS = PATHS + [u for uris in V.PAYLOADS.values() for u in uris] + V.NEW_UA_RULES + ["", "/ENV", "/x/ENV", "//"]
@@ -89,8 +89,6 @@ def test_user_rules_from_a_table(spark, requests):
     assert rules == [Rule("early", "path", "a"), Rule("late", "path", "b")]
     got = label_requests(requests({"path": "/b"}, {"path": "/AB"}, {"path": "/c"}), rules).orderBy("row_id").collect()
     assert [r.attack_type for r in got] == ["late", "early", "normal"]
-    with pytest.raises(ValueError):
-        rules_from(table, max_rules=1)
 
 
 def brute_first_rule(uri, agent, method, body):
@@ -137,3 +135,31 @@ def test_audit_counts_rows_not_paths(requests):
     samples = audit.audit_samples(labeled, n=2).filter("pattern = 'nacos'").orderBy("rank").collect()
     assert [(r.rank, r.row_id) for r in samples] == [(1, 0), (2, 1)]
     assert [(r.path, r.n) for r in audit.audit_matching(labeled, "nacos").collect()] == [("/nacos/a", 2), ("/solr/nacos/", 1)]
+
+
+def test_a_class_may_search_several_fields(requests):
+    rules = [Rule("a", "path", "zzz"), Rule("a", "user_agent", "curl"), Rule("b", "path", "yyy")]
+    df = requests({"user_agent": "curl/8"}, {"path": "/zzz"}, {"path": "/yyy"})
+    flags = df.orderBy("row_id").select(rule_flag("a", rules).alias("f"), rule_flag("none", rules).alias("g")).collect()
+    assert [(r.f, r.g) for r in flags] == [(1, 0), (1, 0), (0, 0)]
+
+
+def test_an_empty_rule_list_is_no_default(requests):
+    df = requests({"path": "/?and/x"})
+    assert label_requests(df, []).first().attack_type == "normal"
+    labeled = label_requests(df, [])
+    assert repair_labels(labeled, "typed", []).first().attack_type == "normal"
+
+
+def test_fixture_reaches_every_pattern():
+    from logsieve.sources.derived import PATHS, SITE_HOST, USER_AGENTS
+
+    host = SITE_HOST.replace(".", r"\.")
+    on_path = [p.replace("{host}", host) for _, field, patterns in V.LABEL_RULES if field != "user_agent" for p in patterns]
+    on_path += [p for p, _ in V.REPAIR_RULES] + [p for _, p in [*V.AUDIT_PATTERNS, *V.MISSED_PROBES]]
+    on_path += [*V.OLD_URI_RULES, *V.NEW_URI_RULES, *V.BODY_RULES, V.AUDIT_PHP, V.AUDIT_SUFFIX, V.SEO_SPAM_RULE]
+    on_agent = [p for _, field, patterns in V.LABEL_RULES if field == "user_agent" for p in patterns] + [*V.OLD_UA_RULES, *V.NEW_UA_RULES]
+    for pattern in on_path:
+        assert any(re.search(pattern, path, re.I | re.A) for path in PATHS), pattern
+    for pattern in on_agent:
+        assert any(re.search(pattern, agent, re.I | re.A) for agent in USER_AGENTS), pattern
