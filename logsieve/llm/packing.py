@@ -8,6 +8,7 @@ payload. Each block starts on a byte, so any id range can be read from its block
 import os
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,44 +91,68 @@ class Packed:
         return unpack(self._payload[self.offsets[k] :][: (count * self.bits + 7) // 8], count, self.bits)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others in order
+    from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """Values by key, made when first asked for; once ``most`` are kept, further ones are made again each time."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, key: object) -> bytes:
+        value = self._make(key)
+        if len(self) < self._most:
+            self[key] = value
+        return value
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word, with a bounded cache of words.
+    """Ids of whole texts, word by word, with bounded caches of words and of their pieces.
 
-    The tokenizer drops white space and treats each run of other characters by itself, so a text's ids are those of its
-    words in order. Words that are new are encoded together, a separator between them. ``tokenizer`` loads it: it takes
-    no arguments and runs where the texts are.
+    The tokenizer drops white space and treats each run of letters by itself, so a text's ids are those of its words in
+    order. A word that ends in full stops or commas after a letter or digit is two pieces. Pieces of plain Latin letters
+    go to the vocabulary's merges directly, in lower case and spelled as byte letters; all others take the tokenizer's
+    whole path. Loading compares both ways on some words and keeps to the whole path if they differ. ``tokenizer`` loads
+    the tokenizer: it takes no arguments and runs where the texts are.
     """
 
-    def __init__(self, tokenizer: Callable[[], object], most_words: int = 400_000) -> None:
+    PROBE = ["a", "Words", "stra\u00dfe", "\u00c9t\u00e9", "\u00f1and\u00fa", "abcdefghijklmnopqrstuvwxyz", "\u0160koda"]
+
+    def __init__(self, tokenizer: Callable[[], object], most_words: int = 250_000, most_pieces: int = 400_000) -> None:
         self._tokenizer = tokenizer()
-        self._most, self._words = most_words, {}
-        (self._mark,) = self._one("\x01")
+        self._words, self._pieces = _Known(self._word, most_words), _Known(self._piece, most_pieces)
+        self._letters = _byte_letters()
+        self._direct = all(self._merged(p) == self._whole(p) for p in self.PROBE)
 
-    def _one(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in new if b"\x01" not in w]
-        known = {w: np.array(self._one(w.decode()), "<u4").tobytes() for w in new if b"\x01" in w}
-        for at in range(0, len(plain), 2_000):
-            part = plain[at : at + 2_000]
-            ids = np.array(self._one(b" \x01 ".join(part).decode()), "<u4")
-            ends = np.r_[np.flatnonzero(ids == self._mark), len(ids)]
-            begins = np.r_[0, ends[:-1] + 1]
-            raw = ids.tobytes()
-            known |= {w: raw[4 * a : 4 * b] for w, a, b in zip(part, begins.tolist(), ends.tolist(), strict=True)}
-        return known
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]  # bytes split at ASCII white space alone
-        known = self._words
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        learned = self._learn(new)
-        if len(known) + len(learned) <= self._most:
-            known |= learned
-        else:
-            known = known | learned
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+    def _merged(self, piece: str) -> list[int]:
+        letters = piece.lower().encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._tokenizer.model.tokenize(letters)]
+
+    def _piece(self, piece: str) -> bytes:
+        # below U+0250 letters are in normal form, and lower case is letter by letter but for the dotted I
+        plain = self._direct and piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece
+        return array("I", self._merged(piece) if plain else self._whole(piece)).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text.rstrip(".,")
+        if len(stem) < len(text) and stem and stem[-1].isalnum():
+            return self._pieces[stem] + self._pieces[text[len(stem) :]]
+        return self._pieces[text]
+
+    def encode(self, text: str) -> np.ndarray:
+        # bytes split at ASCII white space alone
+        return np.frombuffer(b"".join(map(self._words.__getitem__, text.encode().split())), np.uint32)
 
 
 _encoders: dict = {}
@@ -180,14 +205,13 @@ def _writer(uri: str, vocabulary_file: str, end_id: int, bits: int, block: int,
 
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for key, found in zip(keys[at : at + 256], encoder.encode(texts[at : at + 256])):
-                    docs.append(key)
-                    ids.append(np.append(found, np.uint32(end_id)).astype(np.uint32))
-                    held += len(found) + 1
-                    if held >= ids_per_file:
-                        yield save()
-                        part, docs, ids, held = part + 1, [], [], 0
+            for key, text in zip(keys, texts):
+                docs.append(key)
+                ids.append(np.append(encoder.encode(text), np.uint32(end_id)))
+                held += len(ids[-1])
+                if held >= ids_per_file:
+                    yield save()
+                    part, docs, ids, held = part + 1, [], [], 0
         if docs:
             yield save()
 

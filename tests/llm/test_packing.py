@@ -1,5 +1,4 @@
 import zlib
-from functools import partial
 
 import numpy as np
 import pytest
@@ -57,6 +56,6 @@ def test_odd_rows(documents):
 def test_cache_limit_changes_nothing():
     texts = [t or "" for _, t in TEXTS] + ["other words here"]
     load = packing.from_file(vocabulary_path())
-    small, large = packing.WordEncoder(load, most_words=2), packing.WordEncoder(load)
-    for a, b in zip(small.encode(texts) + small.encode(texts), large.encode(texts) + large.encode(texts)):
-        assert (a == b).all()
+    small, large = packing.WordEncoder(load, 2, 1), packing.WordEncoder(load)
+    for text in texts * 2:
+        assert small.encode(text).tolist() == large.encode(text).tolist()
