@@ -37,7 +37,9 @@ def audit_samples(df: DataFrame, patterns: Patterns = V.AUDIT_PATTERNS, n: int =
     """First ``n`` paths of each pattern by row id."""
     path = text("path")
     names = F.array_compact(F.array(*[F.when(contains(path, p), F.lit(name)) for name, p in patterns]))
-    hits = normal_rows(df).select("row_id", path.alias("path"), F.explode(names).alias("pattern"))
+    # One alternation goes first: the single patterns are tried on paths that one of them matches.
+    some = normal_rows(df).filter(contains(path, *[p for _, p in patterns]))
+    hits = some.select("row_id", path.alias("path"), F.explode(names).alias("pattern"))
     best = top_per_group(hits, "pattern", [F.asc("row_id")], n)
     return best.select("pattern", "rank", "row_id", F.substring("path", 1, 150).alias("path"))
 

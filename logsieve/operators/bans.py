@@ -24,46 +24,69 @@ def error_seconds(df: DataFrame) -> DataFrame:
     return failed.groupBy("ip", "event_s").agg(F.count("*").alias("n"))
 
 
-def ban_triggers(per_second: DataFrame, errors: int, period: int) -> DataFrame:
+BUCKET = 86_400
+
+
+def ban_triggers(per_second: DataFrame, errors: int, period: int, bucket: int = BUCKET) -> DataFrame:
     """Seconds at which a client reaches ``errors`` within ``period``.
 
-    Each row holds an error, so the last ``errors`` rows are enough to decide whether the period holds that many.
+    Each row holds an error, so the last ``errors`` rows are enough to decide whether the period holds that many. Rows are
+    ordered inside (client, bucket); the last ``period`` seconds of a bucket are context of the next one.
     """
-    client = W.partitionBy("ip").orderBy("event_s")
+    length = max(bucket, period)
+    own = per_second.select("ip", "event_s", "n", F.floor(F.col("event_s") / length).alias("_bucket"), F.lit(True).alias("_own"))
+    late = own.filter(F.col("event_s") > (F.col("_bucket") + 1) * length - period)
+    rows = own.unionByName(late.withColumns({"_bucket": F.col("_bucket") + 1, "_own": F.lit(False)}))
+    client = W.partitionBy("ip", "_bucket").orderBy("event_s")
     recent = F.collect_list(F.struct("event_s", "n")).over(client.rowsBetween(-(errors - 1), W.currentRow))
     in_period = F.aggregate(
         "recent",
         F.lit(0).cast("long"),
         lambda total, r: total + F.when(r["event_s"] > F.col("event_s") - period, r["n"]).otherwise(0),
     )
-    return per_second.withColumn("recent", recent).filter(in_period >= errors).select("ip", "event_s")
+    return rows.withColumn("recent", recent).filter(F.col("_own") & (in_period >= errors)).select("ip", "event_s")
 
 
-def merge_triggers(triggers: DataFrame, ban: int) -> DataFrame:
-    """Bans of triggers less than ``ban`` apart joined into one. ``since`` is the start of a ban already running."""
-    client = W.partitionBy("ip").orderBy("event_s")
-    fresh = (F.col("event_s") - F.lag("event_s").over(client) >= ban).cast("int")
-    island = F.sum(F.coalesce("fresh", F.lit(0))).over(client.rowsBetween(W.unboundedPreceding, W.currentRow))
+def _islands(rows: DataFrame, ban: int, *group: str) -> DataFrame:
+    """Rows (first, last, since, triggers) that follow each other by less than ``ban`` joined into one, inside each group."""
+    order = W.partitionBy(*group).orderBy("first")
+    fresh = (F.col("first") - F.lag("last").over(order) >= ban).cast("int")
+    island = F.sum(F.coalesce("fresh", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     return (
-        triggers.withColumn("fresh", fresh)
+        rows.withColumn("fresh", fresh)
         .withColumn("island", island)
-        .groupBy("ip", "island")
+        .groupBy(*group, "island")
         .agg(
-            F.min(F.least("since", "event_s")).alias("ban_start"),
-            (F.max("event_s") + ban).alias("ban_end"),
-            F.count("*").alias("triggers"),
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            F.min("since").alias("since"),
+            F.sum("triggers").alias("triggers"),
         )
         .drop("island")
     )
 
 
+def merge_triggers(triggers: DataFrame, ban: int, bucket: int = BUCKET) -> DataFrame:
+    """Bans of triggers less than ``ban`` apart joined into one. ``since`` is the start of a ban already running.
+
+    Triggers are joined inside (client, bucket) first. What is left to order by client alone are those joined bans, at most
+    one per ``ban`` seconds.
+    """
+    single = triggers.select(
+        "ip", F.floor(F.col("event_s") / bucket).alias("_bucket"), F.col("event_s").alias("first"), F.col("event_s").alias("last"),
+        F.least("since", "event_s").alias("since"), F.lit(1).alias("triggers"),
+    )
+    merged = _islands(_islands(single, ban, "ip", "_bucket").drop("_bucket"), ban, "ip")
+    return merged.select("ip", F.col("since").alias("ban_start"), (F.col("last") + ban).alias("ban_end"), "triggers")
+
+
 def ban_windows(
-    df: DataFrame, errors: int = V.BAN_AFTER_ERRORS, period: int = V.BAN_SECONDS, ban: int = V.BAN_SECONDS
+    df: DataFrame, errors: int = V.BAN_AFTER_ERRORS, period: int = V.BAN_SECONDS, ban: int = V.BAN_SECONDS, bucket: int = BUCKET
 ) -> DataFrame:
     """Bans ``[ban_start, ban_end)`` per client: at ``errors`` 4xx within ``period`` a ban of ``ban`` seconds
     starts, and a new trigger inside it extends it."""
-    triggers = ban_triggers(error_seconds(df), errors, period)
-    return merge_triggers(triggers.withColumn("since", F.col("event_s")), ban)
+    triggers = ban_triggers(error_seconds(df), errors, period, bucket)
+    return merge_triggers(triggers.withColumn("since", F.col("event_s")), ban, bucket)
 
 
 def mark_banned(df: DataFrame, bans: DataFrame, slice_seconds: int = 3600) -> DataFrame:

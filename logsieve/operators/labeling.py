@@ -59,11 +59,10 @@ def repair_counts(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFra
     rules = repair_rules() if rules is None else list(rules)
     numbered = [Rule(str(i), r.field, r.pattern) for i, r in enumerate(rules)]
     missed = df.filter((F.col("attack_type") == NORMAL) & (F.col("is_attack") == 0))
-    hits = missed.select(first_class(numbered, F.lit(None).cast("string")).cast("int").alias("ord"))
+    # Counted before the filter, so that the rule chain runs once per row.
+    hits = missed.groupBy(first_class(numbered, F.lit(None).cast("string")).cast("int").alias("ord")).agg(F.count("*").alias("repaired"))
     named = F.element_at(F.array(*[F.lit(r.pattern) for r in rules]), F.col("ord") + 1)
     return (
         hits.filter(F.col("ord").isNotNull())
-        .groupBy("ord")
-        .agg(F.count("*").alias("repaired"))
         .select("ord", named.alias("pattern"), "repaired")
     )

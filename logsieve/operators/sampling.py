@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.hashing import md5_key, md5_number
 from logsieve.operators.coverage import label_text
+from logsieve.session import checkpoint
 
 BUCKET_DIGITS = 4  # hex digits of the md5 key: 65,536 histogram buckets
 
@@ -17,9 +18,11 @@ def sample_n(df: DataFrame, n: int, seed: str = "42", key: str = "row_id") -> Da
 
 def balanced_sample(df: DataFrame, n_attack: int, n_normal: int, seed: str = "42") -> DataFrame:
     """``n_attack`` attacks and ``n_normal`` normal requests with a text label."""
-    attacks = sample_n(df.filter(F.col("is_attack") == 1), n_attack, seed)
-    normals = sample_n(df.filter(F.col("is_attack") == 0), n_normal, seed)
-    return attacks.unionByName(normals).withColumn("label", label_text(F.col("is_attack")))
+    rank = F.row_number().over(W.partitionBy("is_attack").orderBy(md5_key(seed, "row_id"), "row_id"))
+    # The first filter is a group limit inside the tasks, so one scan serves both classes.
+    first = df.withColumn("_rank", rank).filter(F.col("_rank") <= max(n_attack, n_normal))
+    wanted = F.when(F.col("is_attack") == 1, n_attack).when(F.col("is_attack") == 0, n_normal).otherwise(0)
+    return first.filter(F.col("_rank") <= wanted).drop("_rank").withColumn("label", label_text(F.col("is_attack")))
 
 
 def split_label(seed: str = "split", key: str = "row_id", train_percent: int = 80) -> Column:
@@ -43,11 +46,11 @@ def split_three(df: DataFrame, train_percent: int = 80, valid_percent: int = 10,
 def _stratum_cuts(df: DataFrame, label: str, train_percent: int, seed: str, key: str) -> DataFrame:
     """Per class the hash key of its last training row: ``(label, _cut_hash, _cut_key)``.
 
-    A histogram of hash prefixes finds the bucket the cut falls in; only that bucket's rows (1/65,536 of a class)
+    Labels and hashes are computed once and checkpointed. A histogram of hash prefixes finds the bucket the cut falls in; only that bucket's rows (1/65,536 of a class)
     are ranked. Sorting a whole class would put the largest class into one task.
     """
     digits = F.substring("_hash", 1, BUCKET_DIGITS)
-    keyed = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"), md5_key(seed, key).alias("_hash"))
+    keyed = checkpoint(df.select(F.col(label).alias("_label"), F.col(key).alias("_key"), md5_key(seed, key).alias("_hash")))
     counts = keyed.groupBy("_label", digits.alias("_bucket")).agg(F.count("*").alias("_n"))
     whole = W.partitionBy("_label")
     upto = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -2,10 +2,11 @@
 
 A window over a whole client would put that client's history into one task. Instead the work is split in two:
 
-* inside one (client, second): position, errors and repeats up to the row. This is the only pass over rows, it is
-  hash-partitioned by client *and* second, so a busy client spreads over as many tasks as it has seconds;
-* between seconds: one row per (client, second) with its totals. A client has at most 86,400 such rows a day,
-  whatever its traffic, and a frame covers at most 60 of them.
+* inside one (client, second): position, errors and repeats up to the row. Rows are hash-partitioned by client *and*
+  second, so a busy client spreads over as many tasks as it has seconds. Rows pass twice, once with the few columns that
+  the totals need and once whole;
+* between seconds: one row per (client, second) with its totals, ordered inside (client, day). That is at most 86,400
+  rows in a task's group, whatever a client's traffic and however long the log, and a frame covers at most 60 of them.
 
 The frame is left-open, (t - 60 s, t], and a row does not see later rows of its own second (order: row id).
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CELL = ["ip", "_second"]
+BUCKET = 86_400
 
 
 def _rows_in_second(df: DataFrame) -> DataFrame:
@@ -36,8 +38,12 @@ def _rows_in_second(df: DataFrame) -> DataFrame:
     return stepped.withColumns({"_repeat": repeat, "_repeats": F.sum(repeat).over(so_far)})
 
 
-def _between_seconds(rows: DataFrame, seconds: int) -> DataFrame:
-    """Per (client, second): sums over the earlier seconds of the frame, and what the second before ended with."""
+def _between_seconds(rows: DataFrame, seconds: int, bucket: int) -> DataFrame:
+    """Per (client, second): sums over the earlier seconds of the frame, and what the second before ended with.
+
+    Totals are ordered inside (client, bucket). A bucket gets the last path of the one before it, and the totals of the
+    seconds just before it as context, which only frames see.
+    """
     totals = (
         rows.filter(F.col("event_s").isNotNull())
         .groupBy(*CELL)
@@ -48,31 +54,44 @@ def _between_seconds(rows: DataFrame, seconds: int) -> DataFrame:
             F.min_by("_path", "row_id").alias("_first"),
             F.max_by("_path", "row_id").alias("_last"),
         )
+        .withColumn("_bucket", F.floor(F.col("_second") / bucket))
     )
-    by_client = W.partitionBy("ip").orderBy("_second")
-    earlier = by_client.rangeBetween(-(seconds - 1), -1)
-    linked = totals.withColumn("_before", F.lag("_last").over(by_client)).withColumn(
-        "_joins", F.coalesce((F.col("_first") == F.col("_before")).cast("long"), F.lit(0))
-    )
-    return linked.select(
+    # one row per client and bucket
+    ends = totals.groupBy("ip", "_bucket").agg(F.max_by("_last", "_second").alias("_end"))
+    carried = F.lag("_end").over(W.partitionBy("ip").orderBy("_bucket"))
+    ends = ends.select("ip", "_bucket", carried.alias("_carried"))
+    by_bucket = W.partitionBy("ip", "_bucket").orderBy("_second")
+    before = F.coalesce(F.lag("_last").over(by_bucket), F.col("_carried"))
+    linked = totals.join(ends, ["ip", "_bucket"]).withColumn("_before", before)
+    linked = linked.withColumn("_joins", F.coalesce((F.col("_first") == F.col("_before")).cast("long"), F.lit(0)))
+
+    late = F.col("_second") >= (F.col("_bucket") + 1) * bucket - (seconds - 1)
+    own = linked.withColumn("_own", F.lit(True))
+    context = linked.filter(late).withColumns({"_bucket": F.col("_bucket") + 1, "_own": F.lit(False)})
+    earlier = by_bucket.rangeBetween(-(seconds - 1), -1)
+    framed = own.unionByName(context).select(
         *CELL,
+        "_own",
         "_before",
         "_joins",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_earlier"),
         F.coalesce(F.sum("_n404").over(earlier), F.lit(0)).alias("_err_earlier"),
         F.coalesce(F.sum(F.col("_inner") + F.col("_joins")).over(earlier), F.lit(0)).alias("_rep_earlier"),
     )
+    return framed.filter("_own").drop("_own")
 
 
-def _joined(df: DataFrame, seconds: int) -> DataFrame:
+def _joined(df: DataFrame, seconds: int, bucket: int) -> DataFrame:
+    if bucket < seconds:
+        raise ValueError("a bucket is at least as long as the frame")
     # The totals side reads only what it needs (client, time, row id, path, status).
     slim = df.select("row_id", "ip", "event_s", "path", "status")
-    between = _between_seconds(_rows_in_second(slim), seconds)
+    between = _between_seconds(_rows_in_second(slim), seconds, bucket)
     # Rows are already partitioned and sorted by the join key; only the totals move.
     return _rows_in_second(df).join(between, CELL, "left")
 
 
-def add_window_features(df: DataFrame, seconds: int = 60) -> DataFrame:
+def add_window_features(df: DataFrame, seconds: int = 60, bucket: int = BUCKET) -> DataFrame:
     """Add ``req_count_60s``, ``err_count_60s`` and ``unique_url_60s``.
 
     Needs ``row_id, ip, event_s, path, status``. The last one is requests minus repeats of the client's previous
@@ -82,7 +101,7 @@ def add_window_features(df: DataFrame, seconds: int = 60) -> DataFrame:
     errors = F.col("_err_earlier") + F.col("_err")
     repeats = F.col("_rep_earlier") + F.col("_joins") + F.col("_repeats")
     timed = F.col("event_s").isNotNull()
-    return _joined(df, seconds).select(
+    return _joined(df, seconds, bucket).select(
         *df.columns,
         F.when(timed, requests).otherwise(0).cast("int").alias("req_count_60s"),
         F.when(timed, errors).otherwise(0).cast("int").alias("err_count_60s"),
@@ -90,10 +109,10 @@ def add_window_features(df: DataFrame, seconds: int = 60) -> DataFrame:
     )
 
 
-def add_previous_path(df: DataFrame) -> DataFrame:
+def add_previous_path(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Add the client's previous path and ``same_url``, 1 when this path repeats it."""
     first = F.col("_pos") == 1
-    return _joined(df, 60).select(
+    return _joined(df, 60, bucket).select(
         *df.columns,
         F.when(first, F.col("_before")).otherwise(F.col("_prev")).alias("prev_path"),
         F.when(first, F.coalesce("_joins", F.lit(0))).otherwise(F.col("_repeat")).cast("int").alias("same_url"),

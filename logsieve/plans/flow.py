@@ -14,7 +14,7 @@ from logsieve.functions import fixed_values as V
 from logsieve.functions.requests import PROFILES
 from logsieve.functions.rules import Rule
 from logsieve.operators import learning, metrics
-from logsieve.operators.features import feature_table
+from logsieve.operators.features import feature_table, resolve_aliases
 from logsieve.operators.labeling import exclude_classes, label_requests, repair_labels
 from logsieve.operators.sampling import split_stratified, split_three
 from logsieve.sources import artifacts
@@ -25,7 +25,13 @@ from logsieve.sources.tables import read_table, write_table
 def prepare(spark: SparkSession, sites: dict[str, str], out: str, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Parse and label the logs of ``sites``, write ``parsed``, ``labeled`` and ``features`` under ``out``."""
     write_table(parse_log(read_log_lines(spark, sites)), f"{out}/parsed")
-    write_table(label_requests(read_table(spark, f"{out}/parsed"), rules), f"{out}/labeled")
+    prepare_requests(spark, read_table(spark, f"{out}/parsed"), out, rules)
+    return read_table(spark, f"{out}/features")
+
+
+def prepare_requests(spark: SparkSession, requests: DataFrame, out: str, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The same from a table of requests, whose path and agent columns may go by their other names."""
+    write_table(label_requests(resolve_aliases(requests, ["path", "user_agent"]), rules), f"{out}/labeled")
     write_table(feature_table(read_table(spark, f"{out}/labeled")), f"{out}/features")
     return read_table(spark, f"{out}/features")
 

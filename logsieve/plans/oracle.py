@@ -278,6 +278,7 @@ FROM {source} GROUP BY 1 {tail}""")
 mix("uri_family_mix", LOG, "log", URI_FAMILY, "family")
 mix("ua_family_mix", LOG, "log", UA_FAMILY, "family")
 mix("mix_status", LOG, "log", "status", "status")
+mix("mix_status_normal", LABELED, "labeled WHERE is_attack = 0", "status", "status", "ORDER BY n DESC, status LIMIT 20")
 mix("mix_method", LOG, "log", "method", "method", "ORDER BY n DESC, method LIMIT 10")
 mix("mix_source", LOG, "log", "source", "source")
 mix("csv_report_round_trip", LABELED, "labeled", "attack_type", "attack_type")
@@ -480,10 +481,14 @@ WHERE is_attack = 0 AND predicted = 1 ORDER BY row_id LIMIT 1000""")
 put("join_labels", LABELED, f"""
 SELECT r.row_id, {', '.join(f'r.{n}' for n in PATH_SQL)}, l.is_attack, l.attack_type
 FROM (SELECT row_id, {cols(PATH_SQL)} FROM req) r JOIN labeled l ON r.row_id = l.row_id""")
-put("join_labels_left", LABELED, f"""
+put("join_labels_left", RAW + f""",
+lines AS (SELECT row_id, {group(5)} AS p, {group(10)} AS a, {group(5)} || ' ' || {group(9)} AS pf
+  FROM raw WHERE regexp_matches(value, {LINE})),
+relabeled AS (SELECT row_id, CASE {' '.join(f"WHEN {like(c, p)} THEN '{n}'" for n, c, p in RULES)} ELSE 'normal' END
+  AS attack_type FROM lines)""", f"""
 SELECT r.row_id, {', '.join(f'r.{n}' for n in UA_SQL)}, l.attack_type
 FROM (SELECT row_id, {cols(UA_SQL)} FROM req) r
-LEFT JOIN (SELECT * FROM labeled WHERE source = 'www') l ON r.row_id = l.row_id""")
+LEFT JOIN (SELECT * FROM relabeled) l ON r.row_id = l.row_id""")
 BANS = """
 failed AS (SELECT ip, event_s FROM req WHERE status >= 400 AND status < 500),
 hot AS (SELECT DISTINCT ip, event_s FROM (SELECT ip, event_s, count(*) OVER (
@@ -533,13 +538,17 @@ swept AS (SELECT threshold, tn, fp, fn, tp, {RATES} FROM (
 
 
 put("threshold_sweep", sweep_table("fourteen"), "SELECT * FROM swept")
-for _g in ("half_up", "offline", "search"):
+for _g in ("half_up", "eight", "ten", "offline", "full", "complete", "search"):
     put(f"threshold_sweep_{_g}", sweep_table(_g), "SELECT * FROM swept")
 put("best_threshold_fpr", sweep_table("fourteen"), """
 SELECT *, CAST(fpr < 0.05 AS INT) AS within_limit FROM swept
 ORDER BY (fpr < 0.05) DESC, CASE WHEN fpr < 0.05 THEN fnr ELSE fpr END, threshold LIMIT 1""")
 put("best_threshold_f1", sweep_table("search"), "SELECT * FROM swept ORDER BY f1 DESC, threshold LIMIT 1")
 
+mix("missed_mix_high", SCORED, "scored WHERE is_attack = 1 AND score < 0.85", "attack_type", "attack_type")
+put("missed_paths_high", SCORED, """
+SELECT row_id, substr(p, 1, 120) AS path FROM scored WHERE is_attack = 1 AND score < 0.85 ORDER BY row_id LIMIT 30""")
+
 put("auc", SCORED, """
 , ranked AS (SELECT is_attack, score, avg(r) OVER (PARTITION BY score) AS rank FROM (
   SELECT is_attack, score, row_number() OVER (ORDER BY score) AS r FROM scored)),
@@ -673,8 +682,7 @@ classed AS (SELECT source, CASE {' '.join(f"WHEN {like(c, p)} THEN '{n}'" for n,
 put("stream_live_features", WINDOWED, f"SELECT row_id, {', '.join(V.WINDOW_FEATURES)} FROM windows")
 put("stream_bans", LOG + "," + BANS, "SELECT ip, ban_start, ban_end FROM bans")
 put("stream_rate_limit", LOG, """
-SELECT ip, event_s // 60 * 60 AS window_start, count(*) AS requests FROM log GROUP BY 1, 2
-HAVING count(*) > 8 AND window_start + 60 <= (SELECT max(event_s) - 60 FROM log)""")
+SELECT ip, event_s // 60 * 60 AS window_start, count(*) AS requests FROM log GROUP BY 1, 2 HAVING count(*) > 8""")
 
 # --- training: what SQL can know of it -----------------------------------------------------------------
 

@@ -24,7 +24,7 @@ from logsieve.functions.rules import label_rules, text
 from logsieve.operators import audit, bans, coverage, distribution, labeling, learning, metrics, reports, sampling
 from logsieve.operators.features import align_features, feature_table, select_profile
 from logsieve.operators.joins import join_labels
-from logsieve.operators.labeling import exclude_classes, repair_counts, repair_labels, rule_flag
+from logsieve.operators.labeling import exclude_classes, label_requests, repair_counts, repair_labels, rule_flag
 from logsieve.operators.windows import add_previous_path, add_window_features
 from logsieve.plans import tables
 from logsieve.session import work_dir
@@ -72,15 +72,19 @@ def parse_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.parse_log(derived.raw_log(spark, sf)).drop("event_time")
 
 
-@query
-def parse_text_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The log written as text files, one folder per site, and read back: rows numbered by line over both sites."""
-    base = f"{work_dir(spark)}/text-{tables.run_id()}"
+def _text_log(spark: SparkSession, sf: str, base: str) -> dict[str, str]:
+    """The log as text files in row order, a folder for each site."""
     raw = derived.raw_log(spark, sf)
     for site in ("data", "www"):
         raw.filter(F.col("source") == site).orderBy("row_id").select("value").write.text(f"{base}/{site}")
-    lines = logs.read_log_lines(spark, {site: f"{base}/{site}/*" for site in ("data", "www")})
-    return logs.parse_log(lines).drop("event_time")
+    return {site: f"{base}/{site}" for site in ("data", "www")}
+
+
+@query
+def parse_text_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log written as text files, one folder per site, and read back: rows numbered by line over both sites."""
+    sites = _text_log(spark, sf, f"{work_dir(spark)}/text-{tables.run_id()}")
+    return logs.parse_log(logs.read_log_lines(spark, sites)).drop("event_time")
 
 
 @query
@@ -416,10 +420,10 @@ def join_label_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @named("join_labels_left")
 def join_label_columns_left(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of one site only, so rows of the other keep NULL labels."""
+    """Labels of the lines that parse; requests whose line does not keep NULL labels."""
     features = derived.access_log(spark, sf).select("row_id", *[c.alias(n) for n, c in ua_features().items()])
-    joined = join_labels(features, tables.labeled(spark, sf).filter(F.col("source") == "www"), "left")
-    return joined.drop("is_attack")
+    parsed = label_requests(logs.parse_log(derived.raw_log(spark, sf)))
+    return join_labels(features, parsed, "left").drop("is_attack")
 
 
 def _bans(spark: SparkSession, sf: str) -> DataFrame:
@@ -444,14 +448,38 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def layered_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    requests = derived.scored(tables.labeled(spark, sf))
-    marked = bans.mark_banned(add_window_features(requests), _bans(spark, sf))
-    return coverage.layered_verdict(marked, SMALL_RATE_LIMIT).select("row_id", "attack_type", "verdict")
+    """Windows and bans come before the labels, so that only narrow rows are shuffled and each rule runs once."""
+    marked = bans.mark_banned(add_window_features(derived.access_log(spark, sf)), _bans(spark, sf))
+    return coverage.layered_verdict(derived.scored(tables.once(label_requests(marked), "attack_type", "is_attack")), SMALL_RATE_LIMIT).select("row_id", "attack_type", "verdict")
 
 
 # --- reports ---------------------------------------------------------------------------------
 
 
+@query
+def mix_status_normal(spark: SparkSession, sf: str) -> DataFrame:
+    """Most frequent status codes of requests that no rule labels."""
+    normal = tables.labeled(spark, sf).filter(F.col("is_attack") == 0)
+    return reports.value_counts(normal, "status", "status", top=20)
+
+
+def _missed_at(spark: SparkSession, sf: str, threshold: float) -> DataFrame:
+    return tables.scored(spark, sf).filter((F.col("is_attack") == 1) & (F.col("score") < threshold))
+
+
+@query
+def missed_mix_high(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of the attacks that a threshold of 0.85 misses."""
+    return reports.value_counts(_missed_at(spark, sf, 0.85), "attack_type", "attack_type")
+
+
+@query
+def missed_paths_high(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of the first 30 of them."""
+    first = _missed_at(spark, sf, 0.85).orderBy("row_id").limit(30)
+    return first.select("row_id", F.substring(text("path"), 1, 120).alias("path"))
+
+
 @query
 def mix_status(spark: SparkSession, sf: str) -> DataFrame:
     return reports.value_counts(derived.access_log(spark, sf), "status", "status")
@@ -505,7 +533,7 @@ def _sweep(grid: str) -> Query:
 
 
 QUERIES["threshold_sweep"] = _sweep("fourteen")
-for _grid in ("half_up", "offline", "search"):
+for _grid in ("half_up", "eight", "ten", "offline", "full", "complete", "search"):
     QUERIES[f"threshold_sweep_{_grid}"] = _sweep(_grid)
 
 
@@ -798,25 +826,30 @@ def model_importance(spark: SparkSession, sf: str) -> DataFrame:
 def stream_label(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines parsed and labelled by a stream that drains what is there, then stops."""
     base = f"{work_dir(spark)}/stream-{tables.run_id()}"
-    derived.raw_log(spark, sf).select("source", "value").write.mode("overwrite").parquet(f"{base}/lines")
-    jobs.run_label_stream(spark, f"{base}/lines", f"{base}/labeled", f"{base}/checkpoint")
+    sites = _text_log(spark, sf, f"{base}/lines")
+    jobs.run_label_stream(spark, sites, f"{base}/labeled", f"{base}/state", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/labeled").groupBy("source", "attack_type").agg(F.count("*").alias("n"))
 
 
-def _request_stream(spark: SparkSession, sf: str, base: str) -> DataFrame:
-    """The whole log as a stream of requests."""
-    derived.access_log(spark, sf).select(*jobs.REQUEST_COLUMNS).write.parquet(f"{base}/requests")
+def _request_stream(spark: SparkSession, sf: str, base: str, slices: int = 4) -> DataFrame:
+    """The whole log as a stream of requests: time slices written one after the other, a micro-batch for each."""
+    requests = stored_tables.stored(derived.access_log(spark, sf).select(*jobs.REQUEST_COLUMNS), work_dir(spark))
+    marks = [i / slices for i in range(1, slices)]
+    cuts = requests.agg(F.percentile_approx("event_s", marks)).first()[0] or []
+    slot = sum(((F.col("event_s") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        requests.filter(F.coalesce(slot, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{base}/requests")
     schema = "row_id long, ip string, event_s long, path string, status int"
-    return spark.readStream.schema(schema).parquet(f"{base}/requests")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/requests")
 
 
 @query
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """Minutes above the limit that the watermark has closed when the log ends."""
+    """Minutes above the limit, those still open when the log ends included."""
     base = f"{work_dir(spark)}/stream-{tables.run_id()}"
     timed = _request_stream(spark, sf, base).withColumn("event_time", F.timestamp_seconds("event_s"))
-    jobs.run_to_table(jobs.rate_limit_stream(timed, SMALL_RATE_LIMIT), f"{base}/limits", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/limits")
+    jobs.run_rate_limit(timed, f"{base}/limits", f"{base}/checkpoint", SMALL_RATE_LIMIT)
+    return jobs.rate_limits(spark, f"{base}/limits")
 
 
 @query

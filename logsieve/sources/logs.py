@@ -23,14 +23,34 @@ def existing_text(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def with_block(text: DataFrame, tag: str, place: int = 0) -> DataFrame:
+    """Lines of text files as ``(source, value, _block)``; the block tells where in which file a line was read."""
+    block = F.struct(
+        F.lit(place).alias("site"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    return text.select(F.lit(tag).alias("source"), F.make_valid_utf8("value").alias("value"), block.alias("_block"))
+
+
+def number_lines(lines: DataFrame, first: int = 0) -> DataFrame:
+    """``(row_id, source, value)`` with line numbers from ``first`` on, in the order of blocks and of lines in a block.
+
+    Lines are numbered inside each block as it is read, and the blocks' line counts, one row per block, are added up.
+    """
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    blocks = placed.groupBy("_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + first
+    starts = blocks.select("_block", shift.alias("_shift"))
+    return placed.join(starts, "_block").select((F.col("_at") + F.col("_shift")).alias("row_id"), "source", "value")
+
+
 def read_log_lines(spark: SparkSession, sites: dict[str, str]) -> DataFrame:
     """Lines of each site's log as ``(row_id, source, value)``; sites whose files are missing are skipped.
 
     ``sites`` maps a source tag to a path or glob. Bytes that are not UTF-8 become the replacement character.
 
     A row id is the line's number over all inputs: sites in the given order, files by path, lines as they stand in the
-    file. It is the same however files are split into read tasks: lines are numbered inside each file block as it is
-    read, and the blocks' line counts, one row per block, are added up in file order.
+    file. It is the same however files are split into read tasks.
     """
     frames = []
     for place, (tag, path) in enumerate(sites.items()):
@@ -38,18 +58,10 @@ def read_log_lines(spark: SparkSession, sites: dict[str, str]) -> DataFrame:
         if text is None:
             print(f"skipping missing input {path}")
             continue
-        block = F.struct(
-            F.lit(place).alias("site"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
-        )
-        value = F.make_valid_utf8("value").alias("value")
-        frames.append(text.select(F.lit(tag).alias("source"), value, block.alias("_block")))
+        frames.append(with_block(text, tag, place))
     if not frames:
         raise FileNotFoundError(f"no log file under {sorted(sites.values())}")
-    lines = reduce(DataFrame.unionByName, frames).withColumn("_at", F.monotonically_increasing_id())
-    blocks = lines.groupBy("_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select("_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return lines.join(starts, "_block").select((F.col("_at") + F.col("_shift")).alias("row_id"), "source", "value")
+    return number_lines(reduce(DataFrame.unionByName, frames))
 
 
 def _fields_by_group(value: Column) -> Column:

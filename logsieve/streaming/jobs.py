@@ -5,6 +5,7 @@ storage, and by default drains what is there and stops (``availableNow``).
 """
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,8 @@ from logsieve.functions.rules import Rule
 from logsieve.operators.bans import ban_triggers, error_seconds, merge_triggers
 from logsieve.operators.labeling import label_requests
 from logsieve.operators.windows import add_window_features
-from logsieve.sources.logs import parse_log
+from logsieve.sources.logs import number_lines, parse_log, with_block
 
-LINES = "source string, value string"
 REQUEST_COLUMNS = ["row_id", "ip", "event_s", "path", "status"]
 
 
@@ -36,21 +36,51 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str, trigger: dict[
 # --- parse and label --------------------------------------------------------------
 
 
-def label_stream(lines: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Parsed, labelled requests of a stream of lines; stateless, the same columns as in batch."""
-    return label_requests(parse_log(lines), rules)
-
-
 def run_label_stream(
-    spark: SparkSession, source: str, target: str, checkpoint: str, trigger: dict[str, Any] | None = None
+    spark: SparkSession, sites: dict[str, str], target: str, state: str, checkpoint: str, rules: Sequence[Rule] | None = None,
+    trigger: dict[str, Any] | None = None,
 ) -> None:
-    lines = spark.readStream.schema(LINES).parquet(source)
-    run_to_table(label_stream(lines), target, checkpoint, trigger)
+    """Parsed, labelled requests of text files as they arrive; ``sites`` maps a source tag to a folder.
+
+    The columns are those of the batch operators. Row ids go on from one micro-batch to the next, so the output can be
+    joined, sampled and windowed like a batch table. Outputs are stored by batch number.
+    """
+
+    def process(batch: DataFrame, number: int) -> None:
+        carried = _previous(batch, state, number)
+        first = carried.first()["next"] if carried is not None else 0
+        label_requests(parse_log(number_lines(batch, first)), rules).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        following = batch.sparkSession.createDataFrame([(first + batch.count(),)], "next long")
+        following.write.mode("overwrite").parquet(_slot(state, number))
+
+    frames = [with_block(spark.readStream.text(path), tag, place) for place, (tag, path) in enumerate(sites.items())]
+    _run_batches(reduce(DataFrame.unionByName, frames), process, checkpoint, trigger)
 
 
 # --- rate limit -------------------------------------------------------------------
 
 
+def run_rate_limit(
+    requests: DataFrame, target: str, checkpoint: str, limit: int = V.RATE_LIMIT_PER_MINUTE, delay: str = "1 minute",
+    trigger: dict[str, Any] | None = None,
+) -> None:
+    """Minutes above ``limit`` as they are counted, those still open at the end included; see ``rate_limits``.
+
+    Each micro-batch stores the counts that it changed by batch number. Rows later than ``delay`` are not counted.
+    """
+
+    def process(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream = rate_limit_stream(requests, limit, delay=delay)
+    _run_batches(stream, process, checkpoint, trigger, "update")
+
+
+def rate_limits(spark: SparkSession, target: str) -> DataFrame:
+    """The last count of every client and minute that ``run_rate_limit`` stored."""
+    return spark.read.parquet(target).groupBy("ip", "window_start").agg(F.max("requests").alias("requests"))
+
+
 def rate_limit_stream(
     requests: DataFrame, limit: int = V.RATE_LIMIT_PER_MINUTE, slide: str | None = None, delay: str = "1 minute"
 ) -> DataFrame:
@@ -68,16 +98,31 @@ def rate_limit_stream(
 # --- micro-batches with a carried table --------------------------------------------
 
 
+def _slot(state: str, number: int) -> str:
+    """Folder of what a micro-batch carries over. There are two, written in turn: a batch that is run again still finds
+    what the one before it left, and older state is overwritten."""
+    return f"{state}/slot={number % 2}"
+
+
 def _previous(batch: DataFrame, state: str, number: int) -> DataFrame | None:
     """What the micro-batch before this one carried over."""
-    return batch.sparkSession.read.parquet(f"{state}/batch={number - 1}") if number > 0 else None
+    return batch.sparkSession.read.parquet(_slot(state, number - 1)) if number > 0 else None
 
 
 def _run_batches(
-    stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict[str, Any] | None
+    stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict[str, Any] | None,
+    mode: str = "append",
 ) -> None:
+    def kept(batch: DataFrame, number: int) -> None:
+        batch.persist()  # read several times; the source is read once
+        try:
+            process(batch, number)
+        finally:
+            batch.unpersist()
+
     (
-        stream.writeStream.foreachBatch(process)
+        stream.writeStream.foreachBatch(kept)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -123,7 +168,7 @@ def run_ban_stream(
             bans.select("ip", (F.col("ban_end") - ban).alias("event_s"), F.lit(0).alias("n"), F.col("ban_start").alias("since"))
         )
         recent = F.when(F.col("since").isNull(), F.col("event_s")).otherwise(F.col("event_s") + ban)
-        keep.filter(recent > newest - period).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        keep.filter(recent > newest - period).write.mode("overwrite").parquet(_slot(state, number))
 
     _run_batches(requests.select("ip", "event_s", "status"), process, checkpoint, trigger)
 
@@ -137,13 +182,12 @@ def run_live_features(
     state: str,
     checkpoint: str,
     seconds: int = 60,
-    keep_clients: int = 86_400,
     trigger: dict[str, Any] | None = None,
 ) -> None:
     """60-second features of a stream of requests (``row_id, ip, event_s, path, status``).
 
     Every micro-batch runs the batch operator over its rows and a context kept from earlier ones: the rows of the
-    last ``seconds``, and each client's latest row of the last ``keep_clients`` seconds. So a client that sends
+    last ``seconds``, and each client's latest row, so the state grows with the number of clients. A client that sends
     most of a micro-batch is spread the same way. Outputs are stored by batch number, which makes retries
     idempotent. Rows count what has arrived before them.
     """
@@ -162,9 +206,9 @@ def run_live_features(
             rows.groupBy("ip")
             .agg(F.max_by(row, F.struct("event_s", "row_id")).alias("r"))
             .select("r.*")
-            .filter((F.col("event_s") > newest - keep_clients) & (F.col("event_s") <= newest - seconds))
+            .filter(F.col("event_s") <= newest - seconds)
         )
         window = rows.filter(F.col("event_s") > newest - seconds)
-        window.unionByName(latest).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        window.unionByName(latest).write.mode("overwrite").parquet(_slot(state, number))
 
     _run_batches(requests.select(*REQUEST_COLUMNS), process, checkpoint, trigger)

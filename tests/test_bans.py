@@ -28,7 +28,8 @@ def test_bans_and_interval_join(requests):
         df = requests(*rows)
         found = ban_windows(df, errors, period, ban)
         expected = brute_bans(rows, errors, period, ban)
-        assert {(r.ip, r.ban_start, r.ban_end) for r in found.collect()} == expected
+        for bans in (found, ban_windows(df, errors, period, ban, bucket=70)):
+            assert {(r.ip, r.ban_start, r.ban_end) for r in bans.collect()} == expected
         marked = mark_banned(df, found, slice_seconds=100).collect()
         assert len(marked) == len(rows)
         for r in marked:

@@ -125,7 +125,7 @@ def test_slash_is_forced_and_errors_are_listed(requests):
     df = requests({"path": ".env"}, {"path": None}).withColumn("attack_type", F.lit("a")).withColumn("is_attack", F.lit(1))
     matched = coverage.match_old_new(df)
     assert [(r.uri, r.new_blocked) for r in matched.orderBy("row_id").collect()] == [("/.env", True), ("/", False)]
-    assert [r.row_id for r in coverage.error_listing(matched, "new_blocked", True, 5).collect()] == [1]
+    assert [r.row_id for r in coverage.missed_listing(matched, "new_blocked", 5).collect()] == [1]
 
 
 def test_audit_counts_rows_not_paths(requests):

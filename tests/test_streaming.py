@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
-from logsieve.operators.bans import ban_windows
+from logsieve.operators.bans import ban_windows, rate_limited
 from logsieve.operators.labeling import label_requests
 from logsieve.operators.windows import add_window_features
-from logsieve.sources.logs import parse_log
+from logsieve.sources.logs import parse_log, read_log_lines
 from logsieve.streaming import jobs
 
 
@@ -15,16 +15,20 @@ def drain(stream, name, mode="append"):
 
 def test_labels_arrive_once_over_two_runs(spark, tmp_path):
     line = '10.0.0.7 - - [01/Jan/2024:00:00:05 +0000] "GET {} HTTP/1.1" 200 1 "-" "x"'
-    first = spark.createDataFrame([("www", line.format("/.env")), ("www", "bad")], jobs.LINES)
-    second = spark.createDataFrame([("www", line.format("/ok"))], jobs.LINES)
-    folders = [str(tmp_path / f) for f in ("in", "out", "check")]
-    for part in (first, second):
-        part.write.mode("append").parquet(folders[0])
-        jobs.run_label_stream(spark, *folders)
-    streamed = spark.read.parquet(folders[1])
-    batch = label_requests(parse_log(first.unionByName(second)))
-    assert streamed.columns == batch.columns
-    assert sorted(r.attack_type for r in streamed.collect()) == ["normal", "sensitive_scan"]
+    parts = [["/.env", "bad", "/a"], ["/ok", "/b"]]
+    source = tmp_path / "in"
+    source.mkdir()
+    folders = [str(tmp_path / f) for f in ("out", "state", "check")]
+    for number, paths in enumerate(parts):
+        lines = [line.format(p) if p.startswith("/") else p for p in paths]
+        (source / f"part{number}.log").write_text("\n".join(lines) + "\n")
+        jobs.run_label_stream(spark, {"www": str(source)}, *folders)
+    streamed = spark.read.parquet(folders[0]).drop("batch")
+    rows = streamed.orderBy("row_id").collect()
+    assert [(r.row_id, r.path, r.attack_type) for r in rows] == [
+        (0, "/.env", "sensitive_scan"), (2, "/a", "normal"), (3, "/ok", "normal"), (4, "/b", "normal"),
+    ]
+    assert streamed.columns == label_requests(parse_log(read_log_lines(spark, {"www": str(source)}))).columns
 
 
 def timed(spark, tmp_path, rows, name):
@@ -42,6 +46,15 @@ def test_rate_limit_stream(spark, tmp_path):
     assert [tuple(r) for r in drain(jobs.rate_limit_stream(stream, 2), "rate")] == [("a", 0, 3)]
 
 
+def test_rate_limits_count_minutes_still_open(spark, tmp_path):
+    rows = [("a", s, 200) for s in (0, 1, 1, 70, 71, 72)] + [("b", 0, 200)]
+    df, stream = timed(spark, tmp_path, rows, "rates")
+    folders = [str(tmp_path / f) for f in ("rate-out", "rate-check")]
+    jobs.run_rate_limit(stream, *folders, limit=2)
+    found = {tuple(r) for r in jobs.rate_limits(spark, folders[0]).collect()}
+    assert found == {tuple(r) for r in rate_limited(df, 2).collect()} == {("a", 0, 3), ("a", 60, 3)}
+
+
 def test_ban_stream_agrees_with_batch(spark, tmp_path):
     rows = [("a", s, 404) for s in (0, 1, 1, 40, 41, 300, 301, 302)] + [("b", 5, 404), ("a", 2, 200), ("z", 5000, 404)]
     df, stream = timed(spark, tmp_path, rows, "bans")
