@@ -16,6 +16,8 @@ from logsieve.operators.distribution import auc
 from logsieve.operators.metrics import best_threshold_f1, binary_metrics, confusion, threshold_sweep
 from logsieve.operators.reports import ratio
 
+#: Share of the validation error that a round has to gain; the library's own default is ten times as much.
+LEAST_GAIN = 0.001
 #: Tree settings with a Spark counterpart. Leaf-count limits and L1/L2 terms have none; depth, minimum rows per
 #: leaf and minimum gain take their place.
 BINARY_CONFIGS: dict[str, dict[str, Any]] = {
@@ -92,13 +94,13 @@ def train_binary(
     """Boosted trees on the train rows of ``table`` (columns ``split``, ``is_attack``).
 
     With ``early_stop`` the rows of split ``valid`` decide when to stop; the test rows are never looked at. Boosting goes
-    on as long as their error does not rise: the library's own rule gives up once a round gains less than a hundredth.
+    on until a round lowers their error by less than LEAST_GAIN of it; the library looks at one round at a time.
     """
     settings = {**(BINARY_CONFIGS[config] if isinstance(config, str) else config), **override}
     kind = settings.pop("weight", "none")
     if early_stop:
         settings["validationIndicatorCol"] = "is_valid"
-        settings["validationTol"] = 0.0
+        settings.setdefault("validationTol", LEAST_GAIN)
     fitted = table.filter(F.col("split").isin("train", "valid"))
     weighted = fitted.select(
         *features,

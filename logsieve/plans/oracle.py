@@ -704,8 +704,7 @@ FROM parts, (VALUES {listed}) v(profile) GROUP BY profile"""
 put("train_binary", PARTS, binary_report("v3", "v4"))
 for _key in ("base", "weighted"):
     put(f"train_binary_{_key}", PARTS, binary_report("v3"))
-for _key in ("train_multiclass", "train_multiclass_boosted"):
-    put(_key, TYPED, """
+put("train_multiclass", TYPED, """
 SELECT attack_type AS class, count(*) AS support, CAST(1 AS INT) AS rates_ok FROM (
   SELECT attack_type, count(*) OVER (PARTITION BY attack_type) AS n, row_number() OVER (
     PARTITION BY attack_type ORDER BY md5(concat('split', CAST(row_id AS VARCHAR))), row_id) AS r FROM fixed)

@@ -779,7 +779,6 @@ def _multiclass_report(learner: str) -> Query:
 
 
 QUERIES["train_multiclass"] = _multiclass_report("forest")
-QUERIES["train_multiclass_boosted"] = _multiclass_report("boosted")
 
 
 @query
