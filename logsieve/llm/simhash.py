@@ -156,12 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the row whose id is the class's, the first copy where that row is repeated.
+    """``docs`` with one row of each class: the row whose id is the class's, one of them where that row is repeated.
 
-    Rows with a null id stand for a class only where it has no other; then one of them stays.
+    A row with a null id stays only where all rows of its fingerprint have none; then one of them does.
     """
     classes = near_duplicates(docs, id_col, text_col)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = classes.where(first).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_print", hex_digits(F.pandas_udf(_fingerprints, "long")(text)))
+    alone = classes.where("component_id is null").select(F.col("fingerprint").alias("_print")).distinct()
+    return named.unionByName(nameless.join(alone, "_print", "left_semi").dropDuplicates(["_print"]).drop("_print"))

@@ -94,3 +94,5 @@ def test_one_per_class(spark, documents):
     kept = simhash.one_per_class(documents())
     assert kept.columns == documents().columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 6]
+    nameless = [(None, "first text of all here", None, None), (None, "quite another one is this", None, None), (None, "first text of all here", None, None)]
+    assert sorted(r.text for r in simhash.one_per_class(documents(nameless)).collect()) == ["first text of all here", "quite another one is this"]
