@@ -87,10 +87,10 @@ def source_key(source: str) -> Column:
 def placed(sizes: DataFrame) -> DataFrame:
     """Documents laid end to end in their source, in the order of a hash of the id: adds ``start``, in words.
 
-    Offsets are added up in two steps, inside ranges of the hash that hold some thousand rows and over the ranges.
+    Offsets are added up in two steps, inside ranges of the hash that hold a thousand rows over all sources, and over the ranges.
     """
     rows = sizes.where("size > 0").withColumn("hash", md5_number("mix", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    ranges = max(1, sizes.count() // 4096)
+    ranges = max(1, sizes.count() // 1024)
     rows = rows.withColumn("range", F.floor(F.col("hash") * F.lit(ranges) / POINTS))
     order = Window.partitionBy("key", "range").orderBy("hash", F.col("doc_id").asc_nulls_last(), "size")
     inner = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
