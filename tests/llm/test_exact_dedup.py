@@ -32,3 +32,8 @@ def test_colliding_hashes_are_told_apart(documents, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "unhex", lambda c: F.lit(b"x"))
     rows = exact_dedup.exact_groups(documents([(1, "a", None, None), (2, "b", None, None), (3, "a ", None, None)])).collect()
     assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+
+
+def test_plan_stays_in_the_engine(documents):
+    plan = exact_dedup.exact_groups(documents())._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))

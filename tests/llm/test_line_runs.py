@@ -53,3 +53,8 @@ def test_odd_rows(documents):
     assert len(rows) == 10 and sum(r.n_removed for r in rows) == 0
     assert [r.text for r in rows if r.doc_id == 2] == [""] and [r.n_lines for r in rows if r.doc_id == 3] == [0]
     assert line_runs.dedup_line_runs(documents([])).collect() == []
+
+
+def test_plan_stays_in_the_engine(documents):
+    plan = line_runs.dedup_line_runs(documents())._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
