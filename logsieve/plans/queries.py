@@ -24,7 +24,7 @@ from logsieve.functions.rules import label_rules, text
 from logsieve.operators import audit, bans, coverage, distribution, labeling, learning, metrics, reports, sampling
 from logsieve.operators.features import align_features, feature_table, select_profile
 from logsieve.operators.joins import join_labels
-from logsieve.operators.labeling import exclude_classes, label_requests, repair_counts, repair_labels, rule_flag
+from logsieve.operators.labeling import exclude_classes, repair_counts, repair_labels, rule_flag
 from logsieve.operators.windows import add_previous_path, add_window_features
 from logsieve.plans import tables
 from logsieve.session import work_dir
@@ -422,7 +422,7 @@ def join_label_columns(spark: SparkSession, sf: str) -> DataFrame:
 def join_label_columns_left(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of the lines that parse; requests whose line does not keep NULL labels."""
     features = derived.access_log(spark, sf).select("row_id", *[c.alias(n) for n, c in ua_features().items()])
-    parsed = label_requests(logs.parse_log(derived.raw_log(spark, sf)))
+    parsed = labeling.label_requests(logs.parse_log(derived.raw_log(spark, sf)))
     return join_labels(features, parsed, "left").drop("is_attack")
 
 
@@ -450,7 +450,7 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 def layered_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Windows and bans come before the labels, so that only narrow rows are shuffled and each rule runs once."""
     marked = bans.mark_banned(add_window_features(derived.access_log(spark, sf)), _bans(spark, sf))
-    return coverage.layered_verdict(derived.scored(tables.once(label_requests(marked), "attack_type", "is_attack")), SMALL_RATE_LIMIT).select("row_id", "attack_type", "verdict")
+    return coverage.layered_verdict(derived.scored(tables.once(labeling.label_requests(marked), "attack_type", "is_attack")), SMALL_RATE_LIMIT).select("row_id", "attack_type", "verdict")
 
 
 # --- reports ---------------------------------------------------------------------------------
@@ -863,7 +863,8 @@ def stream_bans(spark: SparkSession, sf: str) -> DataFrame:
         SMALL_BAN_PERIOD,
         SMALL_BAN,
     )
-    return spark.read.parquet(f"{base}/bans").select("ip", "ban_start", "ban_end")
+    # A ban that later batches extend is stored again; the last end holds.
+    return spark.read.parquet(f"{base}/bans").groupBy("ip", "ban_start").agg(F.max("ban_end").alias("ban_end"))
 
 
 @query
