@@ -8,23 +8,22 @@ one number per context. After the empty context come all symbols never seen, in
 passed over. A gram, a context with its symbol, costs the same wherever it stands, and each distinct gram is priced once.
 """
 
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.work import remainder, spread_join, stored
+from logsieve.llm.work import new_folder, remainder, shared_folder, spread_join, stored
 
 ORDER = 5
 SYMBOLS = 256
-#: The most frequent grams and words go to all tasks, so many at the most; the rest is looked up by joins.
-HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 19
+#: The most frequent grams and words are read by every task, so many at the most; the rest is looked up by joins.
+HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 18
 _CHUNK = 1_000
 
 # A gram is one long: length of the context (3 bits), its bytes with the oldest on top (40 bits), the symbol (8 bits).
@@ -39,15 +38,16 @@ def words_of(text: str | None) -> list[bytes]:
 def grams_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of some texts, given as words, one text after the other, and the number of grams of each."""
     lines = [b" ".join(words) for words in texts]
-    data = np.frombuffer(b"\n" + b"\n".join(lines) + b"\n", np.uint8).astype(np.int64)
-    at = np.arange(1, len(data))
-    start = np.maximum.accumulate(np.where(data == 10, np.arange(len(data)), 0))[:-1]  # the line end before the text
-    context = np.zeros(len(at), np.int64)
-    for back in range(1, ORDER + 1):
-        there = at - back >= start
-        context |= np.where(there, data[np.maximum(at - back, 0)] << 8 * (back - 1), 0)
-    length = np.minimum(at - start, ORDER)
-    return (length << _LENGTH | context) << _SYMBOL | data[1:], np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    data = bytes(7) + b"\n" + b"\n".join(lines) + b"\n"
+    # the 8 bytes that end at each symbol, as one number: an overlapping view of the text
+    window = np.ndarray((int(lengths.sum()),), ">u8", data, offset=1, strides=(1,)).astype(np.int64)
+    grams = window & ((1 << 8 * (ORDER + 1)) - 1) | ORDER << _LENGTH + _SYMBOL
+    begins = np.cumsum(lengths) - lengths
+    for length in range(1, ORDER):  # near the line end before the text contexts are shorter
+        at = begins[lengths >= length] + length - 1
+        grams[at] = window[at] & ((1 << 8 * (length + 1)) - 1) | length << _LENGTH + _SYMBOL
+    return grams, lengths
 
 
 def _total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +55,20 @@ def _total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of each batch with how often its training texts have them; grams of the others with 0."""
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of ``rows`` rows at the most, which bounds what a task holds at a time."""
     for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of some texts with how often the training texts have them; grams of the others with 0."""
+    for part in _slices(batches, 4 * _CHUNK):
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(batch), _CHUNK):
-            part = batch.slice(lo, _CHUNK)
-            grams, lengths = grams_of([words_of(t) for t in part.column("text").to_pylist()])
-            learned = np.repeat(~np.array(part.column("held_out").to_pylist(), bool), lengths)
+        for piece in _slices([part], _CHUNK):
+            grams, lengths = grams_of([words_of(t) for t in piece.column("text").to_pylist()])
+            learned = np.repeat(~np.array(piece.column("held_out").to_pylist(), bool), lengths)
             for chosen, weight in ((grams[learned], 1), (grams[~learned], 0)):
                 distinct, n = np.unique(chosen, return_counts=True)
                 keys.append(distinct)
@@ -72,10 +78,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each batch with how often its training texts have them; words of the others with 0."""
-    for batch in batches:
+    """Words of some texts with how often the training texts have them; words of the others with 0."""
+    for part in _slices(batches, 4 * _CHUNK):
         learned, seen = Counter(), set()
-        for text, held_out in zip(batch.column("text"), batch.column("held_out").to_pylist()):
+        for text, held_out in zip(part.column("text"), part.column("held_out").to_pylist()):
             (seen.update if held_out else learned.update)(words_of(text.as_py()))
         words = [*learned, *(seen - learned.keys())]
         counts = [*learned.values(), *[0] * (len(words) - len(learned))]
@@ -165,62 +171,103 @@ def _head(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(F.col("n") >= least) if least else counted.limit(0)
 
 
-_dictionaries: dict[str, dict[bytes, int]] = {}
-
-
-def _places(words: Broadcast) -> dict[bytes, int]:
-    """The head's words with their counts, built once per worker process."""
-    key, names, counts = words.value
-    if key not in _dictionaries:
-        _dictionaries.clear()
-        _dictionaries[key] = dict(zip(names, counts))
-    return _dictionaries[key]
-
-
-def _scorer(head_grams: Broadcast, head_words: Broadcast) -> Callable:
+class Places:
+    """Places of distinct integers, found for whole arrays at once: open addressing over a table a quarter full."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self._bits = max(4, (4 * len(keys)).bit_length())
+        self._keys, self._table = np.append(keys, 0), np.full(1 << self._bits, -1, np.int32)
+        waiting, slot = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(waiting):
+            free = self._table[slot] < 0
+            self._table[slot[free]] = waiting[free]  # of several the last one stays
+            lost = self._table[slot] != waiting
+            waiting, slot = waiting[lost], self._next(slot[lost])
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self._bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is none of them."""
+        slot = self._first(keys)
+        out = self._table[slot]
+        open_ = np.flatnonzero((out >= 0) & (self._keys[out] != keys))
+        slot = slot[open_]
+        while len(open_):
+            slot = self._next(slot)
+            out[open_] = found = self._table[slot]
+            wrong = (found >= 0) & (self._keys[found] != keys[open_])
+            open_, slot = open_[wrong], slot[wrong]
+        return out
+
+
+_heads: dict[tuple[str, str], tuple] = {}
+
+
+def _read_heads(grams: str, words: str) -> tuple[dict[bytes, int], Places, np.ndarray]:
+    """The heads' words with counts and grams with prices, read once per worker process from the shared folder."""
+    if (grams, words) not in _heads:
+        _heads.clear()
+        tables = []
+        for uri in (grams, words):
+            system, path = shared_folder(uri)
+            tables.append(pq.read_table(path, filesystem=system))
+        keys, prices = (tables[0].column(c).to_numpy() for c in ("gram", "price"))
+        places = dict(zip(tables[1].column("word").to_pylist(), tables[1].column("n").to_pylist()))
+        _heads[grams, words] = places, Places(keys), np.append(prices, 0.0)  # place -1 has a price too, which nothing uses
+    return _heads[grams, words]
+
+
+def _scorer(head_grams: str, head_words: str) -> Callable:
     """Per document a row with what the heads price, and rows for its other grams and words."""
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, known, price = _places(head_words), *head_grams.value
-        for frame in frames:
-            for lo in range(0, len(frame), _CHUNK):
-                part = frame.iloc[lo : lo + _CHUNK]
-                texts = [words_of(t) for t in part["text"]]
-                grams, lengths = grams_of(texts)
-                doc = np.repeat(np.arange(len(texts)), lengths)
-                distinct, place = np.unique(grams, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-                there = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-                priced = np.where(there, price[at], 0.0) if len(known) else np.zeros(len(distinct))
-                part_price = np.bincount(doc, priced[place], len(texts))
-                rare = ~there[place]
-                rare_doc, rare_gram = doc[rare], place[rare]
-                pairs, times = np.unique(rare_doc * len(distinct) + rare_gram, return_counts=True)
-
-                n_known, plain, word_rows = [], [], []
-                for i, words in enumerate(texts):
-                    counts = np.fromiter(map(places.get, words, [0] * len(words)), np.int64, len(words))
-                    head = counts[counts > 0]
-                    n_known.append(len(head))
-                    plain.append(np.log10(head + 1.0).sum())
-                    if len(head) < len(words):
-                        word_rows += [(i, w, n) for w, n in Counter(words[k] for k in np.flatnonzero(counts == 0).tolist()).items()]
-                own = {"doc_id": part["doc_id"].astype("Int64").to_numpy(), "version": part["version"].to_numpy(), "held_out": part["held_out"].to_numpy()}
-                yield _rows(own, np.arange(len(texts)), n_words=[len(w) for w in texts], n_known=n_known, plain=plain, price=part_price)
-                yield _rows(own, pairs // len(distinct), gram=distinct[pairs % len(distinct)], times=times)
-                yield _rows(own, np.array([r[0] for r in word_rows], np.int64), word=[r[1] for r in word_rows], times=[r[2] for r in word_rows])
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, known, price = _read_heads(head_grams, head_words)
+        for part in _slices(batches, _CHUNK):
+            texts = [words_of(t) for t in part.column("text").to_pylist()]
+            grams, lengths = grams_of(texts)
+            at = known.find(grams)
+            there = at >= 0
+            priced = np.add.reduceat(np.where(there, price[at], 0.0), np.cumsum(lengths) - lengths)
+            rare = np.flatnonzero(~there)
+            doc = np.searchsorted(np.cumsum(lengths), rare, side="right")
+            distinct, place = np.unique(grams[rare], return_inverse=True)
+            pairs, times = np.unique(doc * max(1, len(distinct)) + place, return_counts=True)
+
+            n_known, plain, docs, words, counts = [], [], [], [], []
+            for i, own in enumerate(texts):
+                n = np.fromiter(map(places.get, own, repeat(0)), np.int64, len(own))
+                head = n[n > 0]
+                n_known.append(len(head))
+                plain.append(float(np.log10(head + 1.0).sum()))
+                if len(head) < len(own):
+                    others = Counter([own[k] for k in np.flatnonzero(n == 0).tolist()])
+                    docs += [i] * len(others)
+                    words += others.keys()
+                    counts += others.values()
+            yield _rows(part, np.arange(len(texts)), n_words=[len(w) for w in texts], n_known=n_known, plain=plain, price=priced)
+            yield _rows(part, pairs // max(1, len(distinct)), gram=distinct[pairs % max(1, len(distinct))], times=times)
+            yield _rows(part, np.array(docs, np.int64), word=words, times=counts)
 
     return score
 
 
 PARTS = "doc_id long, version long, held_out boolean, n_words long, n_known long, plain double, price double, gram long, word binary, times long"
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
-def _rows(own: dict[str, np.ndarray], at: np.ndarray, **columns: object) -> pd.DataFrame:
-    out = {c: v[at] for c, v in own.items()} | {c: None for c in ("n_words", "n_known", "plain", "price", "gram", "word", "times")}
-    frame = pd.DataFrame(out | columns, index=range(len(at)))
-    kinds = {"doc_id": "Int64", "n_words": "Int64", "n_known": "Int64", "plain": "Float64", "price": "Float64", "gram": "Int64", "times": "Int64"}
-    return frame.astype(kinds)[["doc_id", "version", "held_out", *kinds.keys() - {"doc_id", "times"}, "word", "times"]]
+def _rows(own: pa.RecordBatch, at: np.ndarray, **columns: object) -> pa.RecordBatch:
+    """Rows of PARTS: the document's own columns of the rows ``at``, the given columns, and null for the rest."""
+    out, index = {}, pa.array(at)
+    for name, kind in (part.split() for part in PARTS.split(", ")):
+        if name in columns:
+            out[name] = pa.array(columns[name], _TYPES[kind])
+        else:
+            out[name] = own.column(name).take(index) if name in own.schema.names else pa.nulls(len(at), _TYPES[kind])
+    return pa.RecordBatch.from_pydict(out)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -229,8 +276,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     The model learns from whole texts of the rows where ``held_out`` does not hold. ``score`` is its log10 probability of the
     text, ``base_score`` that of single tokens with one added to each count. Tokens are words and one end.
 
-    Grams and words are counted inside the map tasks first. The most frequent ones, up to a fixed number, are sent to every
-    task: these are the hot keys, and the bound does not grow with the data. Every other gram or word of a document becomes a
+    Grams and words are counted inside the map tasks first. The most frequent ones, up to a fixed number, are read by every
+    task from the shared folder: these are the hot keys, and the bound does not grow with the data. Every other gram or word of a document becomes a
     row and is looked up by a join, so the trie and the vocabulary may have any size. The texts are not shuffled.
 
     A null text counts as empty: one end token. Repeated rows are learned from and scored as often as they come. A null
@@ -246,11 +293,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     tokens, vocabulary = learned + ends, distinct + int(ends > 0)
 
     priced = stored(prices(grams.select("gram"), trie(grams)), "prices")
-    head = _head(grams, head_grams).join(priced, "gram").select("gram", "price").toPandas().sort_values("gram")
-    sent_grams = spark.sparkContext.broadcast((head["gram"].to_numpy(np.int64), head["price"].to_numpy(np.float64)))
-    head = _head(words, head_words).toPandas()
-    sent_words = spark.sparkContext.broadcast((uuid.uuid4().hex, [bytes(w) for w in head["word"]], head["n"].tolist()))
-    parts = stored(rows.mapInPandas(_scorer(sent_grams, sent_words), PARTS), "parts")
+    top_grams, top_words = new_folder(spark, "head-grams"), new_folder(spark, "head-words")
+    _head(grams, head_grams).join(priced, "gram").select("gram", "price").write.parquet(top_grams)
+    _head(words, head_words).write.parquet(top_words)
+    parts = stored(rows.mapInArrow(_scorer(top_grams, top_words), PARTS), "parts")
 
     own = ["doc_id", "version", "held_out"]
     none = [F.lit(0).cast("long"), F.lit(0.0)]

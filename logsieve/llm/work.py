@@ -1,7 +1,9 @@
 """Tables that an operator writes for itself, always below the shared folder of the session."""
 
+import os
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """For code in tasks: file system and path of a folder named by URI (file, hdfs, s3, gs) or by a plain path."""
+    if "://" in uri or uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), os.path.abspath(uri)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: lineage ends here, and a lost executor takes no part of it along."""
     path = new_folder(df.sparkSession, name)

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,13 @@ def test_odd_rows(documents):
     assert ppm.score(documents([]), ppm.held_out()).collect() == []
     nothing = ppm.score(documents([(1, "ab", None, None)]), F.lit(True)).collect()
     assert nothing[0].score == pytest.approx(3 * math.log10(1 / 256)) and nothing[0].n_known == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5_000])
+def test_places(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+    found = ppm.Places(keys)
+    asked = np.concatenate([keys[::-1], rng.integers(0, 1 << 62, 100), np.zeros(1, np.int64)])
+    where = {k: i for i, k in enumerate(keys.tolist())}
+    assert found.find(asked).tolist() == [where.get(k, -1) for k in asked.tolist()]
