@@ -13,12 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsieve.llm.work import new_folder
+from logsieve.llm.work import new_folder, shared_folder
 
 HEADER = struct.Struct("<8sIIQQQ")
 MAGIC = b"LSPACK01"
@@ -125,7 +124,7 @@ class WordEncoder:
 
     PROBE = ["a", "Words", "stra\u00dfe", "\u00c9t\u00e9", "\u00f1and\u00fa", "abcdefghijklmnopqrstuvwxyz", "\u0160koda"]
 
-    def __init__(self, tokenizer: Callable[[], object], most_words: int = 250_000, most_pieces: int = 400_000) -> None:
+    def __init__(self, tokenizer: Callable[[], object], most_words: int = 400_000, most_pieces: int = 600_000) -> None:
         self._tokenizer = tokenizer()
         self._words, self._pieces = _Known(self._word, most_words), _Known(self._piece, most_pieces)
         self._letters = _byte_letters()
@@ -151,8 +150,11 @@ class WordEncoder:
         return self._pieces[text]
 
     def encode(self, text: str) -> np.ndarray:
+        data = text.encode()
+        if self._direct and b"<|" not in data:  # A-Z alone, so that words of either case share an entry; special tokens keep theirs
+            data = data.lower()
         # bytes split at ASCII white space alone
-        return np.frombuffer(b"".join(map(self._words.__getitem__, text.encode().split())), np.uint32)
+        return np.frombuffer(b"".join(map(self._words.__getitem__, data.split())), np.uint32)
 
 
 _encoders: dict = {}
@@ -176,16 +178,9 @@ def from_file(path: str) -> Callable[[], object]:
     return load
 
 
-def _folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder named by URI (file, hdfs, s3, gs) or by a plain path."""
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), os.path.abspath(uri)
-
-
 def _save(uri: str, name: str, data: bytes) -> None:
     """A file appears whole or not at all, and a repeated task replaces it by the same bytes."""
-    system, folder = _folder(uri)
+    system, folder = shared_folder(uri)
     system.create_dir(folder, recursive=True)
     draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(draft) as out:

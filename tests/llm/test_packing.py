@@ -32,7 +32,7 @@ def expected(rows):
 
 
 TEXTS = [
-    (3, "The  QUICK brown fox's 123 don't"), (1, "a\x01b \x01 \x1c x\x85y <|endoftext|> é é ́x İ ΑΣ"), (2, None), (9, ""), (4, "same"), (5, "same"), (-7, "x" * 5000),
+    (3, "The  QUICK brown fox's 123 don't"), (1, "a\x01b \x01 \x1c x\x85y <|endoftext|> é é ́x İ ΑΣ"), (2, None), (9, ""), (4, "same"), (5, "same İ Å <|ENDOFTEXT|> UPPER"), (6, "İ Å Ḱ UPPER'S"), (-7, "x" * 5000),
 ]
 
 
