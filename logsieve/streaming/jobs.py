@@ -21,18 +21,6 @@ from logsieve.sources.logs import number_lines, parse_log, with_block
 REQUEST_COLUMNS = ["row_id", "ip", "event_s", "path", "status"]
 
 
-def run_to_table(stream: DataFrame, target: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> None:
-    """Append the stream to a Parquet table and wait until it stops."""
-    (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-        .awaitTermination()
-    )
-
-
 # --- parse and label --------------------------------------------------------------
 
 

@@ -50,6 +50,13 @@ def test_binary_learns_saves_and_loads(spark, table, trained, tmp_path):
     assert importance[0].feature == "x"
 
 
+def test_boosting_goes_on_while_the_error_falls(table):
+    """The library's own tolerance gives up after a few rounds of such small steps."""
+    settings = {"maxIter": 30, "maxDepth": 2, "minInstancesPerNode": 1}
+    patient = learning.train_binary(table, FEATURES, "regular", **settings)
+    assert learning.tree_stage(patient).getNumTrees == 30
+
+
 @pytest.mark.parametrize("learner", ["forest", "boosted"])
 def test_multiclass(table, learner):
     model = learning.train_multiclass(table, FEATURES, learner, num_trees=3, max_depth=4)
