@@ -50,7 +50,7 @@ class Vectors:
         self._dimensions, self._seed = dimensions, seed
         self._letter: dict[int, np.ndarray] = {}
         self._row: dict[int, int] = {}
-        self._table = np.zeros((256, dimensions), np.float32)
+        self._table = np.zeros((256, dimensions), np.int8)  # +1 and -1: a byte each
 
     def _of_letter(self, code: int) -> np.ndarray:
         if code not in self._letter:
@@ -77,9 +77,9 @@ class Vectors:
             else:
                 total += vector * float(counts[i])
         there = np.flatnonzero(rows >= 0)
-        for at in range(0, len(there), 4096):
-            part = there[at : at + 4096]
-            total += counts[part].astype(np.float32) @ self._table[rows[part]]
+        for at in range(0, len(there), 1024):
+            part = there[at : at + 1024]
+            total += counts[part].astype(np.float32) @ self._table[rows[part]].astype(np.float32)
         return total
 
 

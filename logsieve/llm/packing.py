@@ -124,7 +124,7 @@ class WordEncoder:
 
     PROBE = ["a", "Words", "stra\u00dfe", "\u00c9t\u00e9", "\u00f1and\u00fa", "abcdefghijklmnopqrstuvwxyz", "\u0160koda"]
 
-    def __init__(self, tokenizer: Callable[[], object], most_words: int = 400_000, most_pieces: int = 600_000) -> None:
+    def __init__(self, tokenizer: Callable[[], object], most_words: int = 250_000, most_pieces: int = 350_000) -> None:
         self._tokenizer = tokenizer()
         self._words, self._pieces = _Known(self._word, most_words), _Known(self._piece, most_pieces)
         self._letters = _byte_letters()
@@ -248,6 +248,7 @@ def write_ids(
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoders.clear()  # the files are written: a worker that is used again need not keep the words
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
             file = Packed(data.as_py())
