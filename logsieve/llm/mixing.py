@@ -12,8 +12,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Slots of the schedule at the most. The size of a block follows from the corpus, so a source's share is met to a few slots.
+#: Slots of the schedule, as long as blocks have LONGEST words at the most; a larger corpus has more slots, not longer blocks. A
+#: source's words are met to a few blocks, so blocks must not grow past what a small source has.
 SLOTS = 1 << 18
+LONGEST = 64
 #: Golden-ratio step over 2**32 points.
 STEP, POINTS = 2_654_435_769, 1 << 32
 
@@ -101,11 +103,14 @@ def placed(sizes: DataFrame) -> DataFrame:
     return found.select("doc_id", "key", "size", (F.col("inner") + F.col("before")).alias("start"))
 
 
-def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, slots: int = SLOTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    longest: int = LONGEST,
+) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
-    Each source's documents are laid out in hashed order and cut into blocks of equally many words, the last one of a
-    source being shorter. The schedule's slots of a source take its blocks in turn and start over when all are taken;
+    Each source's documents are laid out in hashed order and cut into blocks of equally many words, ``longest`` at the most,
+    the last one of a source being shorter. The schedule's slots of a source take its blocks in turn and start over when all are taken;
     a block is taken ``most`` times at the most. ``taken`` is the number of the document's words in taken blocks,
     repeats counted. The hash depends on the id alone, so reruns agree.
 
@@ -116,7 +121,7 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST, id_col: str = "do
     sizes = stored(sizes.withColumn("key", source_key("source")), "sizes")
     goals = stored(targets(sizes, most=most), "targets")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, math.ceil(total / slots))
+    block = max(1, min(longest, math.ceil(total / slots)))
     blocks = goals.select(source_key("source").alias("key"), F.ceil(F.col("source_size") / block).alias("blocks"))
     taken = schedule(goals, round(total / block)).withColumn("key", source_key("source")).join(blocks, "key")
     taken = taken.where(F.col("rank") < F.lit(most) * F.col("blocks")).groupBy("key", (F.col("rank") % F.col("blocks")).alias("block"))

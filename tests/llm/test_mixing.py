@@ -69,3 +69,16 @@ def test_mixed_documents(documents):
     copies = Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == docs.columns
     assert copies == Counter({d: int(t / s + 0.5) for d, (t, s) in taken.items() if s and int(t / s + 0.5)})
+
+
+def test_small_sources_keep_their_share(documents):
+    """More words make more slots and not longer blocks: a source far smaller than total / slots is met like the others."""
+    rows = [(20 * d + s, " ".join(["w"] * 800), None, f"large{s}") for s in range(20) for d in range(20)]
+    rows += [(1000 + 20 * s + d, " ".join(["w"] * 300), None, f"small{s}") for s in range(40) for d in range(10)]
+    source = {i: s for i, _, _, s in rows}
+    taken, goal = Counter(), {}
+    for r in mixing.mix(documents(rows), slots=64).collect():
+        taken[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+    assert len(goal) == 60
+    assert [s for s in goal if abs(taken[s] - goal[s]) > 0.1 * goal[s]] == []
