@@ -49,7 +49,7 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.dedup_units(read(spark, sf_dir, "documents"))
+    return unit_dedup.dedup_units(read(spark, sf_dir, "documents"), min_stretch=8)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

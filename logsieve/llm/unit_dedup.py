@@ -14,8 +14,10 @@ from logsieve.llm.work import spread_join
 ENDS = {
     "paragraph": re.compile(r"\n[ \t\r]*\n"),
     "line": re.compile(r"\n"),
-    "sentence": re.compile(r"\n|(?<=[.!?])[ \t\r]+"),
+    "sentence": re.compile(r"\n|(?<=[.!?])[ \t\r]+|(?<=[。！？])(?![。！？])[ \t\r]*"),
 }
+#: Thai, Lao, Burmese, Khmer, Kana and Han: written without spaces, so that a code point counts as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 UNITS = "doc_id long, version long, at int, end int, words int, digest binary"
 PLACE = ["doc_id", "version", "at"]
 
@@ -36,6 +38,12 @@ def units_of(text: str, kind: str) -> Iterator[tuple[int, int, str]]:
         yield at, len(text), form
 
 
+def words_in(form: str) -> int:
+    """Words of a normalised unit, or code points of scripts without spaces where these are more."""
+    spaced = form.count(" ") + 1
+    return spaced if form.isascii() else max(spaced, len(UNSPACED.findall(form)))
+
+
 def _splitter(kind: str) -> Callable:
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -44,7 +52,7 @@ def _splitter(kind: str) -> Callable:
                 part = frame.iloc[lo : lo + 500]
                 for doc_id, version, text in zip(part["doc_id"], part["version"], part["text"]):
                     for at, end, form in units_of(text, kind):
-                        rows.append((doc_id, version, at, end, form.count(" ") + 1, md5(form.encode()).digest()))
+                        rows.append((doc_id, version, at, end, words_in(form), md5(form.encode()).digest()))
                 yield pd.DataFrame(rows, columns=["doc_id", "version", "at", "end", "words", "digest"])
 
     return split
@@ -61,12 +69,15 @@ def units(docs: DataFrame, kind: str = "sentence", id_col: str = "doc_id", text_
     return rows.mapInPandas(_splitter(kind), UNITS)
 
 
-def later_copies(docs: DataFrame, kind: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_copies(
+    docs: DataFrame, kind: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", min_stretch: int | None = None
+) -> DataFrame:
     """(doc_id, version, at, end) of every unit to remove.
 
     The first occurrence of a digest is the one with the smallest (doc_id, version, at). A later one of ``min_words`` words or
     more goes. A shorter one says little by itself: it goes only where the unit beside it in its text, with nothing but
-    the gap between them, is a removed long one.
+    the gap between them, is a removed long one. With ``min_stretch``, later units beside each other are joined into stretches,
+    and a stretch of that many words together goes whole, however short its units are.
     """
     found = units(docs, kind, id_col, text_col)
     first = found.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -79,7 +90,12 @@ def later_copies(docs: DataFrame, kind: str = "sentence", min_words: int = 8, id
     near = lambda gap, other: F.coalesce((gap <= 3) & other, F.lit(False))
     after = near(F.col("at") - F.lag("end").over(inside), F.lag(long).over(inside))
     before = near(F.lead("at").over(inside) - F.col("end"), F.lead(long).over(inside))
-    return later.withColumn("_goes", long | after | before).where("_goes").select(*PLACE, "end")
+    goes = long | after | before
+    if min_stretch is not None:
+        begins = F.coalesce((F.col("at") - F.lag("end").over(inside) > 3).cast("int"), F.lit(0))
+        later = later.withColumn("_begins", begins).withColumn("_stretch", F.sum("_begins").over(inside))
+        goes |= F.sum("words").over(Window.partitionBy("doc_id", "version", "_stretch")) >= min_stretch
+    return later.withColumn("_goes", goes).where("_goes").select(*PLACE, "end")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -97,7 +113,9 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, [(s["at"], s["end"]) for s in found]) for t, found in zip(texts, spans)], dtype=object)
 
 
-def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_units(
+    docs: DataFrame, kind: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", min_stretch: int | None = None
+) -> DataFrame:
     """One row per input row: doc_id, text (what stays), removed (array of at, end in the original text), n_removed.
 
     Units are normalised (case, white space, punctuation at word ends), hashed, and grouped over all documents; see
@@ -108,7 +126,7 @@ def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = 8, id_
     first occurrence. Rows that repeat an id and a text are one document and lose the same units; rows with one id
     and different texts are different documents. An empty table gives an empty result. Other columns are ignored.
     """
-    gone = later_copies(docs, kind, min_words, id_col, text_col)
+    gone = later_copies(docs, kind, min_words, id_col, text_col, min_stretch)
     spans = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("removed"))
     found = _documents(docs, id_col, text_col).join(spans, ["doc_id", "version"], "left")
     none = F.array().cast("array<struct<at:int,end:int>>")

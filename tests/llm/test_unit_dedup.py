@@ -3,6 +3,7 @@ import random
 import pytest
 
 from logsieve.llm import unit_dedup
+from logsieve.llm.queries import QUERIES
 
 
 def plain(rows, kind, min_words):
@@ -46,3 +47,13 @@ def test_odd_rows(documents):
     assert unit_dedup.dedup_units(documents([])).collect() == []
     clash = unit_dedup.dedup_units(documents([(1, "a b c d", None, None), (1, "x. a b c d", None, None)]), min_words=3).collect()
     assert sum(r.n_removed for r in clash) == 1
+
+
+def test_stretches_of_short_units(spark, documents, tmp_path):
+    """A repeated passage of short sentences goes whole, in scripts without spaces too; a short one by itself stays."""
+    short, line = "He came in. She saw him. They sat down. Nobody spoke.", "我们今天早上在公园里看见了很多白色的鸟。它们都飞走了。"
+    rows = [(1, f"First here. {short} The end."), (2, f"Other words! {short} Last."), (3, f"甲\n{line}"), (4, f"乙\n{line}"), (5, "Alone it is. He came in. And more.")]
+    docs = documents([(*r, None, None) for r in rows])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.text for r in QUERIES["op8_unit_dedup"](spark, str(tmp_path)).collect()}
+    assert found == dict(rows) | {2: "Other words! Last.", 4: "乙\n"}
