@@ -1,5 +1,8 @@
 """SQL twins, for DuckDB, of the operators that SQL can express."""
 
+from logsieve.llm.license_rules import CONFIDENCE, RULES
+from logsieve.llm.licenses import LOWER, SEPARATORS, UPPER
+
 _WHITE = r"[\x20\x09-\x0D]"
 
 OP6 = rf"""
@@ -90,4 +93,69 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, taken FROM got JOIN goals ON got.source IS NOT DISTINCT FROM goals.source
 """
 
-ORACLE = {"op5_mixing": OP5, "op6_exact_dedup": OP6, "op7_line_runs": OP7}
+_RULES = ", ".join(f"({i}, '{r.label}', {r.level}, '{r.keyword}', '{r.pattern}', {str(r.base).lower()})" for i, r in enumerate(RULES))
+
+OP11 = rf"""
+WITH rules(rule, label, level, keyword, pattern, base) AS (VALUES {_RULES}),
+plain AS (
+    SELECT row_number() OVER () AS id, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}', '  ', 'g'), ' ') AS body
+    FROM documents
+), word AS (
+    SELECT id, doc_id, CASE WHEN body = '' THEN '' ELSE ' ' || body || ' ' END AS words FROM plain
+), marked AS (
+    SELECT id, rule, label, level, base,
+        list_filter(string_split(regexp_replace(words, pattern, ' ' || chr(1) || ' \0 ' || chr(2) || ' ', 'g'), ' '), lambda w: w <> '') AS token
+    FROM word JOIN rules ON contains(words, keyword) WHERE regexp_matches(words, pattern)
+), mark AS (
+    SELECT id, rule, label, level, base, w, i - 1 AS i
+    FROM (SELECT id, rule, label, level, base, unnest(token) AS w, generate_subscripts(token, 1) AS i FROM marked) t WHERE w IN (chr(1), chr(2))
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY id, rule, w ORDER BY i) - 1 AS k FROM mark
+), hit AS (
+    SELECT a.id, a.rule, a.label, a.level, a.base, a.i - 2 * a.k AS first, b.i - 2 * b.k - 2 AS last
+    FROM numbered a JOIN numbered b ON a.id = b.id AND a.rule = b.rule AND a.k = b.k AND a.w = chr(1) AND b.w = chr(2)
+), kept AS (
+    SELECT * FROM hit a WHERE base OR NOT EXISTS (
+        SELECT 1 FROM hit b WHERE b.id = a.id AND b.first <= a.first AND b.last >= a.last AND b.level <= a.level
+            AND (b.first < a.first OR b.last > a.last OR b.level < a.level OR b.rule < a.rule))
+), each AS (
+    SELECT id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+        max([{", ".join(map(str, CONFIDENCE))}][level + 1])::DOUBLE AS score
+    FROM kept GROUP BY id
+)
+SELECT doc_id, ((length(words) - length(replace(words, ' ', ''))) // 2)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+    first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    coalesce(score, 0)::DOUBLE AS score
+FROM word LEFT JOIN each USING (id)
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = rf"""
+WITH said AS (
+    SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') AS terms FROM documents
+), asked AS (
+    SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') AS terms FROM benchmark
+), total AS (
+    SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS big_n, coalesce(sum(len(terms)), 0)::BIGINT AS big_l FROM said
+), posting AS (
+    SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT id, unnest(terms) AS term FROM said) t GROUP BY ALL
+), weighed AS (
+    SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM posting GROUP BY term) t, total
+), query AS (
+    SELECT item, term, count(*)::BIGINT AS times FROM (SELECT item, unnest(terms) AS term FROM asked) t GROUP BY ALL
+), sized AS (
+    SELECT id, doc_id, 25 + (75 * len(terms)::BIGINT * big_n) // greatest(1, big_l) AS m FROM said, total
+), scored AS (
+    SELECT item, id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM query JOIN weighed USING (term) JOIN posting USING (term) JOIN sized USING (id) GROUP BY ALL
+), ranked AS (
+    SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+    FROM scored JOIN sized USING (id) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN asked USING (item) WHERE rank <= 10
+"""
+
+ORACLE = {"op5_mixing": OP5, "op6_exact_dedup": OP6, "op7_line_runs": OP7, "op11_licenses": OP11, "op13_lexical_search": OP13}
