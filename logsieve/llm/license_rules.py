@@ -67,7 +67,7 @@ NAMES = (
     ("unlicense", "unlicense", r"the unlicense", r"unlicense"),
     ("wtfpl", "what the fuck", r"do what the fuck you want to public licen[sc]e", r"wtfpl"),
     ("postgresql", "postgresql licen", r"postgresql licen[sc]e", r"postgresql"),
-    ("python-2", "python", r"python software foundation licen[sc]e( version| v)?( 2)?|psf licen[sc]e agreement", r"python 2 0( 1)?|psf 2 0"),
+    ("python-2", "python", r"python software foundation licen[sc]e( version| v)?( 2)?", r"python 2 0( 1)?|psf 2 0"),
     ("php-3", "php licen", r"php licen[sc]e( version| v)? ?3( 0)?( 1| 01)?", r"php 3 0( 1)?"),
     ("ruby", "ruby licen", r"ruby licen[sc]e", r"ruby"),
     ("openssl", "openssl", r"openssl licen[sc]e", r"openssl"),
@@ -87,7 +87,7 @@ NAMES = (
     ("beerware", "beerware", r"beerware licen[sc]e", r"beerware"),
     ("blueoak-1.0", "blue oak", r"blue oak model licen[sc]e( version| v)?( 1 0 0)?", r"blueoak 1 0 0"),
     ("mulan-2", "mulan", r"mulan permissive software licen[sc]e( version| v)? ?2", r"mulanpsl 2 0"),
-    ("odbl-1.0", "open database licen", r"open database licen[sc]e( version| v)?( 1 0)?|odbl( v)?( 1 0)?", r"odbl 1 0"),
+    ("odbl-1.0", "open database licen", r"open database licen[sc]e( version| v)?( 1 0)?", r"odbl 1 0"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[sc]e( version| v)?( 1 0)?", r"odc by 1 0"),
     ("pddl-1.0", "public domain dedication", r"(open data commons )?public domain dedication and licen[sc]e( version| v)?( 1 0)?", r"pddl 1 0"),
     ("cdla-permissive-2", "community data licen", r"community data licen[sc]e agreement permissive( version| v)?( 2 0)?", r"cdla permissive 2 0"),
@@ -178,21 +178,22 @@ HINTS = (
     ("mozilla", "mozilla public", r"mozilla public licen[sc]e"), ("creative-commons", "creative commons", r"creative commons( licen[sc]e)?"),
     ("cc-by", "cc by", r"cc by( [234] 0)?"), ("cc-by-sa", "cc by sa", r"cc by sa( [234] 0)?"), ("cc-by-nd", "cc by nd", r"cc by nd( [234] 0)?"),
     ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa( [234] 0)?"), ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd( [234] 0)?"),
-    ("public-domain", "public domain", r"(in|into|to) the public domain"), ("all-rights-reserved", "rights reserved", r"all rights( are)? reserved"),
+    ("public-domain", "public domain", r"(in|into|to) the public domain"), ("all-rights-reserved", "all rights", r"all rights( are)? reserved"),
     ("proprietary", "proprietary", r"(confidential and proprietary|proprietary and confidential)"), ("proprietary", "proprietary licen", r"proprietary licen[sc]e"),
     ("commercial", "commercial licen", r"commercial licen[sc]e"), ("eula", "user licen", r"end user licen[sc]e agreement"),
-    ("non-commercial", "non commercial", r"(for )?non commercial use only"), ("research-only", "research", r"for (academic|research) (use|purposes) only"),
+    ("non-commercial", "non commercial", r"(for )?non commercial use only"), ("research-only", "research", r"for research (use|purposes) only"), ("academic-only", "academic", r"for academic (use|purposes) only"),
+    ("odbl-1.0", "odbl", r"odbl( v)?( 1 0)?"), ("python-2", "psf licen", r"psf licen[sc]e( agreement)?"),
     ("see-license", "licen", r"see (the )?(file )?licen[sc]e( file| txt| md)?( for details)?"),
     ("permission-required", "written permission", r"without( the)?( express| prior| specific)? written permission"),
 )
 
 #: Every keyword holds one of these, so a text without any of them is passed over.
 GATES = (
-    "licen", "spdx", "rights reserved", "gpl", "bsd", "cc0", "cc by", "cecill", "creative commons", "public domain", "proprietary", "non commercial", "written permission",
+    "licen", "spdx", "all rights", "gpl", "bsd", "cc0", "cc by", "cecill", "creative commons", "public domain", "proprietary", "non commercial", "written permission",
     "opensource org", "apache", "gnu org", "mozilla", "eclipse", "boost", "sil org", "creativecommons org", "opendatacommons org", "free of charge", "substantial portions",
     "permission", "redistributi", "endorse or promote", "advertising materials", "free software foundation", "development and distribution", "altered source versions",
     "what the fuck", "artistic", "open font", "python", "openssl", "good not evil", "beer", "microsoft", "paragraphs appear in all copies", "illinois", "production use",
-    "hosted or managed service", "research", "openrail", "no attribution", "european union public", "common public", "zlib", "libpng", "ncsa", "academic free",
+    "hosted or managed service", "research", "openrail", "no attribution", "european union public", "common public", "zlib", "libpng", "ncsa", "academic", "odbl",
     "universal permissive", "business source", "server side public", "blue oak", "mulan", "open data commons",
 )
 

@@ -158,4 +158,41 @@ WITH said AS (
 SELECT item_id, rank, doc_id, score FROM ranked JOIN asked USING (item) WHERE rank <= 10
 """
 
-ORACLE = {"op5_mixing": OP5, "op6_exact_dedup": OP6, "op7_line_runs": OP7, "op11_licenses": OP11, "op13_lexical_search": OP13}
+# The checksum of a decimal, bit by bit: each byte goes in at its first of eight steps.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(string_split({0}::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295::BIGINT)"""
+
+OP12 = f"""
+WITH said AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS idx FROM said
+), plan AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS donor, {_CRC.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM said) c
+), turns AS (
+    SELECT p.conv_id, 0 AS part, idx, role, text FROM plan p JOIN numbered n ON n.conv_id = p.donor AND idx < h
+    UNION ALL SELECT p.conv_id, 1, idx, role, text FROM plan p JOIN numbered n ON n.conv_id = p.conv_id AND idx >= h
+), seq AS (
+    SELECT p.conv_id, coalesce(list(struct_pack(r := role, t := text) ORDER BY part, idx) FILTER (WHERE idx IS NOT NULL), []) AS own
+    FROM plan p LEFT JOIN turns USING (conv_id) GROUP BY p.conv_id
+), member AS (
+    SELECT conv_id, own, unnest(range(len(own) + 1)) AS depth FROM seq
+), keyed AS (
+    SELECT *, list_slice(own, 1, depth) AS key FROM member
+), node AS (
+    SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(own) = depth), '') AS ends,
+        count(*) FILTER (WHERE len(own) = depth) AS n_ends
+    FROM keyed GROUP BY key
+), below AS (
+    SELECT a.conv_id, a.depth, count(*) FILTER (WHERE n.depth = a.depth + 1) AS n_children, count(*) FILTER (WHERE n.n_convs = n.n_ends) AS n_leaves,
+        sum((n.n_convs - 1) * coalesce(strlen(n.key[-1].t), 0)) AS saved_tokens
+    FROM node n, unnest(range(n.depth + 1)) r(d) JOIN node a ON a.key = list_slice(n.key, 1, d) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+    n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n JOIN below b ON b.conv_id = n.conv_id AND b.depth = n.depth LEFT JOIN node p ON n.depth > 0 AND p.key = list_slice(n.key, 1, n.depth - 1)
+"""
+
+ORACLE = {"op5_mixing": OP5, "op6_exact_dedup": OP6, "op7_line_runs": OP7, "op11_licenses": OP11, "op12_conversation_trie": OP12, "op13_lexical_search": OP13}

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.llm import decontaminate, exact_dedup, html_text, language, lexical, licenses, line_runs, mixing, packing, ppm, simhash, unit_dedup
+from logsieve.llm import conversation_trie, decontaminate, exact_dedup, html_text, language, lexical, licenses, line_runs, mixing, packing, ppm, simhash, unit_dedup
 from logsieve.llm.work import read
 
 #: Vocabulary file, its size and the id that ends a document, for token output.
@@ -66,6 +66,10 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.shared_openings(read(spark, sf_dir, "conversations"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_simhash, op2_html_text, op3_decontaminate, op4_ppm, op5_mixing, op6_exact_dedup, op7_line_runs, op8_unit_dedup, op9_packing,
-        op10_language, op11_licenses, op13_lexical_search,
+        op10_language, op11_licenses, op12_conversation_trie, op13_lexical_search,
     )
 }
