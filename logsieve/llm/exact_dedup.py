@@ -36,9 +36,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         norm.alias("_norm"),
         F.unhex(F.md5(norm.cast("binary"))).alias("_hash"),
     )
-    best = F.max(F.struct("_size", (-F.col("doc_id")).alias("_id"))).alias("_best")
+    # the complement turns the order of ids round and, unlike a negation, has a value for every one
+    best = F.max(F.struct("_size", F.bitwise_not("doc_id").alias("_id"))).alias("_best")
     size = F.count(F.lit(1)).alias("group_size")
-    keep = (-F.col("_best._id")).alias("keep_id")
+    keep = F.bitwise_not(F.col("_best._id")).alias("keep_id")
     checked = rows.groupBy("_hash").agg(size, best, F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
     clash = F.col("_low") != F.col("_high")
     checked = stored(checked.select("_hash", "group_size", keep, clash.alias("_clash")), "groups")

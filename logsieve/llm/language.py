@@ -173,7 +173,7 @@ def identify(
     langs, bundles = prototypes(labeled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), dimensions, seed)
     found = predictor(langs, bundles, seed)(F.col(text_col))
     rest = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*rest, found.alias("_found")).select(*rest, "_found.lang_pred", "_found.score")
+    return docs.select(F.struct(*rest).alias("row"), found.alias("found")).select("row.*", "found.lang_pred", "found.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -144,8 +144,8 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
 
     Rows of one id share their count. Documents that the mix leaves out, and those without a word, are gone.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = copies.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_copies"))
-    kept = docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    again = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*docs.columns)
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = copies.where("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(copies.where("copies > 0"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

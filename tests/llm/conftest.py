@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, hash string, _hash string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, hash string, _hash string, _copies long, _copy long, _id long, _place long, _split long, _found long, _lang string, row long, place long, form long"
 LONG = "\n".join(" ".join(f"w{i}x{j}" for j in range(60)) for i in range(300))
 #: Every awkward kind of row: null columns, empty and blank texts, a very long text, repeated rows, ties.
 ODD = [
@@ -15,6 +15,6 @@ def documents(spark):
     """Documents from (doc_id, text, lang, source) rows, with further columns whose names an operator may use itself."""
 
     def make(rows=ODD):
-        return spark.createDataFrame([(*r, 0, 7, "k", "h", "h") for r in rows], SCHEMA)
+        return spark.createDataFrame([(*r, 0, 7, "k", "h", "h", 1, 2, 3, 4, 5, 6, "l", 8, 9, 10) for r in rows], SCHEMA)
 
     return make

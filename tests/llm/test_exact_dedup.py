@@ -21,6 +21,11 @@ def test_ties_go_to_the_smallest_id(documents):
     assert {r.keep_id for r in rows} == {3} and [r.doc_id for r in rows if r.kept] == [3]
 
 
+def test_the_smallest_of_all_ids(documents):
+    rows = exact_dedup.exact_groups(documents([(-(2**63), "a", None, None), (2**63 - 1, "a", None, None)])).collect()
+    assert {r.keep_id for r in rows} == {-(2**63)}
+
+
 def test_empty_table(documents):
     assert exact_dedup.exact_groups(documents([])).collect() == []
 

@@ -49,3 +49,32 @@ def test_chains_hot_classes_and_odd_rows(documents):
     nameless = [(None, t, None, None) for t in ("a b c d e f", "g h i j k l", "a b c d e f")]
     assert sorted(r.text for r in near_copies.one_per_class(documents(nameless)).collect()) == ["a b c d e f", "g h i j k l"]
     assert near_copies.one_per_class(documents([])).collect() == []
+
+
+def test_rounds_lose_no_pair(spark, documents, monkeypatch):
+    """A dense group around the threshold, where pairs are on either side of it: like all pairs, however many rounds are run."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, changed(base, rng.choice([2, 3, 4, 5]), rng), "en", "a") for i in range(90)]
+    parent = list(range(90))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(90):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    want = {i for i in range(90) if top(i) == i}
+    assert 1 < len(want) < 80
+    for few in (0, 10**9):
+        monkeypatch.setattr(near_copies.links, "__defaults__", (near_copies.WORDS, near_copies.LEAST_JACCARD, few))
+        assert {r.doc_id for r in near_copies.one_per_class(documents(rows)).collect()} == want
+
+
+def test_columns_of_any_name_stay(documents):
+    kept = near_copies.one_per_class(documents())
+    assert kept.columns == documents().columns and {(r._copies, r._place, r.row, r.place) for r in kept.collect()} == {(1, 4, 8, 9)}
