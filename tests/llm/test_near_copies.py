@@ -51,8 +51,8 @@ def test_chains_hot_classes_and_odd_rows(documents):
     assert near_copies.one_per_class(documents([])).collect() == []
 
 
-def test_rounds_lose_no_pair(spark, documents, monkeypatch):
-    """A dense group around the threshold, where pairs are on either side of it: like all pairs, however many rounds are run."""
+def test_blocks_lose_no_pair(spark, documents, monkeypatch):
+    """A dense group around the threshold, where pairs are on either side of it: like all pairs, whatever the blocks."""
     rng = random.Random(8)
     base = [f"b{i}" for i in range(150)]
     rows = [(i, changed(base, rng.choice([2, 3, 4, 5]), rng), "en", "a") for i in range(90)]
@@ -70,8 +70,8 @@ def test_rounds_lose_no_pair(spark, documents, monkeypatch):
                 parent[b] = a
     want = {i for i in range(90) if top(i) == i}
     assert 1 < len(want) < 80
-    for few in (0, 10**9):
-        monkeypatch.setattr(near_copies.links, "__defaults__", (near_copies.WORDS, near_copies.LEAST_JACCARD, few))
+    for few, many in ((3, 7), (256, 4096)):
+        monkeypatch.setattr(near_copies.links, "__defaults__", (near_copies.WORDS, near_copies.LEAST_JACCARD, few, many))
         assert {r.doc_id for r in near_copies.one_per_class(documents(rows)).collect()} == want
 
 
