@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ ORDER = 5
 SYMBOLS = 256
 #: The most frequent grams and words are read by every task, so many at the most; the rest is looked up by joins.
 HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 18
-_CHUNK = 1_000
+#: Bytes of text that are turned into grams at a time, and whose counts are added up before they leave the task.
+_PIECE, _SLICE = 1 << 21, 1 << 23
 
 # A gram is one long: length of the context (3 bits), its bytes with the oldest on top (40 bits), the symbol (8 bits).
 _LENGTH, _SYMBOL = 40, 8
@@ -55,18 +57,22 @@ def _total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of ``rows`` rows at the most, which bounds what a task holds at a time."""
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of some ``size`` bytes of text, one text at the least, which bounds what a task holds at a time."""
     for batch in batches:
-        for lo in range(0, len(batch), rows):
-            yield batch.slice(lo, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams of some texts with how often the training texts have them; grams of the others with 0."""
-    for part in _slices(batches, 4 * _CHUNK):
+    for part in _slices(batches, _SLICE):
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for piece in _slices([part], _CHUNK):
+        for piece in _slices([part], _PIECE):
             grams, lengths = grams_of([words_of(t) for t in piece.column("text").to_pylist()])
             learned = np.repeat(~np.array(piece.column("held_out").to_pylist(), bool), lengths)
             for chosen, weight in ((grams[learned], 1), (grams[~learned], 0)):
@@ -79,7 +85,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of some texts with how often the training texts have them; words of the others with 0."""
-    for part in _slices(batches, 4 * _CHUNK):
+    for part in _slices(batches, _SLICE):
         learned, seen = Counter(), set()
         for text, held_out in zip(part.column("text"), part.column("held_out").to_pylist()):
             (seen.update if held_out else learned.update)(words_of(text.as_py()))
@@ -204,21 +210,15 @@ class Places:
         return out
 
 
-_heads: dict[tuple[str, str], tuple] = {}
-
-
 def _read_heads(grams: str, words: str) -> tuple[dict[bytes, int], Places, np.ndarray]:
-    """The heads' words with counts and grams with prices, read once per worker process from the shared folder."""
-    if (grams, words) not in _heads:
-        _heads.clear()
-        tables = []
-        for uri in (grams, words):
-            system, path = shared_folder(uri)
-            tables.append(pq.read_table(path, filesystem=system))
-        keys, prices = (tables[0].column(c).to_numpy() for c in ("gram", "price"))
-        places = dict(zip(tables[1].column("word").to_pylist(), tables[1].column("n").to_pylist()))
-        _heads[grams, words] = places, Places(keys), np.append(prices, 0.0)  # place -1 has a price too, which nothing uses
-    return _heads[grams, words]
+    """The heads' words with counts and grams with prices, from the shared folder. A task that ends lets go of them."""
+    tables = []
+    for uri in (grams, words):
+        system, path = shared_folder(uri)
+        tables.append(pq.read_table(path, filesystem=system))
+    keys, prices = (tables[0].column(c).to_numpy() for c in ("gram", "price"))
+    places = dict(zip(tables[1].column("word").to_pylist(), tables[1].column("n").to_pylist()))
+    return places, Places(keys), np.append(prices, 0.0)  # place -1 has a price too, which nothing uses
 
 
 def _scorer(head_grams: str, head_words: str) -> Callable:
@@ -226,7 +226,7 @@ def _scorer(head_grams: str, head_words: str) -> Callable:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, known, price = _read_heads(head_grams, head_words)
-        for part in _slices(batches, _CHUNK):
+        for part in _slices(batches, _PIECE):
             texts = [words_of(t) for t in part.column("text").to_pylist()]
             grams, lengths = grams_of(texts)
             at = known.find(grams)
