@@ -1,6 +1,7 @@
 """Weights, label encoding, distributed training, search and scoring with ``pyspark.ml``."""
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -188,15 +189,19 @@ def search(
 ) -> tuple[DataFrame, dict[str, Trained]]:
     """Train each configuration, choose its threshold and rank it by the ``valid`` rows, and report on the ``test`` rows."""
     valid, test = (table.filter(F.col("split") == part) for part in ("valid", "test"))
-    models: dict[str, Trained] = {}
-    reports = []
-    for name, settings in configs.items():
-        models[name] = train_binary(table, features, {**settings, **override})
-        sweep = threshold_sweep(score_binary(models[name], valid), V.SWEEP_GRIDS["search"])
+
+    def tried(settings: Mapping[str, Any]) -> tuple[Trained, DataFrame]:
+        trained = train_binary(table, features, {**settings, **override})
+        sweep = threshold_sweep(score_binary(trained, valid), V.SWEEP_GRIDS["search"])
         best = best_threshold_f1(sweep).select("threshold", "f1").first()
-        report = evaluate(score_binary(models[name], test, best["threshold"]))
         chosen = [F.lit(best["threshold"]).alias("best_threshold"), F.lit(best["f1"]).alias("best_f1")]
-        reports.append(report.select(F.lit(name).alias("config"), "*", *chosen))
+        return trained, evaluate(score_binary(trained, test, best["threshold"])).select("*", *chosen)
+
+    # a round of boosting is many short jobs, so configurations are trained side by side
+    with ThreadPoolExecutor(len(configs)) as pool:
+        found = dict(zip(configs, pool.map(tried, configs.values()), strict=True))
+    models = {name: trained for name, (trained, _) in found.items()}
+    reports = [report.select(F.lit(name).alias("config"), "*") for name, (_, report) in found.items()]
     ranked = reports[0]
     for report in reports[1:]:
         ranked = ranked.unionByName(report)

@@ -206,8 +206,9 @@ META = "row_id, is_attack, attack_type, ip, path, source"
 FULL_SQL = {**SCALAR_SQL, **{f: f for f in V.WINDOW_FEATURES}}
 FEATURED = LABELED + "," + windowed("labeled") + f""",
 features AS (SELECT {META}, {cols(FULL_SQL, ALL_FEATURES)} FROM windows)"""
-SCORED_FEATURED = CLEANED + "," + windowed("fixed") + f""",
-features AS (SELECT {META}, {cols(FULL_SQL, ALL_FEATURES)} FROM windows),
+# Windows count every request; spam leaves the finished table.
+SCORED_FEATURED = LABELED + "," + windowed("labeled") + ",\nkept AS (SELECT * FROM windows WHERE attack_type <> 'seo_spam'),\n" + repaired("kept", False) + f""",
+features AS (SELECT {META}, {cols(FULL_SQL, ALL_FEATURES)} FROM fixed),
 {score_of('features')}"""
 
 

@@ -730,7 +730,7 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _binary_table(spark: SparkSession, sf: str) -> DataFrame:
     """Feature table with its split, written once: training reads it many times and must survive lost executors."""
-    table = sampling.split_three(feature_table(tables.cleaned(spark, sf), "train"))
+    table = sampling.split_three(tables.cleaned_features(spark, sf))
     return stored_tables.stored(table, work_dir(spark))
 
 
@@ -768,7 +768,7 @@ for _config in ("base", "weighted"):
 def _multiclass_report(learner: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """Support of every class in the stratified test part, with the model's measures in range."""
-        split = sampling.split_stratified(feature_table(tables.cleaned(spark, sf, "typed"), "train"))
+        split = sampling.split_stratified(tables.cleaned_features(spark, sf, "typed"))
         table = stored_tables.stored(split, work_dir(spark))
         trained = learning.train_multiclass(table, PROFILES["v3"], learner)
         predicted = learning.score_multiclass(trained, table.filter(F.col("split") == "test"))

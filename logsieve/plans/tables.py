@@ -45,13 +45,18 @@ def features(spark: SparkSession, sf: str, profile: str = "train") -> DataFrame:
     return feature_table(label_requests(derived.access_log(spark, sf)), profile)
 
 
+def cleaned_features(spark: SparkSession, sf: str, mode: str = "constant") -> DataFrame:
+    """Features of the cleaned requests. Windows count all requests; bulk spam leaves the finished table."""
+    return repair_labels(exclude_classes(features(spark, sf), "seo_spam"), mode)
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return derived.scored(cleaned(spark, sf))
 
 
 def scored_features(spark: SparkSession, sf: str) -> DataFrame:
     """Scored requests with their features, as the false-positive reports need them."""
-    return derived.scored(feature_table(_cleaned(spark, sf, "constant"), "train"))
+    return derived.scored(cleaned_features(spark, sf))
 
 
 def first_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -190,11 +190,12 @@ def run_live_features(
         newest = known.agg(F.max("event_s")).scalar()
         rows = known.select(*REQUEST_COLUMNS).filter(F.col("event_s").isNotNull())
         row = F.struct(*REQUEST_COLUMNS)
+        # the row before the oldest of the window tells whether that one repeats its path, so every client keeps one
         latest = (
-            rows.groupBy("ip")
+            rows.filter(F.col("event_s") <= newest - seconds)
+            .groupBy("ip")
             .agg(F.max_by(row, F.struct("event_s", "row_id")).alias("r"))
             .select("r.*")
-            .filter(F.col("event_s") <= newest - seconds)
         )
         window = rows.filter(F.col("event_s") > newest - seconds)
         window.unionByName(latest).write.mode("overwrite").parquet(_slot(state, number))

@@ -80,3 +80,16 @@ def test_live_features_agree_with_batch(spark, requests, tmp_path):
     columns = ["row_id", "req_count_60s", "err_count_60s", "unique_url_60s"]
     live = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()}
     assert live == {tuple(r) for r in add_window_features(df).select(*columns).collect()}
+
+
+def test_live_features_know_the_path_before_the_window(spark, requests, tmp_path):
+    """A client with rows in the window keeps the row before its oldest one, which tells whether that one repeats its path."""
+    rows = [{"ip": "a", "event_s": 0, "path": "/x"}, {"ip": "a", "event_s": 50, "path": "/x"}, {"ip": "b", "event_s": 100}, {"ip": "a", "event_s": 105, "path": "/z"}]
+    df = requests(*rows).select(*jobs.REQUEST_COLUMNS)
+    folder = str(tmp_path / "in")
+    for low, high in ((0, 3), (3, 4)):
+        df.filter((F.col("row_id") >= low) & (F.col("row_id") < high)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.run_live_features(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "check"))
+    live = {r.row_id: r.unique_url_60s for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert live[3] == 1 and live == {r.row_id: r.unique_url_60s for r in add_window_features(df).collect()}
