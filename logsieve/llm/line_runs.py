@@ -15,17 +15,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, version, pos, raw, line): one row per line that is not blank.
+    """(doc_id, version, pos, raw, words, line): one row per line that is not blank.
 
     ``raw`` counts all lines of the text, ``pos`` those that are not blank; ``line`` is the MD5 of the line without
-    white space at its ends.
+    white space at its ends, ``words`` one more than the white space in it.
     """
     rows = _documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
     every = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("raw"), F.btrim(x, F.lit(SPACE)).alias("form")))
     full = F.filter(every, lambda s: s["form"] != "")
     found = rows.select("doc_id", "version", F.posexplode(full).alias("pos", "_line"))
-    line = F.unhex(F.md5(F.col("_line.form").cast("binary")))
-    return found.select(*PLACE, F.col("_line.raw").alias("raw"), line.alias("line")).dropDuplicates(PLACE)
+    form = F.col("_line.form")
+    line, words = F.unhex(F.md5(form.cast("binary"))), F.length(form) - F.length(F.translate(form, SPACE, "")) + 1
+    return found.select(*PLACE, F.col("_line.raw").alias("raw"), words.alias("words"), line.alias("line")).dropDuplicates(PLACE)
 
 
 def _ranked(table: DataFrame, key: str) -> DataFrame:
@@ -62,8 +63,9 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     return stored(ranks, "suffixes")
 
 
-def repeated_lines(lines: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, version, raw) of every line inside a later copy of a run of ``min_lines`` lines or more.
+def repeated_lines(lines: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
+    """(doc_id, version, raw) of every line inside a later copy of a run of ``min_lines`` lines or more, and of every later
+    copy of a line that has ``min_words`` words by itself.
 
     The first copy of a run is the one that comes first by (doc_id, version, pos); a copy that overlaps it in the same
     text is none. A longer repeated run is the union of its parts of ``min_lines`` lines, each of which is a repeat.
@@ -74,25 +76,33 @@ def repeated_lines(lines: DataFrame, min_lines: int) -> DataFrame:
     here = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.version") == F.col("version"))
     later = both.where(F.when(here, F.col("pos") - F.col("first.pos") >= min_lines).otherwise(F.struct(*PLACE) > F.col("first")))
     covered = later.select("doc_id", "version", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+    if min_words is not None:
+        long = lines.where(F.col("words") >= min_words).select(*PLACE, "line")
+        origin = long.groupBy("line").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = spread_join(long, origin.select("line", "first"), "line").where(F.struct(*PLACE) > F.col("first"))
+        covered = covered.unionByName(again.select(*PLACE))
     return lines.join(covered.distinct(), PLACE, "left_semi").select("doc_id", "version", "raw")
 
 
-def dedup_line_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_line_runs(docs: DataFrame, min_lines: int = 2, min_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines (not blank), n_removed, text (what stays, line ends as they were).
 
     Every maximal run of ``min_lines`` or more lines that occurs twice anywhere keeps its first copy; later copies are
-    deleted. Lines are compared without white space at their ends; blank lines are never part of a run and stay.
+    deleted. So are later copies of a single line of ``min_words`` words or more. Lines are compared without white space at their ends; blank lines are never part of a run and stay.
 
     A null text stays null, an empty one empty. A row with a null id is kept whole and is no first copy. Rows that repeat
     an id and a text are one document and lose the same lines; rows with one id and different texts are different
     documents. An empty table gives an empty result. Other columns are ignored.
     """
     lines = stored(positions(docs, id_col, text_col), "lines")
-    gone = repeated_lines(lines, min_lines).groupBy("doc_id", "version").agg(F.collect_set("raw").alias("gone"))
+    gone = repeated_lines(lines, min_lines, min_words).groupBy("doc_id", "version").agg(F.collect_set("raw").alias("gone"))
     counts = lines.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n_lines"))
     marks = counts.join(gone, ["doc_id", "version"], "left")
     rows = _documents(docs, id_col, text_col).join(marks, ["doc_id", "version"], "left")
-    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    every = F.split("text", "\n", -1)
+    # a set difference of places: looking each line up in an array would take the square of a text's lines
+    places = F.array_except(F.sequence(F.lit(0), F.array_size(every) - 1), F.col("gone"))
+    stay = F.transform(places, lambda i: F.get(every, i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     n_lines = F.coalesce("n_lines", F.lit(0))
     return rows.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).alias("n_removed"), text.alias("text"))

@@ -16,7 +16,7 @@ WITH norm AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM ranked
 """
 
-# Two lines at a time: the production setting of the operator.
+# The production setting: two lines at a time, and single lines of 50 words.
 OP7 = rf"""
 WITH raw AS (
     SELECT doc_id, text, unnest(string_split(text, chr(10))) AS form, generate_subscripts(string_split(text, chr(10)), 1) AS raw
@@ -34,8 +34,11 @@ WITH raw AS (
     FROM pair WHERE whole WINDOW w AS (PARTITION BY two ORDER BY doc_id, pos)
 ), later AS (
     SELECT doc_id, pos FROM first WHERE CASE WHEN doc_id = first_doc THEN pos - first_pos >= 2 ELSE true END
+), single AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS copy FROM numbered
+    WHERE length(body) - length(translate(body, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) + 1 >= 50
 ), gone AS (
-    SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later
+    SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later UNION SELECT doc_id, pos FROM single WHERE copy > 1
 ), marked AS (
     SELECT l.doc_id, l.raw, l.form, n.pos IS NOT NULL AS full_line, g.pos IS NOT NULL AS goes
     FROM line l LEFT JOIN numbered n USING (doc_id, raw) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.pos = n.pos

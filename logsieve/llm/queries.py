@@ -45,11 +45,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.dedup_line_runs(read(spark, sf_dir, "documents"))
+    return line_runs.dedup_line_runs(read(spark, sf_dir, "documents"), min_words=50)
 
 
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.dedup_units(read(spark, sf_dir, "documents"), min_stretch=8)
+    return unit_dedup.dedup_units(read(spark, sf_dir, "documents"), min_words=20, min_stretch=20)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,23 @@ def test_equals_brute_force(documents, m):
     assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in found) == sorted(expected)
 
 
+def test_long_single_lines_go_too(documents):
+    rng = random.Random(9)
+    texts = ["\n".join(rng.choice(["a", "b", "c d", "e f g", " h i j k ", "", "l m n"]) for _ in range(rng.randint(0, 9))) for _ in range(50)]
+    gone, seen = plain(list(enumerate(texts)), 2), set()
+    for d, t in enumerate(texts):
+        for i, line in enumerate(x.strip() for x in t.split("\n")):
+            if len(line.split()) >= 3:
+                if line in seen:
+                    gone[d, t].add(i)
+                seen.add(line)
+    found = line_runs.dedup_line_runs(documents([(*r, None, None) for r in enumerate(texts)]), 2, 3).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {d: len(gone[d, t]) for d, t in enumerate(texts)}
+    many = "\n".join(["x", "y"] * 20_000)
+    (row,) = line_runs.dedup_line_runs(documents([(1, many, None, None)])).collect()
+    assert row.n_removed == 39_998 and row.text == "x\ny"
+
+
 def test_ranks_follow_the_suffixes(documents):
     """Suffix array order: equal prefixes have equal ranks, and only repeated ones have any."""
     lines = line_runs.positions(documents([(1, "a\nb\nc\na\nb", None, None), (2, "a\nb\nd", None, None)]))

@@ -54,6 +54,31 @@ def test_stretches_of_short_units(spark, documents, tmp_path):
     short, line = "He came in. She saw him. They sat down. Nobody spoke.", "我们今天早上在公园里看见了很多白色的鸟。它们都飞走了。"
     rows = [(1, f"First here. {short} The end."), (2, f"Other words! {short} Last."), (3, f"甲\n{line}"), (4, f"乙\n{line}"), (5, "Alone it is. He came in. And more.")]
     docs = documents([(*r, None, None) for r in rows])
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r.text for r in QUERIES["op8_unit_dedup"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.text for r in unit_dedup.dedup_units(docs, min_stretch=8).collect()}
     assert found == dict(rows) | {2: "Other words! Last.", 4: "乙\n"}
+
+
+def test_production_setting_equals_brute_force(spark, documents, tmp_path):
+    """Stretches of neighbouring later units that have 20 words together go, as the query sets it; everything else stays."""
+    rng = random.Random(12)
+    sentences = [" ".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 5, 9, 22]))).capitalize() + "." for _ in range(25)]
+    rows = [(d, "".join(rng.choice(sentences) + rng.choice([" ", "\n", "\n\n"]) for _ in range(rng.randint(0, 12)))) for d in range(60)]
+    seen, want = set(), {}
+    for doc_id, text in rows:
+        spans, stretch = [], []
+
+        def close():
+            if sum(w for _, _, w in stretch) >= 20:
+                spans.extend((a, e) for a, e, _ in stretch)
+            stretch.clear()
+
+        for a, e, form in unit_dedup.units_of(text, "sentence"):
+            if form in seen:
+                if stretch and a - stretch[-1][1] > 3:
+                    close()
+                stretch.append((a, e, len(form.split())))
+            seen.add(form)
+        close()
+        want[doc_id] = unit_dedup.cut(text, spans)
+    documents([(*r, None, None) for r in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in QUERIES["op8_unit_dedup"](spark, str(tmp_path)).collect()} == want
