@@ -70,7 +70,7 @@ WITH sized AS (
     FROM (SELECT *, max(level) FILTER (WHERE level <= full_at) OVER () AS top FROM levels)
 ), block AS (
     SELECT b, round_even(total / b, 0)::BIGINT AS n
-    FROM (SELECT coalesce(sum(target), 0) AS total, greatest(1, coalesce(ceil(sum(target) / 262144), 1))::BIGINT AS b FROM goals)
+    FROM (SELECT coalesce(sum(target), 0) AS total, greatest(1, least(64, coalesce(ceil(sum(target) / 262144), 1)))::BIGINT AS b FROM goals)
 ), parts AS (
     SELECT source, floor((upper - target) / total * 4294967296)::BIGINT AS low, floor(upper / total * 4294967296)::BIGINT AS high
     FROM (SELECT source, target, sum(target) OVER (ORDER BY source NULLS LAST) AS upper, sum(target) OVER () AS total FROM goals WHERE target > 0)
