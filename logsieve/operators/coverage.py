@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
-from logsieve.functions.rules import blacklisted, first_new_rule, first_rule, slash_uri, text
+from logsieve.functions.rules import blacklisted, first_class, first_new_rule, first_rule, label_rules, slash_uri, text
 from logsieve.operators.reports import ratio, to_rows
 
 
@@ -134,9 +134,12 @@ def corpus_coverage(corpus: DataFrame) -> DataFrame:
 
 
 def corpus_missed(corpus: DataFrame) -> DataFrame:
-    """Attack requests of the corpus that no rule blocks."""
-    attacks = corpus.filter(~F.col("class").isin("normal", "page"))
+    """Requests of the corpus that no rule blocks though they are attacks: those of the attack classes, and pages whose address
+    alone a label rule names, which then stand under that rule's class."""
+    named = first_class([r for r in label_rules() if r.field == "path"], F.lit(None).cast("string"))
+    known = corpus.withColumn("path", F.col("uri")).withColumn("class", F.when(F.col("class") == "page", named).otherwise(F.col("class")))
     hit = blacklisted(F.col("uri"), F.lit(V.PROBE_USER_AGENT), "new")
+    attacks = known.filter(F.col("class").isNotNull() & (F.col("class") != "normal"))
     return attacks.filter(~hit).groupBy("class", "uri").agg(F.count("*").alias("n"))
 
 

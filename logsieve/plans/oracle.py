@@ -370,8 +370,11 @@ SELECT class, total, blocked, {rnd(div('blocked * 100', 'total'), 'rate')} FROM
   SELECT class, count(*) AS total, count(*) FILTER (hit) AS blocked FROM probed GROUP BY class
   UNION ALL
   SELECT 'TOTAL ATTACK', count(*), count(*) FILTER (hit) FROM probed WHERE class NOT IN ('normal', 'page'))""")
-put("payload_missed", CORPUS, """
-SELECT class, uri, count(*) AS n FROM probed WHERE NOT hit AND class NOT IN ('normal', 'page') GROUP BY ALL""")
+PAGE_CLASS = " ".join(f"WHEN {like('uri', p)} THEN '{n}'" for n, c, p in RULES if c == "p")
+put("payload_missed", CORPUS, f"""
+SELECT class, uri, count(*) AS n FROM (
+  SELECT hit, uri, CASE WHEN class = 'page' THEN CASE {PAGE_CLASS} END ELSE class END AS class FROM probed)
+WHERE NOT hit AND class <> 'normal' GROUP BY ALL""")
 put("rule_coverage", FIRST, f"""
 SELECT t.attack_type, total, blocked, {rnd(div('blocked * 100', 'total'), 'rate')}, main_rule FROM (
   SELECT attack_type, count(*) AS total, count(rule_type) AS blocked FROM ruled WHERE is_attack = 1 GROUP BY 1) t
