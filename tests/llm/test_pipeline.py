@@ -54,7 +54,8 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_twin_agrees(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found, twin = QUERIES[name](spark, str(SF)), con.sql(ORACLE[name])
     names = sorted(found.columns)
     assert names == sorted(twin.columns)
