@@ -175,6 +175,19 @@ def feature_importance(trained: Trained, table: DataFrame) -> DataFrame:
     return frame.orderBy(F.desc("importance"), "feature")
 
 
+def importance_splits(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """How often the trees of a node table split on each feature, most first, with the gain of these splits.
+
+    Features without a split have 0. The counts add up to the inner nodes: per tree, one less than its leaves.
+    """
+    used = nodes.filter("feature IS NOT NULL").groupBy("feature").agg(
+        F.count("*").alias("splits"), F.sum("gain").alias("gain"), F.min("depth").alias("first_depth")
+    )
+    listed = nodes.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    counted = listed.join(used, "feature", "left").fillna({"splits": 0, "gain": 0.0})
+    return counted.orderBy(F.desc("splits"), "feature")
+
+
 def evaluate(scored: DataFrame) -> DataFrame:
     """Counts, rates and AUC of scored rows, one row."""
     area = auc(scored).select("auc").scalar()

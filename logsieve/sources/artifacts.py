@@ -2,6 +2,7 @@
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -54,6 +55,49 @@ def load_model(spark: SparkSession, path: str) -> Trained:
     return Trained(PipelineModel.load(f"{path}/pipeline"), read_json_document(spark, f"{path}/{FEATURE_LIST}"))
 
 
+def node_table(spark: SparkSession, path: str) -> DataFrame:
+    """The trees of a saved model, one row per node.
+
+    ``output`` numbers the model's ensembles (one margin or class each), ``tree`` and ``node`` count from 0, ``depth`` is 0
+    at the root; leaves have no ``feature``, ``threshold`` and ``gain``.
+    """
+    trained = load_model(spark, path)
+    stages = trained.model.stages
+    ensembles = [(i, s) for i, s in enumerate(stages) if hasattr(s, "treeWeights")]
+    if not ensembles:
+        raise ValueError(f"no trees in {path}")
+    digits = len(str(len(stages)))
+    parts = [
+        spark.read.parquet(f"{path}/pipeline/stages/{i:0{digits}d}_{s.uid}/data").select(
+            F.lit(k).alias("output"), F.col("treeID").alias("tree"), "nodeData.*"
+        )
+        for k, (i, s) in enumerate(ensembles)
+    ]
+    nodes = reduce(DataFrame.unionByName, parts)
+    key = ["output", "tree"]
+    inner = F.col("leftChild") >= 0
+    parents = nodes.filter(inner).select(
+        *key, F.col("id").alias("parent"), F.explode(F.array("leftChild", "rightChild")).alias("at")
+    )
+    # every node climbs one level a turn until it has no parent
+    found = nodes.withColumn("at", F.col("id")).withColumn("depth", F.lit(0))
+    for _ in range(max(tree.depth for _, s in ensembles for tree in s.trees)):
+        found = found.join(parents, [*key, "at"], "left")
+        found = found.withColumn("depth", F.col("depth") + F.col("parent").isNotNull().cast("int"))
+        found = found.withColumn("at", F.coalesce("parent", F.lit(-1))).drop("parent")
+    names = F.array(*map(F.lit, trained.features))
+    return found.select(
+        *key,
+        F.col("id").alias("node"),
+        "depth",
+        F.when(inner, names[F.col("split.featureIndex")]).alias("feature"),
+        F.when(inner, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        F.when(inner, F.col("gain")).alias("gain"),
+        F.col("rawCount").alias("rows"),
+        F.col("prediction"),
+    )
+
+
 def class_map(indexed: DataFrame) -> dict[str, Any]:
     """Class list and numbers of a label index (one row per class)."""
     rows = indexed.orderBy("label_index").select("class", "label_index").collect()
