@@ -25,8 +25,8 @@ from logsieve.sources.tables import stored
 
 #: Rounds without a lower validation loss after which boosting ends.
 PATIENCE = 50
-#: Rounds between two writes of the rows. It does not change the model.
-BLOCK = 10
+#: Rounds between two writes of the rows. It decides no more than which rows a round's sample picks.
+BLOCK = 5
 #: Multiclass settings; as for two classes, leaf-count limits and L1/L2 terms have no counterpart.
 MULTICLASS_CONFIG: dict[str, Any] = {
     "maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 20, "subsamplingRate": 0.8,

@@ -713,6 +713,15 @@ SELECT attack_type AS class, count(*) AS support, CAST(1 AS INT) AS rates_ok FRO
   SELECT attack_type, count(*) OVER (PARTITION BY attack_type) AS n, row_number() OVER (
     PARTITION BY attack_type ORDER BY md5(concat('split', CAST(row_id AS VARCHAR))), row_id) AS r FROM fixed)
 WHERE r > n * 80 // 100 GROUP BY 1""")
+put("train_patience", PARTS, f"""
+SELECT {CLASSES}, CAST(1 AS INT) AS rates_ok, CAST(1 AS INT) AS waited, CAST(1 AS INT) AS lowest,
+  count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'valid') AS valid_rows,
+  count(*) FILTER (split = 'test') AS test_rows FROM parts""")
+put("train_multiclass_boosted", TYPED, """
+SELECT attack_type AS class, count(*) AS support, count(*) AS summed, CAST(1 AS INT) AS rates_ok FROM (
+  SELECT attack_type, count(*) OVER (PARTITION BY attack_type) AS n, row_number() OVER (
+    PARTITION BY attack_type ORDER BY md5(concat('split', CAST(row_id AS VARCHAR))), row_id) AS r FROM fixed)
+WHERE r > n * 80 // 100 GROUP BY 1""")
 put("config_search", PARTS, f"""
 SELECT config, {CLASSES}, CAST(1 AS INT) AS in_grid, CAST(1 AS INT) AS rates_ok
 FROM parts, (VALUES ('A_v3_baseline'), ('B_relaxed'), ('C_aggressive')) v(config) GROUP BY config""")
@@ -720,3 +729,4 @@ put("score", LABELED, """
 SELECT row_id, attack_type, CAST(1 AS INT) AS score_ok, CAST(1 AS INT) AS decision_ok FROM labeled""")
 _features = ", ".join(f"({q(n)})" for n in PROFILES["v3"])
 ORACLE["feature_importance"] = f"SELECT feature, CAST(100 AS DOUBLE) AS total_pct FROM (VALUES {_features}) v(feature)"
+ORACLE["importance_splits"] = f"SELECT feature, CAST(1 AS INT) AS counts_ok FROM (VALUES {_features}) v(feature)"

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
+from logsieve.functions.hashing import md5_number
 from logsieve.functions.requests import (
     PROFILES,
     first_segment,
@@ -21,7 +22,7 @@ from logsieve.functions.requests import (
     url_features,
 )
 from logsieve.functions.rules import label_rules, text
-from logsieve.operators import audit, bans, coverage, distribution, labeling, learning, metrics, reports, sampling
+from logsieve.operators import audit, bans, boosting, coverage, distribution, labeling, learning, metrics, reports, sampling
 from logsieve.operators.features import align_features, feature_table, select_profile
 from logsieve.operators.joins import join_labels
 from logsieve.operators.labeling import exclude_classes, repair_counts, repair_labels, rule_flag
@@ -781,6 +782,52 @@ def _multiclass_report(learner: str) -> Query:
 QUERIES["train_multiclass"] = _multiclass_report("forest")
 
 
+#: Of the stratified training part, one row in eight decides when boosting ends.
+VALID_PARTS = 8
+#: A round takes several jobs whatever its data, so the queries take larger steps than the library's defaults.
+BOOSTED_STEP, BOOSTED_PATIENCE = 0.3, 10
+
+
+@query
+def train_patience(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosting that waits: rows of the parts, how it ended, and the test rows' classes.
+
+    ``waited``: it ended by patience or at the last round. ``lowest``: the model ends at the lowest validation loss.
+    """
+    table = _binary_table(spark, sf)
+    found = boosting.boost_binary(table, PROFILES["v3"], "base", BOOSTED_PATIENCE, stepSize=BOOSTED_STEP)
+    limit = learning.BINARY_CONFIGS["base"]["maxIter"]
+    kept, seen = F.sum("kept"), F.count("*")
+    ending = found.rounds.agg(
+        ((seen == kept + BOOSTED_PATIENCE) | (seen == limit)).cast("int").alias("waited"),
+        (F.min("valid_loss") == F.max_by("valid_loss", F.col("kept") * F.col("round"))).cast("int").alias("lowest"),
+    )
+    report = learning.evaluate(learning.score_binary(found.trained, table.filter(F.col("split") == "test")))
+    sizes = table.groupBy().pivot("split", ["train", "valid", "test"]).count()
+    sums = report.select(
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("fp") + F.col("tn")).alias("negatives"),
+        _share(*metrics.RATES, "auc").alias("rates_ok"),
+    )
+    parts = sizes.select(*[F.col(n).alias(f"{n}_rows") for n in ("train", "valid", "test")])
+    return sums.join(ending).join(parts)  # one row each
+
+
+@query
+def train_multiclass_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """Per class of the test part: its rows, those whose chances add up to 1, and the measures in range."""
+    split = sampling.split_stratified(tables.cleaned_features(spark, sf, "typed"))
+    held = (F.col("split") == "train") & (md5_number("valid", "row_id") % VALID_PARTS == 0)
+    table = stored_tables.stored(split.withColumn("split", F.when(held, "valid").otherwise(F.col("split"))), work_dir(spark))
+    found = boosting.boost_multiclass(table, PROFILES["v3"], patience=BOOSTED_PATIENCE, stepSize=BOOSTED_STEP)
+    predicted = boosting.class_chances(found.trained, table.filter(F.col("split") == "test"))
+    total = F.aggregate("chances", F.lit(0.0), lambda a, b: a + b)
+    summed = predicted.groupBy(F.col("attack_type").alias("class")).agg(F.count_if(F.abs(total - 1) < 1e-9).alias("summed"))
+    report = metrics.class_report(metrics.pair_counts(predicted)).filter("support > 0")
+    report = report.select("class", "support", _share("precision", "recall", "f1").alias("rates_ok"))
+    return report.join(summed, "class")
+
+
 @query
 def config_search(spark: SparkSession, sf: str) -> DataFrame:
     """Per configuration: the test rows' classes, and whether its threshold is one of the grid's."""
@@ -818,6 +865,20 @@ def model_importance(spark: SparkSession, sf: str) -> DataFrame:
     return shares.select("feature", total.alias("total_pct"))
 
 
+@query
+def importance_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature of a saved model, and whether all split counts add up to one less than the leaves per tree."""
+    table = _binary_table(spark, sf)
+    path = f"{work_dir(spark)}/model-{tables.run_id()}"
+    artifacts.save_model(spark, learning.train_binary(table, PROFILES["v3"]), path)
+    nodes = artifacts.node_table(spark, path)
+    counted = learning.importance_splits(nodes, PROFILES["v3"])
+    trees = nodes.agg((F.count_if(F.col("feature").isNull()) - F.count_if(F.col("depth") == 0)).alias("inner"))
+    every = F.sum("splits").over(W.partitionBy())  # one row per feature
+    counted = counted.select("feature", every.alias("total"), (F.col("splits") >= 0).alias("counted"))
+    return counted.join(trees).select("feature", ((F.col("total") == F.col("inner")) & F.col("counted")).cast("int").alias("counts_ok"))
+
+
 # --- streaming -------------------------------------------------------------------------------------
 
 
