@@ -891,39 +891,44 @@ def stream_label(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/labeled").groupBy("source", "attack_type").agg(F.count("*").alias("n"))
 
 
-def _request_stream(spark: SparkSession, sf: str, base: str, slices: int = 4) -> DataFrame:
-    """The whole log as a stream of requests: time slices written one after the other, a micro-batch for each."""
+def _replay(spark: SparkSession, sf: str, base: str, job: Callable[[DataFrame], None], slices: int = 4) -> None:
+    """The whole log as a stream of requests: time slices arrive one after the other, ``job`` drains each as a micro-batch.
+
+    A slice has as many files as it has tasks. The job goes on from its checkpoint.
+    """
     requests = stored_tables.stored(derived.access_log(spark, sf).select(*jobs.REQUEST_COLUMNS), work_dir(spark))
     marks = [i / slices for i in range(1, slices)]
     cuts = requests.agg(F.percentile_approx("event_s", marks)).first()[0] or []
     slot = sum(((F.col("event_s") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    for k in range(len(cuts) + 1):
-        requests.filter(F.coalesce(slot, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{base}/requests")
     schema = "row_id long, ip string, event_s long, path string, status int"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/requests")
+    for k in range(len(cuts) + 1):
+        requests.filter(F.coalesce(slot, F.lit(0)) == k).write.mode("append").parquet(f"{base}/requests")
+        job(spark.readStream.schema(schema).parquet(f"{base}/requests"))
 
 
 @query
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Minutes above the limit, those still open when the log ends included."""
     base = f"{work_dir(spark)}/stream-{tables.run_id()}"
-    timed = _request_stream(spark, sf, base).withColumn("event_time", F.timestamp_seconds("event_s"))
-    jobs.run_rate_limit(timed, f"{base}/limits", f"{base}/checkpoint", SMALL_RATE_LIMIT)
+
+    def job(requests: DataFrame) -> None:
+        timed = requests.withColumn("event_time", F.timestamp_seconds("event_s"))
+        jobs.run_rate_limit(timed, f"{base}/limits", f"{base}/checkpoint", SMALL_RATE_LIMIT)
+
+    _replay(spark, sf, base, job)
     return jobs.rate_limits(spark, f"{base}/limits")
 
 
 @query
 def stream_bans(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{work_dir(spark)}/stream-{tables.run_id()}"
-    jobs.run_ban_stream(
-        _request_stream(spark, sf, base),
-        f"{base}/bans",
-        f"{base}/state",
-        f"{base}/checkpoint",
-        SMALL_BAN_ERRORS,
-        SMALL_BAN_PERIOD,
-        SMALL_BAN,
-    )
+
+    def job(requests: DataFrame) -> None:
+        jobs.run_ban_stream(
+            requests, f"{base}/bans", f"{base}/state", f"{base}/checkpoint", SMALL_BAN_ERRORS, SMALL_BAN_PERIOD, SMALL_BAN
+        )
+
+    _replay(spark, sf, base, job)
     # A ban that later batches extend is stored again; the last end holds.
     return spark.read.parquet(f"{base}/bans").groupBy("ip", "ban_start").agg(F.max("ban_end").alias("ban_end"))
 
@@ -932,5 +937,7 @@ def stream_bans(spark: SparkSession, sf: str) -> DataFrame:
 def stream_live_features(spark: SparkSession, sf: str) -> DataFrame:
     """Window features of the whole log, fed to a stream."""
     base = f"{work_dir(spark)}/stream-{tables.run_id()}"
-    jobs.run_live_features(_request_stream(spark, sf, base), f"{base}/features", f"{base}/state", f"{base}/checkpoint")
+    _replay(spark, sf, base, lambda requests: jobs.run_live_features(
+        requests, f"{base}/features", f"{base}/state", f"{base}/checkpoint"
+    ))
     return spark.read.parquet(f"{base}/features").select("row_id", *V.WINDOW_FEATURES)
