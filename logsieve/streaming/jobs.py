@@ -97,6 +97,52 @@ def _previous(batch: DataFrame, state: str, number: int) -> DataFrame | None:
     return batch.sparkSession.read.parquet(_slot(state, number - 1)) if number > 0 else None
 
 
+def ordered(
+    process: Callable[[DataFrame, int], None], state: str, late: str, delay: int
+) -> Callable[[DataFrame, int], None]:
+    """``process`` with its rows in order of time: each is handed on once the newest second seen is ``delay`` after its own.
+
+    A row whose second has been handed on before is late: it goes to ``late`` by batch number instead. Newer rows are held
+    back in ``state``, which grows with the rows of ``delay`` seconds. Rows without a time are handed on at once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        second = F.col("event_s")
+        before = session.read.parquet(_slot(f"{state}/mark", number - 1)).first()["mark"] if number > 0 else None
+        is_late = F.coalesce(second <= F.lit(before).cast("long"), F.lit(False))
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={number}")
+        known = batch.filter(~is_late)
+        held = _previous(batch, f"{state}/held", number)
+        if held is not None:
+            known = known.unionByName(held)
+        newest = known.agg(F.max(second)).first()[0]
+        marks = [m for m in (before, None if newest is None else newest - delay) if m is not None]
+        mark = max(marks, default=None)
+        turn = F.coalesce(second <= F.lit(mark).cast("long"), second.isNull())
+        process(known.filter(turn), number)
+        known.filter(~turn).write.mode("overwrite").parquet(_slot(f"{state}/held", number))
+        one = session.createDataFrame([(mark,)], "mark long")
+        one.write.mode("overwrite").parquet(_slot(f"{state}/mark", number))
+
+    return run
+
+
+def late_counts(spark: SparkSession, late: str) -> DataFrame:
+    """Late rows per micro-batch, those without any left out."""
+    return spark.read.parquet(late).groupBy("batch").agg(F.count("*").alias("late"))
+
+
+def _timely(
+    process: Callable[[DataFrame, int], None], state: str, late: str | None, delay: int | None
+) -> Callable[[DataFrame, int], None]:
+    if delay is None:
+        return process
+    if late is None:
+        raise ValueError("a delay needs a folder for late rows")
+    return ordered(process, f"{state}/order", late, delay)
+
+
 def _run_batches(
     stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict[str, Any] | None,
     mode: str = "append",
@@ -130,12 +176,14 @@ def run_ban_stream(
     period: int = V.BAN_SECONDS,
     ban: int = V.BAN_SECONDS,
     trigger: dict[str, Any] | None = None,
+    delay: int | None = None,
+    late: str | None = None,
 ) -> None:
     """New and extended bans ``ip, ban_start, ban_end`` of each micro-batch of ``ip, event_s, status``.
 
     Carried from batch to batch: error counts per client and second of the last ``period``, and the bans that
     ended no longer ago than that. Outputs are stored by batch number, which makes retries idempotent; the latest
-    row of a (client, start) holds.
+    row of a (client, start) holds. With ``delay``, rows are taken in order of time and late ones go to ``late``.
     """
 
     def process(batch: DataFrame, number: int) -> None:
@@ -158,7 +206,7 @@ def run_ban_stream(
         recent = F.when(F.col("since").isNull(), F.col("event_s")).otherwise(F.col("event_s") + ban)
         keep.filter(recent > newest - period).write.mode("overwrite").parquet(_slot(state, number))
 
-    _run_batches(requests.select("ip", "event_s", "status"), process, checkpoint, trigger)
+    _run_batches(requests.select("ip", "event_s", "status"), _timely(process, state, late, delay), checkpoint, trigger)
 
 
 # --- live window features ------------------------------------------------------------
@@ -171,13 +219,16 @@ def run_live_features(
     checkpoint: str,
     seconds: int = 60,
     trigger: dict[str, Any] | None = None,
+    delay: int | None = None,
+    late: str | None = None,
 ) -> None:
     """60-second features of a stream of requests (``row_id, ip, event_s, path, status``).
 
     Every micro-batch runs the batch operator over its rows and a context kept from earlier ones: the rows of the
     last ``seconds``, and each client's latest row, so the state grows with the number of clients. A client that sends
     most of a micro-batch is spread the same way. Outputs are stored by batch number, which makes retries
-    idempotent. Rows count what has arrived before them.
+    idempotent. Rows count what has arrived before them; with ``delay`` (see ``ordered``) that is what the batch
+    operator counts over all rows that were in time.
     """
 
     def process(batch: DataFrame, number: int) -> None:
@@ -200,4 +251,4 @@ def run_live_features(
         window = rows.filter(F.col("event_s") > newest - seconds)
         window.unionByName(latest).write.mode("overwrite").parquet(_slot(state, number))
 
-    _run_batches(requests.select(*REQUEST_COLUMNS), process, checkpoint, trigger)
+    _run_batches(requests.select(*REQUEST_COLUMNS), _timely(process, state, late, delay), checkpoint, trigger)

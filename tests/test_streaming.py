@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from logsieve.operators.bans import ban_windows, rate_limited
@@ -93,3 +94,52 @@ def test_live_features_know_the_path_before_the_window(spark, requests, tmp_path
     jobs.run_live_features(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "check"))
     live = {r.row_id: r.unique_url_60s for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert live[3] == 1 and live == {r.row_id: r.unique_url_60s for r in add_window_features(df).collect()}
+
+
+OUT_OF_ORDER = [[0, 10, 50, 30, 31], [20, 5, 90, 32, 10], [200, 45, 55, 50, 91], [80, 170, 161]]
+LATE = {1: [5, 10], 2: [45, 50], 3: [80]}
+
+
+def out_of_order(spark, tmp_path, requests):
+    """Files of unordered seconds; with a delay of 40 the rows of LATE come after their turn, those above 160 wait."""
+    rows, files = [], []
+    for number, seconds in enumerate(OUT_OF_ORDER):
+        for s in seconds:
+            rows.append({"ip": f"10.0.0.{s % 2}", "event_s": s, "path": f"/{s % 3}", "status": 404})
+            files.append(number)
+    rows.append({"event_s": None})
+    df = requests(*rows).select(*jobs.REQUEST_COLUMNS)
+    folder = str(tmp_path / "in")
+    for number in range(len(OUT_OF_ORDER)):
+        ids = [i for i, f in enumerate([*files, 0]) if f == number]
+        df.filter(F.col("row_id").isin(ids)).coalesce(1).write.mode("append").parquet(folder)
+    late = [i for i, r in enumerate(rows[:-1]) if r["event_s"] in LATE.get(files[i], [])]
+    in_time = df.filter(~F.col("row_id").isin(late) & F.coalesce(F.col("event_s") <= 160, F.lit(True)))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder), in_time, late
+
+
+def test_late_rows_go_aside_and_the_rest_equals_the_batch(spark, requests, tmp_path):
+    stream, in_time, late = out_of_order(spark, tmp_path, requests)
+    out, state, check, aside = (str(tmp_path / f) for f in ("out", "state", "check", "late"))
+    jobs.run_live_features(stream, out, state, check, delay=40, late=aside)
+    columns = ["row_id", "req_count_60s", "err_count_60s", "unique_url_60s"]
+    live = [tuple(r) for r in spark.read.parquet(out).select(*columns).collect()]
+    assert sorted(live) == sorted(tuple(r) for r in add_window_features(in_time).select(*columns).collect())
+    assert sorted(r.row_id for r in spark.read.parquet(aside).collect()) == late
+    assert {r.batch: r.late for r in jobs.late_counts(spark, aside).collect()} == {n: len(s) for n, s in LATE.items()}
+
+
+def test_bans_count_rows_in_time(spark, requests, tmp_path):
+    stream, in_time, late = out_of_order(spark, tmp_path, requests)
+    out, state, check, aside = (str(tmp_path / f) for f in ("out", "state", "check", "late"))
+    jobs.run_ban_stream(stream, out, state, check, errors=3, period=30, ban=20, delay=40, late=aside)
+    found = spark.read.parquet(out).groupBy("ip", "ban_start").agg(F.max("ban_end").alias("ban_end"))
+    expected = {tuple(r) for r in ban_windows(in_time, 3, 30, 20).select("ip", "ban_start", "ban_end").collect()}
+    assert {tuple(r) for r in found.collect()} == expected and expected
+    assert spark.read.parquet(aside).count() == len(late)
+
+
+def test_a_delay_needs_a_place_for_late_rows(spark, requests, tmp_path):
+    stream, _, _ = out_of_order(spark, tmp_path, requests)
+    with pytest.raises(ValueError, match="late rows"):
+        jobs.run_ban_stream(stream, *(str(tmp_path / f) for f in ("out", "state", "check")), delay=40)
