@@ -92,6 +92,18 @@ def test_multiclass_probabilities(table, multi):
     assert loss == pytest.approx(min(r.valid_loss for r in multi.rounds.collect()))
 
 
+def log_loss(trained, rows):
+    names = ["inject", "normal", "scan"]
+    scored = class_chances(trained, rows).collect()
+    return sum(-math.log(max(1e-15, r.chances[names.index(r.attack_type)])) for r in scored) / len(scored)
+
+
+def test_multiclass_loss_is_below_the_forests(table, multi):
+    test = table.filter("split = 'test'")
+    forest = learning.train_multiclass(table, FEATURES, num_trees=18, max_depth=3)
+    assert log_loss(multi.trained, test) < log_loss(forest, test)
+
+
 def test_multiclass_of_two_classes_and_of_one(table):
     two = table.filter("attack_type <> 'scan'")
     found = boost_multiclass(two, FEATURES, patience=3, **SMALL)
