@@ -291,6 +291,10 @@ mix("mix_class", LABELED, "labeled", "attack_type", "attack_type")
 for _n, _c, _p in RULES:
     put(f"label_{_n}", LOG, f"SELECT row_id, CAST({like(_c, _p)} AS INT) AS matched FROM req")
 put("label_requests", LABELED, "SELECT row_id, attack_type, is_attack FROM labeled")
+put("rule_table_labels", LABELED, "SELECT row_id, attack_type FROM labeled")
+put("rule_table_pages", "paths AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM pages)", """
+SELECT page_id AS row_id, ord, 'page ' || ord AS name FROM (
+  SELECT page_id, min(page_id) OVER (PARTITION BY lower(path)) AS ord FROM paths)""")
 put("label_mix", LABELED, "SELECT attack_type, is_attack, count(*) AS n FROM labeled GROUP BY ALL")
 put("repair_labels", CLEANED, "SELECT row_id, attack_type, is_attack FROM fixed")
 put("repair_labels_typed", ALL_TYPED, "SELECT row_id, attack_type, is_attack FROM fixed")

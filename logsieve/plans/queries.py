@@ -26,6 +26,7 @@ from logsieve.operators import audit, bans, boosting, coverage, distribution, la
 from logsieve.operators.features import align_features, feature_table, select_profile
 from logsieve.operators.joins import join_labels
 from logsieve.operators.labeling import exclude_classes, repair_counts, repair_labels, rule_flag
+from logsieve.operators.rule_tables import match_rule_table
 from logsieve.operators.windows import add_previous_path, add_window_features
 from logsieve.plans import tables
 from logsieve.session import work_dir
@@ -241,6 +242,31 @@ def rule_first_match_body(spark: SparkSession, sf: str) -> DataFrame:
     return matched.groupBy("method", "rule_type", "matched").agg(F.count("*").alias("n"))
 
 
+@query
+def rule_table_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The label rules as a table, joined by their rarest literals."""
+    rules = spark.createDataFrame(
+        [(i, *rule) for i, rule in enumerate(label_rules())], "ord long, name string, field string, pattern string"
+    )
+    found = match_rule_table(derived.access_log(spark, sf), rules, work_dir(spark))
+    return found.select("row_id", F.coalesce("name", F.lit("normal")).alias("attack_type"))
+
+
+@query
+def rule_table_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for every path of the pages, tried on all pages: the smallest page id with the same path, whatever its case."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+        F.col("page_id").alias("row_id"), F.regexp_extract("url", "^[a-z]+://[^/]*([^?#]*)", 1).alias("path")
+    )
+    quoted = F.regexp_replace("path", r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"\\$1")
+    rules = pages.groupBy("path").agg(F.min("row_id").alias("ord")).select(
+        "ord", F.concat(F.lit("page "), F.col("ord").cast("string")).alias("name"), F.lit("path").alias("field"),
+        F.concat(F.lit("^"), quoted, F.lit("$")).alias("pattern"),
+    )
+    requests = pages.select("row_id", "path", F.lit("").alias("user_agent"), F.lit("").alias("referer"))
+    return match_rule_table(requests, rules, work_dir(spark), ["path"])
+
+
 @named("rule_match_oldnew")
 def rule_match_old_new(spark: SparkSession, sf: str) -> DataFrame:
     return tables.rule_matches(spark, sf).select(
