@@ -242,6 +242,13 @@ SELECT row_id, source, {group(1)} AS ip, nullif({group(2)}, '-') AS "user", {gro
   CAST({group(8)} AS BIGINT) AS size, {group(9)} AS referer, {group(10)} AS user_agent,
   CAST(epoch(strptime(substr({group(3)}, 1, 20), '%d/%b/%Y:%H:%M:%S')) AS BIGINT) AS event_s
 FROM numbered WHERE regexp_matches(value, {LINE})""")
+put("parse_incremental", RAW + """,
+numbered AS (SELECT row_number() OVER (ORDER BY source, row_id) - 1 AS row_id, source, value FROM raw),
+fields AS (SELECT row_id, source, """ + f"""{group(5)} AS p, {group(10)} AS a, {group(5)} || ' ' || {group(9)} AS pf,
+  CAST({group(7)} AS INT) AS status, CAST({group(8)} AS BIGINT) AS size FROM numbered WHERE regexp_matches(value, {LINE}))""", f"""
+SELECT row_id, source, p AS path, status, size,
+  CASE {' '.join(f"WHEN {like(c, p)} THEN '{n}'" for n, c, p in RULES)} ELSE 'normal' END AS attack_type
+FROM fields""")
 put("parse_stats", RAW, f"""
 SELECT source, count(*) AS total, count(*) FILTER (ok) AS parsed, count(*) FILTER (NOT ok) AS failed,
   CAST(0 AS BIGINT) AS bad_time
@@ -489,6 +496,7 @@ WHERE is_attack = 0 AND predicted = 1 ORDER BY row_id LIMIT 1000""")
 put("join_labels", LABELED, f"""
 SELECT r.row_id, {', '.join(f'r.{n}' for n in PATH_SQL)}, l.is_attack, l.attack_type
 FROM (SELECT row_id, {cols(PATH_SQL)} FROM req) r JOIN labeled l ON r.row_id = l.row_id""")
+ORACLE["join_labels_colocated"] = ORACLE["join_labels"]
 put("join_labels_left", RAW + f""",
 lines AS (SELECT row_id, {group(5)} AS p, {group(10)} AS a, {group(5)} || ' ' || {group(9)} AS pf
   FROM raw WHERE regexp_matches(value, {LINE})),

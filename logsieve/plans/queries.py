@@ -24,13 +24,13 @@ from logsieve.functions.requests import (
 from logsieve.functions.rules import label_rules, text
 from logsieve.operators import audit, bans, boosting, coverage, distribution, labeling, learning, metrics, reports, sampling
 from logsieve.operators.features import align_features, feature_table, select_profile
-from logsieve.operators.joins import join_labels
+from logsieve.operators.joins import join_colocated, join_labels
 from logsieve.operators.labeling import exclude_classes, repair_counts, repair_labels, rule_flag
 from logsieve.operators.rule_tables import match_rule_table
 from logsieve.operators.windows import add_previous_path, add_window_features
 from logsieve.plans import tables
 from logsieve.session import work_dir
-from logsieve.sources import artifacts, derived, logs
+from logsieve.sources import artifacts, derived, incremental, logs
 from logsieve.sources import tables as stored_tables
 from logsieve.streaming import jobs
 
@@ -89,6 +89,16 @@ def parse_text_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.parse_log(logs.read_log_lines(spark, sites)).drop("event_time")
 
 
+@query
+def parse_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The log's two sites taken in one after the other: rows of the second run go on from those of the first."""
+    base = f"{work_dir(spark)}/incremental-{tables.run_id()}"
+    sites = _text_log(spark, sf, base)
+    for some in (["data"], ["data", "www"]):
+        incremental.update(spark, {site: sites[site] for site in some}, f"{base}/out")
+    return stored_tables.read_table(spark, f"{base}/out/labeled").select("row_id", "source", "path", "status", "size", "attack_type")
+
+
 @query
 def parse_stats(spark: SparkSession, sf: str) -> DataFrame:
     return logs.parse_stats(derived.raw_log(spark, sf))
@@ -445,6 +455,17 @@ def join_label_columns(spark: SparkSession, sf: str) -> DataFrame:
     return join_labels(features, tables.labeled(spark, sf))
 
 
+@query
+def join_labels_colocated(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from tables in buckets by row id."""
+    base, buckets = f"{work_dir(spark)}/bucketed-{tables.run_id()}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    features = derived.access_log(spark, sf).select("row_id", *[c.alias(n) for n, c in path_features().items()])
+    labels = tables.labeled(spark, sf).select("row_id", "is_attack", "attack_type")
+    return join_colocated(
+        stored_tables.write_bucketed(features, f"{base}/features", buckets), stored_tables.write_bucketed(labels, f"{base}/labels", buckets)
+    )
+
+
 @named("join_labels_left")
 def join_label_columns_left(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of the lines that parse; requests whose line does not keep NULL labels."""

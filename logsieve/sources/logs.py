@@ -1,5 +1,6 @@
 """Access-log text: scan, parse, account for bad lines."""
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -31,8 +32,8 @@ def with_block(text: DataFrame, tag: str, place: int = 0) -> DataFrame:
     return text.select(F.lit(tag).alias("source"), F.make_valid_utf8("value").alias("value"), block.alias("_block"))
 
 
-def number_lines(lines: DataFrame, first: int = 0) -> DataFrame:
-    """``(row_id, source, value)`` with line numbers from ``first`` on, in the order of blocks and of lines in a block.
+def number_lines(lines: DataFrame, first: int = 0, keep: Sequence[str] = ("source", "value")) -> DataFrame:
+    """``row_id`` and the columns ``keep``, with line numbers from ``first`` on, in the order of blocks and of lines in a block.
 
     Lines are numbered inside each block as it is read, and the blocks' line counts, one row per block, are added up.
     """
@@ -41,7 +42,7 @@ def number_lines(lines: DataFrame, first: int = 0) -> DataFrame:
     earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + first
     starts = blocks.select("_block", shift.alias("_shift"))
-    return placed.join(starts, "_block").select((F.col("_at") + F.col("_shift")).alias("row_id"), "source", "value")
+    return placed.join(starts, "_block").select((F.col("_at") + F.col("_shift")).alias("row_id"), *keep)
 
 
 def read_log_lines(spark: SparkSession, sites: dict[str, str]) -> DataFrame:
