@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from logsieve.functions.rules import Rule, field_text
 from logsieve.sources.tables import stored
 
-#: Characters of a gram. Literals that are shorter file no rule.
+#: Characters of a gram. Literals that are shorter file no rule; a longer one uses the longest of LENGTHS that it has, as few texts share that.
 GRAM = 3
+LENGTHS = (12, 6, GRAM)
 FIELDS = ("path", "user_agent", "path_ref")
 
 _BREAKS = set("dDwWsSbBAzZnrtfGR")  # escapes that stand for other characters than themselves
@@ -87,10 +88,14 @@ def _filed(patterns: pd.Series) -> pd.Series:
     return pd.Series([literals(p) for p in patterns], dtype=object)
 
 
-def _grams(value: str) -> F.Column:
-    places = F.sequence(F.lit(1), F.length(value) - (GRAM - 1))
-    cut = F.transform(places, lambda i: F.substring(F.col(value), i, F.lit(GRAM)))
-    return F.when(F.length(value) >= GRAM, F.array_distinct(cut))
+def _grams(value: str, n: int) -> F.Column:
+    places = F.sequence(F.lit(1), F.length(value) - (n - 1))
+    cut = F.transform(places, lambda i: F.substring(F.col(value), i, F.lit(n)))
+    return F.when(F.length(value) >= n, F.array_distinct(cut))
+
+
+def _all_grams(value: str) -> F.Column:
+    return F.concat(*[F.coalesce(_grams(value, n), F.array().cast("array<string>")) for n in LENGTHS])
 
 
 def first_rules(texts: DataFrame, rules: DataFrame, folder: str) -> DataFrame:
@@ -102,10 +107,10 @@ def first_rules(texts: DataFrame, rules: DataFrame, folder: str) -> DataFrame:
     filed = rules.where("pattern is not null").select("ord", "field", "pattern", F.pandas_udf(_filed, "array<string>")("pattern").alias("literals"))
     filed = stored(filed, folder)
     texts = texts.select("field", "text", F.lower("text").alias("low"), F.xxhash64("text").alias("id"))
-    grams = F.explode(_grams("low")).alias("gram")
+    grams = F.explode(_all_grams("low")).alias("gram")
 
     branches = filed.where("literals is not null").select("ord", "field", "pattern", F.posexplode("literals").alias("branch", "literal"))
-    ours = branches.select("*", F.explode(_grams("literal")).alias("gram"))
+    ours = branches.select("*", F.explode(F.coalesce(*[_grams("literal", n) for n in LENGTHS])).alias("gram"))
     # how many texts hold a gram: counted inside the map tasks, there are few different ones
     held = texts.select("field", grams).groupBy("field", "gram").agg(F.count("*").alias("n"))
     counted = ours.join(held, ["field", "gram"], "left")
