@@ -16,6 +16,8 @@ from logsieve.functions import fixed_values as V
 from logsieve.operators.distribution import auc
 from logsieve.operators.metrics import best_threshold_f1, binary_metrics, confusion, threshold_sweep
 from logsieve.operators.reports import ratio
+from logsieve.session import work_dir
+from logsieve.sources.tables import stored
 
 #: Share of the validation error that a round has to gain; the library's own default is ten times as much.
 LEAST_GAIN = 0.001
@@ -134,7 +136,9 @@ def train_multiclass(
     ``forest`` is natively multiclass and gives probabilities; ``boosted`` is one boosted model per class.
     """
     train = table.filter(F.col("split") == "train")
+    # one row per class, as a table whose size is known: rows are not dealt by class
     weights = multiclass_weights(train).select(F.col("class").alias("attack_type"), "weight")
+    weights = stored(weights, work_dir(table.sparkSession))
     weighted = train.select(*features, "attack_type").join(weights, "attack_type")
     indexer = StringIndexer(inputCol="attack_type", outputCol="label", stringOrderType="alphabetAsc").fit(weighted)
     if learner == "forest":

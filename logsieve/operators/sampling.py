@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.hashing import md5_key, md5_number
 from logsieve.operators.coverage import label_text
-from logsieve.session import checkpoint
+from logsieve.session import checkpoint, work_dir
+from logsieve.sources.tables import stored
 
 BUCKET_DIGITS = 4  # hex digits of the md5 key: 65,536 histogram buckets
 
@@ -76,9 +77,11 @@ def split_stratified(
 ) -> DataFrame:
     """Exact share of every class: floor(share x class size) rows of smallest hash go to train.
 
-    There is one cut per class; with few classes adaptive execution broadcasts them and rows are not shuffled.
+    There is one cut per class. They are a table of their own, whose size is known when the join is planned: few classes are
+    broadcast and rows are not shuffled, and a hot one of many classes can be split. Straight out of the ranking, the cuts
+    would have their rows joined where a class was ranked, each class in one task.
     """
-    cuts = _stratum_cuts(df, label, train_percent, seed, key)
+    cuts = stored(_stratum_cuts(df, label, train_percent, seed, key), work_dir(df.sparkSession))
     joined = df.withColumn("_hash", md5_key(seed, key)).join(cuts, label, "left")
     below = (F.col("_hash") < F.col("_cut_hash")) | (
         (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))

@@ -65,3 +65,14 @@ def test_counts_and_breakdown(spark):
     assert value_counts(table(spark), "attack_type", "v", top=1).first().v == "hot"
     rows = breakdown(table(spark), {"a": F.col("attack_type"), "b": F.lit(None).cast("string")}).collect()
     assert {r.value: r.n for r in rows if r.dimension == "b"} == {None: 3000}
+
+
+def test_stratified_split_deals_no_rows_by_class(spark):
+    """A table above the broadcast limit: its cuts are still known to be small, so the hot class is not one task's."""
+    df = table(spark, 200_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200000")
+    try:
+        plan = split_stratified(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(attack_type" not in plan
