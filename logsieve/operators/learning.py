@@ -116,7 +116,7 @@ def train_binary(
         featuresCol="features",
         weightCol="weight",
         seed=42,
-        cacheNodeIds=True,
+        cacheNodeIds=False,  # trees of such depth are walked faster than the nodes of all rows are kept
         checkpointInterval=10,
         **settings,
     )

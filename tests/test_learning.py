@@ -50,6 +50,16 @@ def test_binary_learns_saves_and_loads(spark, table, trained, tmp_path):
     assert importance[0].feature == "x"
 
 
+def test_walked_trees_are_those_of_kept_nodes(table, trained, monkeypatch):
+    """Training keeps no node of every row and grows the same trees."""
+    real = learning.GBTClassifier
+    monkeypatch.setattr(learning, "GBTClassifier", lambda **k: real(**{**k, "cacheNodeIds": True}))
+    walked, kept = (learning.tree_stage(t) for t in (trained, learning.train_binary(table, FEATURES, maxIter=3, maxDepth=3, stepSize=0.3)))
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    below = lambda model: [tree.toDebugString.split("\n")[1:] for tree in model.trees]
+    assert below(walked) == below(kept)
+
+
 def test_boosting_goes_on_while_the_error_falls(table):
     """The library's own tolerance gives up after a few rounds of such small steps."""
     settings = {"maxIter": 30, "maxDepth": 2, "minInstancesPerNode": 1}
