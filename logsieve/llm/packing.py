@@ -126,6 +126,7 @@ class WordEncoder:
 
     def __init__(self, tokenizer: Callable[[], object], most_words: int = 250_000, most_pieces: int = 350_000) -> None:
         self._tokenizer = tokenizer()
+        self._merge = self._tokenizer.model.tokenize
         self._words, self._pieces = _Known(self._word, most_words), _Known(self._piece, most_pieces)
         self._letters = _byte_letters()
         self._direct = all(self._merged(p) == self._whole(p) for p in self.PROBE)
@@ -134,20 +135,22 @@ class WordEncoder:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _merged(self, piece: str) -> list[int]:
-        letters = piece.lower().encode().decode("latin-1").translate(self._letters)
-        return [t.id for t in self._tokenizer.model.tokenize(letters)]
+        letters = piece.lower()
+        if not letters.isascii():  # an ASCII letter is its own byte letter
+            letters = letters.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._merge(letters)]
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
         # below U+0250 letters are in normal form, and lower case is letter by letter but for the dotted I
-        plain = self._direct and piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece
-        return array("I", self._merged(piece) if plain else self._whole(piece)).tobytes()
+        plain = self._direct and text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text)
+        return array("I", self._merged(text) if plain else self._whole(text)).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        stem = text.rstrip(".,")
-        if len(stem) < len(text) and stem and stem[-1].isalnum():
-            return self._pieces[stem] + self._pieces[text[len(stem) :]]
-        return self._pieces[text]
+        stem = word.rstrip(b".,")
+        if len(stem) < len(word) and stem and (stem[-1:].isalnum() or stem[-1] >= 0x80 and stem.decode()[-1].isalnum()):
+            return self._pieces[stem] + self._pieces[word[len(stem) :]]
+        return self._pieces[word]
 
     def encode(self, text: str) -> np.ndarray:
         data = text.encode()

@@ -59,3 +59,11 @@ def test_cache_limit_changes_nothing():
     small, large = packing.WordEncoder(load, 2, 1), packing.WordEncoder(load)
     for text in texts * 2:
         assert small.encode(text).tolist() == large.encode(text).tolist()
+
+
+def test_words_before_stops_are_those_of_the_whole_path():
+    """Words of ASCII letters go to the merges as they are, others as byte letters; stops after either are a piece."""
+    encoder = packing.WordEncoder(packing.from_file(vocabulary_path()))
+    for word in ["Plain", "plain.", "WORDS..,", "straße.", "éa,", "x2.", "don't.", "東京.", "...", "a.b,", "\u0660.", "_.", "ſo."]:
+        assert encoder.encode(word).tolist() == encoder._whole(word)
+    assert b"plain" in encoder._pieces
