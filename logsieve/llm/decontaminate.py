@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, checked by longest common subsequences.
 
 Benchmark items are cut into passages. Their TF-IDF matrix is reduced by a randomised SVD to a latent space. Every window
-of every document is projected into it and compared with all passages; near items are then compared word by word.
+of every document is projected into it and compared with all passages there; how far the true cosine can be from the one
+seen there is known, and what may reach the threshold gets its plain cosine. Near items are then compared word by word.
 """
 
 from collections.abc import Callable, Iterator
@@ -15,9 +16,14 @@ from pyspark.sql import functions as F
 #: Words of a window and of a passage; windows start every half of that.
 WINDOW = 48
 RANK, OVERSAMPLE, SEED = 256, 16, 7_919
+#: The latent space keeps this share of the passages' squared length. More dimensions cost each window more, fewer leave more
+#: pairs to the plain cosine; results are the same.
+ENERGY = 0.95
 #: Terms in a larger share of all document windows say nothing about an item.
 MAX_SHARE = 0.1
 CANDIDATE_COSINE = 0.4
+#: Sums in single precision are this near at the least.
+ROUNDING = 1e-4
 #: A leak has this share of the item's words in order, or the lower one with the answer and the rarer words there.
 COPIED, REWORDED, ANSWERED = 0.7, 0.5, 0.75
 #: ASCII letters and digits, and bytes of other characters, make up words; all else parts them.
@@ -106,9 +112,11 @@ def _spread(rows: DataFrame, product: Callable[[Iterator[pd.DataFrame]], Iterato
     return out
 
 
-def randomised_svd(passages: DataFrame, terms: int, rank: int = RANK, seed: int = SEED) -> np.ndarray:
+def randomised_svd(passages: DataFrame, terms: int, rank: int = RANK, seed: int = SEED, energy: float = 1.0) -> np.ndarray:
     """Right singular vectors (terms x rank) of the sparse matrix whose rows are ``passages`` (ids, weights).
 
+    Of these the first that together hold ``energy`` of the rows' squared length, ``rank`` at the most.
+
     Two passes over the rows, which stay where they are: the tasks' products A'(A R) with a random R span the range, and the
     products (A Q)'(A Q) with its orthonormal basis Q give the rotation. The driver holds terms x rank numbers.
     """
@@ -137,7 +145,11 @@ def randomised_svd(passages: DataFrame, terms: int, rank: int = RANK, seed: int
         yield pd.DataFrame({"row": range(wide), "values": [*total]})
 
     inner = _spread(passages, crossed, wide, wide)
-    return basis @ np.linalg.eigh(inner)[1][:, ::-1][:, :rank]
+    values, turned = np.linalg.eigh(inner)
+    if energy < 1.0:
+        held = np.cumsum(values[::-1])
+        rank = min(rank, int(np.searchsorted(held, energy * held[-1])) + 1)
+    return basis @ turned[:, ::-1][:, :rank]
 
 
 class Index:
@@ -148,14 +160,29 @@ class Index:
         self.place = {w: i for w, i in place.items() if weight[i] > 0}
         self.items = {key: Item(words, common) for key, words in items.items()}
         self.vectors, self.squares = (weight[:, None] * latent).astype(np.float32), weight**2
-        self.owners, rows = [], []
+        self.weight = weight
+        self.owners, rows, beyond = [], [], []
+        entries: list[tuple[np.ndarray, np.ndarray]] = []
         for key, words in items.items():
             for passage in passages_of(words):
                 ids = [self.place[w] for w in passage if w in self.place]
                 norm = np.sqrt(self.squares[ids].sum())
+                row = self.vectors[ids].sum(0) / norm if norm else np.zeros(latent.shape[1])
+                terms, times = np.unique(np.array(ids, np.int64), return_counts=True)
+                values = times * weight[terms] / max(norm, 1e-9)
                 self.owners.append(key)
-                rows.append(self.vectors[ids].sum(0) / norm if norm else np.zeros(latent.shape[1]))
+                rows.append(row)
+                beyond.append((values**2).sum() - (row.astype(np.float64) ** 2).sum())
+                entries.append((terms, values))
         self.passages = np.array(rows, np.float32).reshape(-1, latent.shape[1])
+        #: How much of each passage lies outside the latent space, as a length.
+        self._beyond = np.sqrt(np.maximum(beyond, 0.0))
+        terms = np.concatenate([t for t, _ in entries]) if entries else np.empty(0, np.int64)
+        order = np.argsort(terms, kind="stable")
+        self._passage_n = np.bincount(terms, minlength=len(weight))
+        self._passage_begin = np.cumsum(self._passage_n) - self._passage_n
+        self._passage_of = np.repeat(np.arange(len(entries)), [len(t) for t, _ in entries])[order]
+        self._passage_value = np.concatenate([v for _, v in entries])[order] if entries else np.empty(0)
         self._bound_tables(items, weight)
 
     def _bound_tables(self, items: dict[int, list[bytes]], weight: np.ndarray) -> None:
@@ -165,7 +192,8 @@ class Index:
             for passage in passages_of(words):
                 ids, times = np.unique([self.place[w] for w in passage if w in self.place], return_counts=True)
                 values = (times * weight[ids.astype(int)]) ** 2
-                for i, v in zip(ids.astype(int).tolist(), (values / max(values.sum(), 1e-9)).tolist()):
+                whole = (times * self.squares[ids.astype(int)]).sum()  # a cosine's norm counts a word as often as it stands there
+                for i, v in zip(ids.astype(int).tolist(), (values / max(whole, 1e-9)).tolist()):
                     shares[i][number] = max(v, shares[i].get(number, 0.0))
         self._n_of = np.array([len(x) for x in shares], np.int64)
         self._begin = np.cumsum(self._n_of) - self._n_of
@@ -206,18 +234,45 @@ class Index:
             needed = np.zeros(size + 1, bool)
             needed[starts] = needed[starts + 1] = True
             chosen = needed[block]
+            if not chosen.any():
+                continue
             part, block = part[chosen], block[chosen]
             here, begin = np.unique(block, return_index=True)
-            sums = np.zeros((size + 1, self.vectors.shape[1] + 1), np.float32)
-            sums[here, :-1] = np.add.reduceat(self.vectors[part], begin, axis=0)
-            sums[here, -1] = np.add.reduceat(self.squares[part], begin)
-            whole = sums[starts] + sums[starts + 1]  # a window is two half windows
-            cosines = whole[:, :-1] @ self.passages.T / np.sqrt(np.maximum(whole[:, -1:], 1e-9))
-            for w, p in zip(*np.nonzero(cosines >= CANDIDATE_COSINE)):
+            sums = np.zeros((size + 1, self.vectors.shape[1]), np.float32)
+            sums[here] = np.add.reduceat(self.vectors[part], begin, axis=0)
+            window, term, value, norm = self._windows(part, block, starts)
+            latent = (sums[starts] + sums[starts + 1]) / norm[:, None]  # a window is two half windows
+            outside = np.bincount(window, value**2, len(starts)) - (latent.astype(np.float64) ** 2).sum(1)
+            hopeful = latent @ self.passages.T + np.outer(np.sqrt(np.maximum(outside, 0.0)), self._beyond) >= CANDIDATE_COSINE - ROUNDING
+            for w, p, cosine in self._plain(window, term, value, hopeful):
                 own, start = found.setdefault(self.owners[p], {}), (low + int(starts[w])) * half
-                own[start] = max(own.get(start, 0.0), float(cosines[w, p]))
+                own[start] = max(own.get(start, 0.0), cosine)
         return found
 
+    def _windows(self, ids: np.ndarray, block: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window, term, value) of the windows that begin at the blocks ``starts``, over the windows' norms, and these norms."""
+        number = np.full(int(max(block[-1], starts[-1])) + 2, -1)
+        number[starts] = np.arange(len(starts))
+        cell = np.concatenate([number[block], np.where(block > 0, number[block - 1], -1)])
+        there, terms = cell >= 0, len(self.weight)
+        cells, times = np.unique(cell[there] * terms + np.concatenate([ids, ids])[there], return_counts=True)
+        window, term = cells // terms, cells % terms
+        norm = np.sqrt(np.maximum(np.bincount(window, times * self.squares[term], len(starts)), 1e-9))
+        return window, term, times * self.weight[term] / norm[window], norm
+
+    def _plain(self, window: np.ndarray, term: np.ndarray, value: np.ndarray, hopeful: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, passage, cosine) of the hopeful pairs whose cosine over all terms is CANDIDATE_COSINE or more."""
+        chosen = np.flatnonzero(hopeful.any(1)[window])
+        times = self._passage_n[term[chosen]]
+        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self._passage_begin[term[chosen]], times)
+        at = np.repeat(chosen, times)
+        cell, passage = window[at], self._passage_of[entry]
+        kept = hopeful[cell, passage]
+        products = (value[at] * self._passage_value[entry])[kept]
+        cosines = np.bincount(cell[kept] * hopeful.shape[1] + passage[kept], products, hopeful.size).reshape(hopeful.shape)
+        for w, p in zip(*np.nonzero(cosines >= CANDIDATE_COSINE)):
+            yield int(w), int(p), float(cosines[w, p])
+
     def leaks(self, text: str | None) -> Iterator[tuple[int, float, float, float]]:
         """(item, cosine, share, answer share) of every item that the text has."""
         words = words_of(text)
@@ -236,7 +291,8 @@ class Index:
 def build_index(docs: DataFrame, items: dict[int, list[bytes]], rank: int = RANK) -> Index:
     """The index of some items. Weights are inverse window frequencies over all documents (a column ``text``).
 
-    Passages enter the decomposition at unit length, so that a short item counts as much as a long one.
+    Passages enter the decomposition at unit length, so that a short item counts as much as a long one. Of its dimensions those
+    that hold ENERGY of them are kept, ``rank`` at the most.
     """
     spark: SparkSession = docs.sparkSession
     place = {w: i for i, w in enumerate(sorted({w for words in items.values() for w in words}))}
@@ -257,7 +313,7 @@ def build_index(docs: DataFrame, items: dict[int, list[bytes]], rank: int = RANK
             values = times * weight[ids]
             rows.append((ids.tolist(), (values / max(np.linalg.norm(values), 1e-9)).tolist()))
     passages = spark.createDataFrame(rows, "ids array<int>, weights array<double>")
-    return Index(items, place, weight, randomised_svd(passages, len(place), rank))
+    return Index(items, place, weight, randomised_svd(passages, len(place), rank, energy=ENERGY))
 
 
 def _searcher(index: Index) -> Callable:
@@ -279,10 +335,10 @@ def contaminated(
     """(doc_id, item_id, cosine, share, answer_share): one row per document and benchmark item that it contains.
 
     Documents are read twice, once for the window counts and once for the search; nothing of them is shuffled, and a
-    passage that a third of all documents share costs no more than another. A space of fewer dimensions than passages
-    loses those that stand for themselves, so items are taken in parts of ``rank`` passages at the most, each part
-    against all documents; that also bounds the index that goes to the tasks. An item with more passages is a part of its
-    own, with a dimension for each.
+    passage that a third of all documents share costs no more than another. Items are taken in parts of ``rank`` passages at the
+    most, each part against all documents, which bounds the index that goes to the tasks; an item with more passages is a
+    part of its own. The space has fewer dimensions than a part has passages, ``rank`` at the most; a passage that it shows
+    badly is compared by its plain cosine with more windows, so none is lost.
 
     Null and empty texts match nothing, nor do items without a word. Items with a null id are left out; items of one id are one
     item, the text that comes first. Repeated documents give one row. A null doc_id is reported as null. An empty table on
@@ -305,7 +361,7 @@ def contaminated(
         if not items:
             break
         if items := {key: words for key, words in items.items() if words}:
-            found = found.unionByName(rows.mapInPandas(_searcher(build_index(rows, items, max(rank, passages))), LEAK))
+            found = found.unionByName(rows.mapInPandas(_searcher(build_index(rows, items, rank)), LEAK))
     best = F.max(F.struct("share", "cosine", "answer_share")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.share", "best.answer_share")
 

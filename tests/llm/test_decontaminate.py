@@ -123,3 +123,35 @@ def test_every_whole_item_is_found(spark):
     whole = {r.item_id: line(decontaminate.words_of(r.text)) for r in items.collect()}
     texts = [(r.doc_id, line(decontaminate.words_of(r.text))) for r in docs.collect()]
     assert {(d, i) for d, text in texts for i, words in whole.items() if words in text} <= found
+
+
+def test_fewer_dimensions_than_passages_lose_nothing(documents):
+    """The latent space is smaller than the number of passages, leaves most pairs out, and what is near is what plain cosines say."""
+    rng = random.Random(11)
+    vocabulary = sorted({w for w in prose(2000, rng) if w not in COMMON})[:400]
+    items = {i: [rng.choice(vocabulary) for _ in range(n)] for i, n in enumerate([20, 30, 48, 60, 100, 300] * 4)}
+    texts = [[*prose(30, rng), *[w for w in words if rng.random() < keep], *prose(100, rng), *rng.choices(vocabulary, k=60)] for words in items.values() for keep in (0.3, 0.6, 1)]
+    texts += [["zz", *items[0][:1] * 50], items[2][:3], []]
+    docs = documents([(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])
+    for rank in (decontaminate.RANK, 9):
+        index = decontaminate.build_index(docs, items, rank)
+        assert index.vectors.shape[1] < min(len(index.owners), rank + 1)
+        compared, real = [], index._plain
+        index._plain = lambda *given: compared.append((given[3].sum(), given[3].size)) or real(*given)
+        passages = [(k, p) for k, words in items.items() for p in decontaminate.passages_of(words)]
+        for words in texts:
+            near, wanted = index.near(words), {}
+            for start in range(0, len(words), decontaminate.WINDOW // 2):
+                window = [w for w in words[start : start + decontaminate.WINDOW] if w in index.place]
+                for key, passage in passages:
+                    there = [w for w in passage if w in index.place]
+                    a, b = Counter(window), Counter(there)
+                    norm = math.sqrt(sum(index.squares[index.place[w]] for w in window) * sum(index.squares[index.place[w]] for w in there))
+                    cosine = sum(n * b[w] * index.squares[index.place[w]] for w, n in a.items()) / norm if norm else 0
+                    if cosine >= decontaminate.CANDIDATE_COSINE:
+                        own = wanted.setdefault(key, {})
+                        own[start] = max(own.get(start, 0), cosine)
+            assert {(k, at) for k, v in near.items() for at in v} == {(k, at) for k, v in wanted.items() for at in v}
+            assert all(near[k][at] == pytest.approx(c) for k, v in wanted.items() for at, c in v.items())
+        if rank == decontaminate.RANK:
+            assert sum(c for c, _ in compared) < sum(n for _, n in compared) / 2
