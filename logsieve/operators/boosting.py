@@ -1,24 +1,25 @@
-"""Boosted trees with patience, for two or more classes, over Spark's regression trees.
+"""Boosted trees with patience, for two or more classes, as ensembles of Spark's regression trees.
 
 A round fits one tree per margin on the Newton step of the log loss: residual over curvature, weighted by the curvature.
-Two classes need one margin, more classes one for each (softmax). Margins are a column that goes on from round to round;
-after every block of rounds the rows are written to shared storage, which cuts their lineage.
+Two classes need one margin, more classes one for each (softmax). The trees of a round are grown together, one pass over the
+rows a level. Margins go on from round to round with the packed rows; after every block of rounds these are written to
+shared storage, which cuts their lineage.
 """
 
 import uuid
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from typing import Any, NamedTuple
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel
 from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsieve.operators.histogram_trees import Growth, Tree, advance, cut_points, grow, growth, library_tree, packed
 from logsieve.operators.learning import BINARY_CONFIGS, Trained, multiclass_weights, weight_column
 from logsieve.session import work_dir
 from logsieve.sources.tables import stored
@@ -32,10 +33,6 @@ MULTICLASS_CONFIG: dict[str, Any] = {
     "maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 20, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8",
 }
-LEAST_CURVATURE = 1e-6
-#: A single row's Newton step is this long at the most, as is usual for rows that are classified badly.
-LONGEST_STEP = 4.0
-LEAST_CHANCE = 1e-15
 
 
 class Boosted(NamedTuple):
@@ -71,49 +68,14 @@ def chances(margins: Column, classes: int) -> Column:
     return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def _newton(rows: DataFrame, output: int, classes: int) -> DataFrame:
-    """Training rows with the Newton step of one margin as label."""
-    own = 1 if classes == 2 else output
-    chance = F.col("chances")[own]
-    curvature = F.greatest(chance * (1 - chance), F.lit(LEAST_CURVATURE))
-    step = ((F.col("label") == own).cast("double") - chance) / curvature
-    return rows.filter("NOT is_valid").select(
-        "features",
-        F.greatest(F.least(step, F.lit(LONGEST_STEP)), F.lit(-LONGEST_STEP)).alias("step"),
-        (F.col("weight") * curvature).alias("step_weight"),
-    )
-
-
-def _grow(rows: DataFrame, classes: int, outputs: int, seed: int, settings: Mapping[str, Any]) -> list[DecisionTreeRegressionModel]:
+def _grow(rows: DataFrame, sizes: Sequence[int], outputs: int, seed: int, settings: Growth) -> list[Tree]:
     """The trees of one round, grown side by side over the same persisted rows."""
-
-    def one(output: int) -> DecisionTreeRegressionModel:
-        forest = RandomForestRegressor(
-            featuresCol="features", labelCol="step", weightCol="step_weight", numTrees=1, bootstrap=False,
-            seed=seed * outputs + output, **settings,
-        )
-        return forest.fit(_newton(rows, output, classes)).trees[0]
-
-    if outputs == 1:
-        return [one(0)]
-    with ThreadPoolExecutor(min(outputs, 8)) as pool:
-        return list(pool.map(one, range(outputs)))
-
-
-def _advance(rows: DataFrame, trees: Sequence[DecisionTreeRegressionModel], step: float, classes: int) -> DataFrame:
-    """Margins, chances and the row's list of losses after one more round."""
-    found = rows
-    for k, tree in enumerate(trees):
-        found = tree.setPredictionCol(f"tree_{k}").transform(found)
-    moved = F.array(*[F.col("margins")[k] + step * F.col(f"tree_{k}") for k in range(len(trees))])
-    found = found.withColumn("margins", moved).withColumn("chances", chances(F.col("margins"), classes))
-    loss = -F.log(F.greatest(F.element_at("chances", F.col("label") + 1), F.lit(LEAST_CHANCE)))
-    return found.withColumn("losses", F.concat("losses", F.array(loss))).drop(*[f"tree_{k}" for k in range(len(trees))])
+    return grow(rows, sizes, outputs, seed, settings)
 
 
 def _valid_losses(rows: DataFrame, n: int) -> list[float]:
-    means = [F.avg(F.col("losses")[i]).alias(f"l{i}") for i in range(n)]
-    found = list(rows.filter("is_valid").agg(*means).first())
+    means = [(F.sum(F.col("losses")[i]) / F.nullif(F.sum("n_valid"), F.lit(0))).alias(f"l{i}") for i in range(n)]
+    found = list(rows.agg(*means).first())
     if any(loss is None for loss in found):
         raise ValueError("patience needs rows of split 'valid' whose class has training rows")
     return found
@@ -143,29 +105,31 @@ def _boost(
     spark = rows.sparkSession
     outputs = 1 if classes == 2 else classes
     folder = work_dir(spark)
-    start = rows.withColumn("margins", F.array(*[F.lit(0.0)] * outputs))
-    state = stored(start.withColumn("chances", chances(F.col("margins"), classes)), folder)
-    trees: list[list[DecisionTreeRegressionModel]] = [[] for _ in range(outputs)]
+    rows = stored(rows, folder)
+    cuts = cut_points(rows, tree.get("maxBins", 32))
+    sizes, grown_as = [len(c) for c in cuts], growth(len(cuts), tree)
+    state = stored(packed(rows, cuts, outputs), folder)
+    parts = spark.sparkContext.defaultParallelism
+    trees: list[list[Tree]] = []
     losses: list[float] = []
     while len(losses) < most and not stop_at(losses, patience).ended:
         n = min(block, most - len(losses))
-        current = state.withColumn("losses", F.array().cast("array<double>")).persist()
+        current = state.withColumn("losses", F.array().cast("array<double>")).repartition(parts).persist()
         for i in range(n):
-            grown = _grow(current, classes, outputs, len(losses) + i, tree)
-            for kept, new in zip(trees, grown, strict=True):
-                kept.append(new)
-            following = _advance(current, grown, step, classes).persist()
+            grown = _grow(current, sizes, outputs, len(losses) + i, grown_as)
+            trees.append(grown)
+            following = advance(current, grown, step, len(cuts)).persist()
             if i:
                 earlier.unpersist()
             earlier, current = current, following
         losses += _valid_losses(current, n)
-        state = stored(current.drop("losses"), folder)
+        state = stored(current, folder)
         earlier.unpersist()
         current.unpersist()
     stop = stop_at(losses, patience)
     listed = [(i + 1, i // block + 1, loss, int(i < stop.best)) for i, loss in enumerate(losses[: stop.seen])]
     table = spark.createDataFrame(listed, "round int, block int, valid_loss double, kept int")
-    return [t[: stop.best] for t in trees], step, table
+    return [[library_tree(spark, t[k], cuts) for t in trees[: stop.best]] for k in range(outputs)], step, table
 
 
 def _rows(table: DataFrame, assembler: VectorAssembler, label: Column, weight: Column) -> DataFrame:
