@@ -1,9 +1,9 @@
 """Boosted trees with patience, for two or more classes, as ensembles of Spark's regression trees.
 
 A round fits one tree per margin on the Newton step of the log loss: residual over curvature, weighted by the curvature.
-Two classes need one margin, more classes one for each (softmax). The trees of a round are grown together, one pass over the
-rows a level. Margins go on from round to round with the packed rows; after every block of rounds these are written to
-shared storage, which cuts their lineage.
+Two classes need one margin and one tree of the library a round, more classes one for each (softmax); these are grown together,
+one pass over packed rows a level. Margins go on from round to round with the rows; after every block of rounds these are
+written to shared storage, which cuts their lineage.
 """
 
 import uuid
@@ -14,12 +14,14 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressor
 from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.operators.histogram_trees import Growth, Tree, advance, cut_points, grow, growth, library_tree, packed
+from logsieve.operators.histogram_trees import (
+    LEAST_CHANCE, LEAST_CURVATURE, LONGEST_STEP, Tree, advance, cut_points, grow, growth, library_tree, packed,
+)
 from logsieve.operators.learning import BINARY_CONFIGS, Trained, multiclass_weights, weight_column
 from logsieve.session import work_dir
 from logsieve.sources.tables import stored
@@ -68,9 +70,73 @@ def chances(margins: Column, classes: int) -> Column:
     return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def _grow(rows: DataFrame, sizes: Sequence[int], outputs: int, seed: int, settings: Growth) -> list[Tree]:
-    """The trees of one round, grown side by side over the same persisted rows."""
-    return grow(rows, sizes, outputs, seed, settings)
+def _newton(rows: DataFrame) -> DataFrame:
+    """Training rows of two classes with the Newton step of their margin as label."""
+    chance = F.col("chances")[1]
+    curvature = F.greatest(chance * (1 - chance), F.lit(LEAST_CURVATURE))
+    step = ((F.col("label") == 1).cast("double") - chance) / curvature
+    return rows.filter("NOT is_valid").select(
+        "features",
+        F.greatest(F.least(step, F.lit(LONGEST_STEP)), F.lit(-LONGEST_STEP)).alias("step"),
+        (F.col("weight") * curvature).alias("step_weight"),
+    )
+
+
+class _LibraryTrees:
+    """Two classes: a round is one tree of the library over unpacked rows."""
+
+    def __init__(self, rows: DataFrame, settings: Mapping[str, Any], step: float) -> None:
+        start = rows.withColumn("margins", F.array(F.lit(0.0))).withColumn("n_valid", F.col("is_valid").cast("long"))
+        self.start = start.withColumn("chances", chances(F.col("margins"), 2))
+        self.settings, self.step = settings, step
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def grow(self, rows: DataFrame, seed: int) -> list[DecisionTreeRegressionModel]:
+        forest = RandomForestRegressor(
+            featuresCol="features", labelCol="step", weightCol="step_weight", numTrees=1, bootstrap=False, seed=seed, **self.settings,
+        )
+        return [forest.fit(_newton(rows)).trees[0]]
+
+    def advance(self, rows: DataFrame, trees: Sequence[DecisionTreeRegressionModel]) -> DataFrame:
+        found = trees[0].setPredictionCol("tree").transform(rows)
+        found = found.withColumn("margins", F.array(F.col("margins")[0] + self.step * F.col("tree")))
+        found = found.withColumn("chances", chances(F.col("margins"), 2))
+        loss = -F.log(F.greatest(F.element_at("chances", F.col("label") + 1), F.lit(LEAST_CHANCE)))
+        loss = F.when(F.col("is_valid"), loss).otherwise(0.0)
+        return found.withColumn("losses", F.concat("losses", F.array(loss))).drop("tree")
+
+    def model(self, tree: DecisionTreeRegressionModel) -> DecisionTreeRegressionModel:
+        return tree
+
+
+class _SharedTrees:
+    """More classes: the trees of a round are grown together over packed rows."""
+
+    def __init__(self, rows: DataFrame, outputs: int, settings: Mapping[str, Any], step: float) -> None:
+        self.spark, self.outputs, self.step = rows.sparkSession, outputs, step
+        rows = stored(rows, work_dir(self.spark))
+        self.cuts = cut_points(rows, settings.get("maxBins", 32))
+        self.sizes, self.growth = [len(c) for c in self.cuts], growth(len(self.cuts), settings)
+        self.start = packed(rows, self.cuts, outputs)
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.spark.sparkContext.defaultParallelism)
+
+    def grow(self, rows: DataFrame, seed: int) -> list[Tree]:
+        return grow(rows, self.sizes, self.outputs, seed, self.growth)
+
+    def advance(self, rows: DataFrame, trees: Sequence[Tree]) -> DataFrame:
+        return advance(rows, trees, self.step, len(self.cuts))
+
+    def model(self, tree: Tree) -> DecisionTreeRegressionModel:
+        return library_tree(self.spark, tree, self.cuts)
+
+
+def _grow(way: _LibraryTrees | _SharedTrees, rows: DataFrame, seed: int) -> list[Any]:
+    """The trees of one round over the same persisted rows."""
+    return way.grow(rows, seed)
 
 
 def _valid_losses(rows: DataFrame, n: int) -> list[float]:
@@ -105,31 +171,28 @@ def _boost(
     spark = rows.sparkSession
     outputs = 1 if classes == 2 else classes
     folder = work_dir(spark)
-    rows = stored(rows, folder)
-    cuts = cut_points(rows, tree.get("maxBins", 32))
-    sizes, grown_as = [len(c) for c in cuts], growth(len(cuts), tree)
-    state = stored(packed(rows, cuts, outputs), folder)
-    parts = spark.sparkContext.defaultParallelism
-    trees: list[list[Tree]] = []
+    way = _LibraryTrees(rows, tree, step) if outputs == 1 else _SharedTrees(rows, outputs, tree, step)
+    state = stored(way.start, folder)
+    trees: list[list[Any]] = []
     losses: list[float] = []
     while len(losses) < most and not stop_at(losses, patience).ended:
         n = min(block, most - len(losses))
-        current = state.withColumn("losses", F.array().cast("array<double>")).repartition(parts).persist()
+        current = way.dealt(state.withColumn("losses", F.array().cast("array<double>"))).persist()
         for i in range(n):
-            grown = _grow(current, sizes, outputs, len(losses) + i, grown_as)
+            grown = _grow(way, current, len(losses) + i)
             trees.append(grown)
-            following = advance(current, grown, step, len(cuts)).persist()
+            following = way.advance(current, grown).persist()
             if i:
                 earlier.unpersist()
             earlier, current = current, following
         losses += _valid_losses(current, n)
-        state = stored(current, folder)
+        state = stored(current.drop("losses"), folder)
         earlier.unpersist()
         current.unpersist()
     stop = stop_at(losses, patience)
     listed = [(i + 1, i // block + 1, loss, int(i < stop.best)) for i, loss in enumerate(losses[: stop.seen])]
     table = spark.createDataFrame(listed, "round int, block int, valid_loss double, kept int")
-    return [[library_tree(spark, t[k], cuts) for t in trees[: stop.best]] for k in range(outputs)], step, table
+    return [[way.model(t[k]) for t in trees[: stop.best]] for k in range(outputs)], step, table
 
 
 def _rows(table: DataFrame, assembler: VectorAssembler, label: Column, weight: Column) -> DataFrame:
