@@ -1,7 +1,8 @@
 """Documents to training tokens in five stages, each written as Parquet and read again as the next one's documents.
 
 1. Language ID: documents without a language, or far from every prototype, go.
-2. Near-duplicates on shingles of five words: one document of each class of similarity 0.8 or more stays, the one of the smallest id.
+2. Near-duplicates on shingles of five words: SimHash classes and MinHash bands name candidates, and one document of each class of
+   similarity 0.8 or more stays, the one of the smallest id.
 3. Benchmark decontamination: documents that contain a benchmark item go.
 4. Mixing: every document comes as often as the mix of sources takes it.
 5. Token output: documents are written as packed ids; the rows report what the files hold.

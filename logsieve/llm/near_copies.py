@@ -1,4 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands name candidates, exact similarity decides."""
+"""Near copies by Jaccard similarity of word shingles: SimHash classes and MinHash bands name candidates, exact similarity decides.
+
+SimHash links reach the closest copies, whatever their bands; the bands reach copies down to the threshold, which lie too many bits
+apart for blocks of a fingerprint.
+"""
 
 from collections.abc import Iterator
 
@@ -8,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm import simhash
 from logsieve.llm.components import components
 from logsieve.llm.work import spread_join, stored
 
@@ -17,6 +22,8 @@ LEAST_JACCARD = 0.8
 BANDS, ROWS = 24, 6
 #: So many sets are compared with so many others in one go.
 BLOCK, SHARE = 256, 4096
+#: So many texts are turned into shingles in one go.
+TEXTS = 500
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(42)
@@ -58,14 +65,21 @@ def _form(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of TEXTS rows at the most, so that a task holds the shingles of a few texts and not those of a whole batch."""
+    for frame in frames:
+        for at in range(0, len(frame), TEXTS):
+            yield frame.iloc[at : at + TEXTS]
+
+
 def _prints(words: int):
     def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _slices(frames):
             sets = [shingles(t, words) for t in frame["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"].astype("Int64"), "form": [_form(s) for s in sets], "n": [len(s) for s in sets],
-                    "keys": [band_keys(s).view(np.int64) for s in sets],
+                    "doc_id": frame["doc_id"].astype("Int64").array, "form": [_form(s) for s in sets], "n": [len(s) for s in sets],
+                    "keys": [band_keys(s).view(np.int64) for s in sets], "fp": [simhash.fingerprint(t, words) for t in frame["text"]],
                 }
             )
 
@@ -74,7 +88,7 @@ def _prints(words: int):
 
 def _sets(words: int):
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _slices(frames):
             found = [shingles(t, words) for t in frame["text"]]
             yield pd.DataFrame({"form": [_form(s) for s in found], "hashes": [s.view(np.int64) for s in found]})
 
@@ -138,16 +152,24 @@ def _linker(least: float):
     return link
 
 
-def links(rows: DataFrame, points: DataFrame, words: int = WORDS, least: float = LEAST_JACCARD, few: int = BLOCK, many: int = SHARE) -> DataFrame:
-    """Links (a, b) between forms whose components are those of 'similarity of ``least`` or more', for the pairs that share a band.
+def simhash_keys(prints: DataFrame) -> DataFrame:
+    """(form, n, key): one key per class of fingerprints (prints: form, n, fp) that links of op1's distance connect."""
+    fps = prints.select("fp").distinct()
+    classes = components(simhash.links(fps.select("fp", F.col("fp").alias("rep"))))
+    named = spread_join(prints, classes.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    return named.select("form", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key")).distinct()
+
+
+def links(rows: DataFrame, points: DataFrame, prints: DataFrame, words: int = WORDS, least: float = LEAST_JACCARD, few: int = BLOCK, many: int = SHARE) -> DataFrame:
+    """Links (a, b) between forms whose components are those of 'similarity of ``least`` or more', for the pairs that share a bucket.
 
-    ``points`` has one row per distinct set of shingles (form, rep, n, keys). Every member of a band's bucket is compared with
-    the bucket's smallest one first. From then on only buckets with several classes matter. There, the members outside the
+    ``points`` has one row per distinct set of shingles (form, rep, n, keys), ``prints`` the fingerprints of these sets' texts (form, n, fp).
+    A bucket is a band or a class of SimHash links. Every member of a bucket is compared with the bucket's smallest one first. From then on only buckets with several classes matter. There, the members outside the
     bucket's largest class are compared with all members, inside tasks, ``few`` against ``many`` at a time; no pair becomes a
     row, and what comes out are the classes that belong together. So no pair of two classes is given up, and a bucket of m members
     of which k are outside its largest class costs m * k / ``few`` rows at the most.
     """
-    members = points.where("n > 0").select("form", "n", F.explode("keys").alias("key"))
+    members = points.where("n > 0").select("form", "n", F.explode("keys").alias("key")).unionByName(simhash_keys(prints))
     first = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("form", "n")).alias("x"))
     members = stored(spread_join(members, stored(first.where("_n > 1").drop("_n"), "buckets"), "key"), "members")
     alike = lambda n, m: F.least(n, m) >= F.lit(least) * F.greatest(n, m)
@@ -183,13 +205,14 @@ def one_per_class(docs: DataFrame, words: int = WORDS, least: float = LEAST_JACC
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    points = rows.mapInPandas(_prints(words), "doc_id long, form long, n int, keys array<long>")
+    points = rows.mapInPandas(_prints(words), "doc_id long, form long, n int, keys array<long>, fp long")
     prints = stored(points, "prints")
     reps = prints.groupBy("form", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     reps = reps.groupBy("form").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copies")).alias("y"))
     reps = reps.select("form", F.col("y.doc_id").alias("rep"), F.col("y.copies").alias("copies"))
+    fps = stored(prints.where("n > 0").select("form", "n", "fp").distinct(), "fingerprints")
     points = stored(spread_join(prints.select("form", "n", "keys").dropDuplicates(["form"]), reps, "form"), "points")
-    classes = components(links(rows, points, words, least))
+    classes = components(links(rows, points, fps, words, least))
     known = points.join(classes, points["form"] == classes["node"], "left")
     known = known.select(F.coalesce("component", "form").alias("class"), F.struct(F.col("rep").isNull(), "rep", "form", "copies").alias("x"))
     kept = known.groupBy("class").agg(F.min("x").alias("x"))

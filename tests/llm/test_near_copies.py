@@ -78,3 +78,30 @@ def test_blocks_lose_no_pair(spark, documents, monkeypatch):
 def test_columns_of_any_name_stay(documents):
     kept = near_copies.one_per_class(documents())
     assert kept.columns == documents().columns and {(r._copies, r._place, r.row, r.place) for r in kept.collect()} == {(1, 4, 8, 9)}
+
+
+def test_fingerprints_reach_what_no_band_does(documents):
+    """Pairs of similarity 0.8 that share no band and lie at most 3 bits apart go by their SimHash class."""
+    rows = []
+    for k, seed in enumerate((10918, 76490, 165913)):
+        words = [f"w{seed}x{i}" for i in range(13)]
+        pair = " ".join(words), " ".join([*words[:-1], "new"])
+        assert jaccard(*pair) == 0.8
+        assert (simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count() <= simhash.MAX_DISTANCE
+        bands = [near_copies.band_keys(near_copies.shingles(t)) for t in pair]
+        assert not (bands[0] == bands[1]).any()
+        rows += [(2 * k, pair[0], "en", "a"), (2 * k + 1, pair[1], "en", "a")]
+    assert {r.doc_id for r in near_copies.one_per_class(documents(rows)).collect()} == {0, 2, 4}
+
+
+def test_near_fingerprints_are_no_reason_alone(spark, documents):
+    """A SimHash class only names candidates: texts of less than the similarity stay."""
+    rng = random.Random(9)
+    rows = []
+    while len(rows) < 6:
+        words = [f"w{rng.random()}" for _ in range(60)]
+        pair = " ".join(words), " ".join([*words[:28], f"new{rng.random()}", *words[29:44], f"new{rng.random()}", *words[45:]])
+        if (simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count() <= simhash.MAX_DISTANCE:
+            assert jaccard(*pair) < 0.8
+            rows += [(len(rows), pair[0], "en", "a"), (len(rows) + 1, pair[1], "en", "a")]
+    assert {r.doc_id for r in near_copies.one_per_class(documents(rows)).collect()} == set(range(6))
