@@ -1,14 +1,16 @@
 """Main text of web pages: markup that names its role is followed, and repeated runs of a host's other text are removed.
 
 Blocks inside an article (or main element) are text, and blocks inside menus, footers, adverts, forms and the like are not.
-What markup leaves open, and parts of an article whose names only hint at boilerplate, is decided per host: the token streams of its
-pages, articles left out, go into a suffix array whose ranks come from prefix doubling. A stretch of RUN tokens that LEAST_PAGES
-pages of different content share is boilerplate. What such stretches cover goes, unique runs stay.
+What markup leaves open, and parts of an article whose names only hint at boilerplate, is decided per host: the token streams of all
+blocks of its pages go into a suffix array whose ranks come from prefix doubling, until nothing longer is shared. A stretch of RUN
+tokens or more that LEAST_PAGES pages of different content share outside articles is boilerplate, unless as many pages have it in
+articles alone. What such stretches cover goes, unique runs and the articles' own stretches stay.
 """
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 
 import numpy as np
@@ -24,6 +26,8 @@ from logsieve.llm.work import spread_join, stored
 RUN = 6
 #: Pages of different content that share a stretch of boilerplate at least; two may be versions of one page.
 LEAST_PAGES = 3
+#: Hosts with a page to decide are first told by a remainder of their hash, which bounds what is broadcast.
+HOST_BUCKETS = 1 << 18
 
 #: HINTED: inside an article, with a name that may mean boilerplate or may be the article's own.
 BOILERPLATE, UNDECIDED, ARTICLE, HINTED = 0, 1, 2, 3
@@ -174,82 +178,109 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def _stream(blocks: list[tuple[int, str]]) -> tuple[list[int], list[tuple[int, int]]]:
-    """Token hashes of all blocks that are not article, an edge token before and after each; (block, first token) of those to decide."""
-    tokens, places = [0], []
-    for i, (kind, text) in enumerate(blocks):
-        if kind == ARTICLE:
-            continue
-        if kind != BOILERPLATE:
-            places.append((i, len(tokens)))
+def _stream(texts: list[str]) -> list[int]:
+    """Token hashes of blocks, an edge token before and after each."""
+    tokens = [0]
+    for text in texts:
         tokens += [xxhash.xxh3_64_intdigest(w.lower()) - (1 << 63) for w in text.split()]
         tokens.append(0)
-    return tokens, places
+    return tokens
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         blocks = [blocks_of(h) for h in frame["html"]]
         to_decide = [any(k in (UNDECIDED, HINTED) for k, _ in b) for b in blocks]
-        # of a settled page the article is final; its other blocks are evidence for the host's open pages
-        rest = [b if o else [x for x in b if x[0] == BOILERPLATE] for b, o in zip(blocks, to_decide)]
         yield pd.DataFrame(
             {
                 "page_id": frame["page_id"], "url": frame["url"], "page": frame["page"], "host": frame["host"], "open": to_decide,
-                "text": [None if o else "\n\n".join(t for k, t in b if k == ARTICLE) for b, o in zip(blocks, to_decide)],
                 "content": [xxhash.xxh3_64_intdigest("\n".join(t for _, t in b)) - (1 << 63) for b in blocks],
-                "kinds": [[k for k, _ in b] for b in rest], "texts": [[t for _, t in b] for b in rest],
+                "kinds": [[k for k, _ in b] for b in blocks], "texts": [[t for _, t in b] for b in blocks],
             }
         ).astype({"page_id": "Int64"})
 
 
 def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per place. A page has two streams, of its articles and of its other blocks; a place is left out between them."""
     for frame in frames:
         for host, page, content, kinds, texts in zip(frame["host"], frame["page"], frame["content"], frame["kinds"], frame["texts"]):
-            tokens, _ = _stream(list(zip(kinds, texts)))
-            yield pd.DataFrame({"host": host, "page": page, "content": content, "at": np.arange(len(tokens), dtype=np.int32), "token": np.array(tokens, np.int64)})
+            other = _stream([t for k, t in zip(kinds, texts) if k != ARTICLE])
+            article = _stream([t for k, t in zip(kinds, texts) if k == ARTICLE])
+            at = np.arange(len(other) + len(article), dtype=np.int32)
+            at[len(other) :] += 1
+            yield pd.DataFrame({"host": host, "page": page, "content": content, "at": at, "token": np.array(other + article, np.int64), "article": at > len(other)})
 
 
 def shared_stretches(tokens: DataFrame, run: int = RUN, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(page, at) of every stretch of ``run`` tokens that ``least_pages`` contents of one host have or more.
+    """(page, at, length, own): the longest stretch from every place outside articles that ``least_pages`` contents of one host have there.
 
-    ``tokens``: host, page, content, at, token, one row per place. Prefix doubling: the rank of a suffix's first 2h tokens comes from the
-    ranks of h tokens at ``at`` and ``at + h``; the last step overlaps. Suffixes that no other content shares leave at every
-    step. A longer shared stretch is the union of its parts of ``run`` tokens, which all are shared, so deeper ranks
-    would cover the same tokens.
+    ``tokens``: host, page, content, at, token, article, one row per place. ``own``: as many contents have the stretch in articles alone.
+    Prefix doubling: the rank of a suffix's first 2h tokens comes from the ranks of h tokens at ``at`` and ``at + h``; the step
+    to ``run`` overlaps. Suffixes that too few contents share outside articles leave at every step, and the doubling goes on until none
+    is left, so ``length`` is the largest of run, 2 run, 4 run, ... that the common prefix has. A stretch of any length between is
+    covered by those that start at its places.
     """
     keyed = tokens.withColumn("key", F.struct("host", "token")).drop("host", "token")
-    done = 1
+    outside = F.when(~F.col("article"), F.col("content"))
+    done, found = 1, []
     while True:
-        here = keyed.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low != high")
+        if done < run:
+            groups = keyed.groupBy("key").agg(F.min(outside).alias("low"), F.max(outside).alias("high")).where("low != high")
+            groups = groups.select("key", F.lit(False).alias("own"))
+        else:
+            per_content = keyed.groupBy("key", "content").agg(F.min("article").alias("article"))
+            groups = per_content.groupBy("key").agg(F.count_if(~F.col("article")).alias("n"), F.count_if("article").alias("articles"))
+            groups = groups.where(F.col("n") >= least_pages).select("key", (F.col("articles") >= F.col("n")).alias("own"))
+        ranks = spread_join(keyed, ranked(groups, "key"), "key").select("page", "content", "at", "article", "own", "rank")
+        ranks = stored(ranks, "suffixes")
         if done >= run:
+            found.append(ranks.where("not article").select("page", "at", F.lit(done).alias("length"), "own"))
+        if ranks.isEmpty():
             break
-        ranks = spread_join(keyed, ranked(here.select("key"), "key"), "key").select("page", "content", "at", "rank")
-        ranks, step = stored(ranks, "suffixes"), min(done, run - done)
+        step = done if done >= run else min(done, run - done)
         then = ranks.select("page", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
-        keyed = ranks.join(then, ["page", "at"]).select("page", "content", "at", F.struct("rank", "then").alias("key"))
+        keyed = ranks.join(then, ["page", "at"]).select("page", "content", "at", "article", F.struct("rank", "then").alias("key"))
         done += step
-    per_content = keyed.groupBy("key", "content").agg(F.lit(1).alias("one"))
-    often = per_content.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    return spread_join(keyed, often.select("key"), "key").select("page", "at")
+    if not found:
+        return ranks.select("page", "at", F.lit(done).alias("length"), "own")
+    longest = reduce(DataFrame.unionByName, found).groupBy("page", "at").agg(F.max(F.struct("length", "own")).alias("longest"))
+    return longest.select("page", "at", "longest.length", "longest.own")
 
 
-def _unique_runs(kinds: pd.Series, texts: pd.Series, starts: pd.Series) -> pd.Series:
-    return pd.Series([kept_text(list(zip(k, t)), s) for k, t, s in zip(kinds, texts, starts)], dtype=object)
+def parts_to_go(at: list[int], length: list[int], own: list[bool]) -> list[int]:
+    """Where parts of RUN tokens begin that lie in a shared stretch and in none of the articles' own."""
+    at, length, own = np.asarray(at, np.int64), np.asarray(length, np.int64), np.asarray(own, bool)
+    if not len(at):
+        return []
+    size, inside = int((at + length).max()) + 1, []
+    for chosen in (~own, own):
+        change = np.zeros(size, np.int64)
+        np.add.at(change, at[chosen], 1)
+        np.add.at(change, (at + length)[chosen] - RUN + 1, -1)
+        inside.append(change.cumsum() > 0)
+    return np.flatnonzero(inside[0] & ~inside[1]).tolist()
+
+
+def _unique_runs(kinds: pd.Series, texts: pd.Series, at: pd.Series, length: pd.Series, own: pd.Series) -> pd.Series:
+    return pd.Series([kept_text(list(zip(k, t)), parts_to_go(*s)) for k, t, *s in zip(kinds, texts, at, length, own)], dtype=object)
 
 
 def kept_text(blocks: list[tuple[int, str]], starts: list[int]) -> str:
-    """Article blocks and what is left of the others, given where shared stretches begin in the page's stream.
+    """Article blocks and what is left of the others, given where shared parts of RUN tokens begin in the stream of the others.
 
     A block to decide goes when stretches cover all of it. Otherwise an undecided one loses the stretches that lie inside it, and a hinted
     one stays. A page without an article, and with fewer than RUN words that are its own, is a version of other pages: its
     undecided text stays whole.
     """
-    tokens, places = _stream(blocks)
-    covered, begins = np.zeros(len(tokens), bool), np.asarray(starts, np.int64)
+    words = {i: text.split() for i, (kind, text) in enumerate(blocks) if kind != ARTICLE}
+    places, size = [], 1
+    for i, w in words.items():
+        if blocks[i][0] != BOILERPLATE:
+            places.append((i, size))
+        size += len(w) + 1
+    covered, begins = np.zeros(size, bool), np.asarray(starts, np.int64)
     for i in range(RUN):
         covered[begins + i] = True
-    words = {i: blocks[i][1].split() for i, _ in places}
     flags = {}
     for i, first in places:
         last = first + len(words[i])
@@ -273,15 +304,15 @@ def kept_text(blocks: list[tuple[int, str]], starts: list[int]) -> str:
     return "\n\n".join(out)
 
 
-PARSED = "page_id long, url string, page binary, host string, open boolean, text string, content long, kinds array<int>, texts array<string>"
+PARSED = "page_id long, url string, page binary, host string, open boolean, content long, kinds array<int>, texts array<string>"
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text (blocks joined by two line ends), n_chars (code points).
 
-    Pages are parsed once. Only hosts with a page to decide have a suffix array, and only its places are shuffled, never the
-    texts of settled pages; a host or a stretch with a third of all rows is spread over tasks. Exact copies of a page are one
-    page to this rule.
+    Pages are parsed once. Only hosts with a page to decide have a suffix array, of all blocks of all their pages; the texts of
+    other hosts are not shuffled. A host or a stretch with a third of all rows is spread over tasks. Exact copies of a page
+    are one page to this rule.
 
     Character references are decoded, white space inside a block becomes one space. A null or empty page has an empty text, as
     has one without any. A null url is one host. Repeated rows get the same text each. An empty table gives an empty
@@ -292,15 +323,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), page.alias("page"), host.alias("host"), F.coalesce(html, F.lit("")).alias("html"))
     parsed = stored(rows.mapInPandas(_parse, PARSED), "pages")
-    settled = parsed.where("not open").select("page_id", "url", "text")
     undecided = parsed.where("open")
-
-    hosts = undecided.select("host").distinct()
-    evidence = spread_join(parsed.select("host", "page", "content", "kinds", "texts"), hosts, "host").dropDuplicates(["page"])
-    places = "host string, page binary, content long, at int, token long"
+    # every block of a settled page has its role from markup
+    article = F.filter("texts", lambda _, i: F.element_at("kinds", i + 1) == ARTICLE)
+    settled = parsed.where("not open").select("page_id", "url", F.array_join(article, "\n\n").alias("text"))
+
+    hosts = stored(undecided.select("host").distinct(), "hosts")
+    bucket = F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS))
+    near = parsed.withColumn("bucket", bucket).join(F.broadcast(hosts.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
+    evidence = spread_join(near.select("host", "page", "content", "kinds", "texts"), hosts, "host").dropDuplicates(["page"])
+    places = "host string, page binary, content long, at int, token long, article boolean"
     tokens = stored(evidence.select("host", "page", "content", "kinds", "texts").mapInPandas(_tokens, places), "tokens")
-    starts = shared_stretches(tokens).groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    decided = undecided.join(starts, "page", "left")
-    none = F.array().cast("array<int>")
-    decided = decided.select("page_id", "url", F.pandas_udf(_unique_runs, "string")("kinds", "texts", F.coalesce("starts", none)).alias("text"))
+    stretches = shared_stretches(tokens).groupBy("page").agg(F.collect_list(F.struct("at", "length", "own")).alias("found"))
+    decided = undecided.join(stretches, "page", "left")
+    found = [F.coalesce(f"found.{name}", F.array().cast(f"array<{kind}>")) for name, kind in (("at", "int"), ("length", "int"), ("own", "boolean"))]
+    decided = decided.select("page_id", "url", F.pandas_udf(_unique_runs, "string")("kinds", "texts", *found).alias("text"))
     return settled.unionByName(decided).withColumn("n_chars", F.length("text").cast("long"))

@@ -131,6 +131,56 @@ def test_unmarked_sites_equal_brute_force(spark):
     assert any(len(t) < len("\n\n".join(pages[k][1])) for k, t in expected.items())
 
 
+def test_stretches_of_articles_stay_on_unmarked_pages(spark):
+    line = "Released under the terms of a licence that everyone repeats"
+    share = "Share this fine story with all of your friends today"
+    own = "told in word{0} and in term{0} and in tale{0} alone".format
+    marked = [(k, "http://a.example/", f"<article><p>{own(k)}</p><p>{line}</p></article><footer>{share}</footer>") for k in range(3)]
+    bare = [(k, "http://a.example/", f"<p>{own(k)}</p><p>{line}</p><div>{share}</div>") for k in range(3, 6)]
+    found = {r.page_id: r.text for r in html_text.main_text(pages_of(spark, marked + bare)).collect()}
+    assert found == {k: f"{own(k)}\n\n{line}" for k in range(6)}
+    # a fourth page has the line outside its article: it is more often there
+    found = {r.page_id: r.text for r in html_text.main_text(pages_of(spark, [*marked, *bare, (6, "http://a.example/", f"<article>x</article><footer>{line}</footer>")])).collect()}
+    assert found == {k: own(k) if k in (3, 4, 5) else f"{own(k)}\n\n{line}" if k < 3 else "x" for k in range(7)}
+
+
+def longest(streams, run, least):
+    """(page, at): (length, own) of the longest stretch of run, 2 run, 4 run, ... tokens, by counting all of them."""
+    out, length = {}, run
+    while True:
+        holders = {}
+        for (page, content, article), tokens in streams.items():
+            for i in range(len(tokens) - length + 1):
+                holders.setdefault(tuple(tokens[i : i + length]), {}).setdefault(content, []).append((page, i, article))
+        found = False
+        for contents in holders.values():
+            outside = sum(not all(article for *_, article in places) for places in contents.values())
+            if outside >= least:
+                found = True
+                out |= {(page, i): (length, len(contents) - outside >= outside) for places in contents.values() for page, i, article in places if not article}
+        if not found:
+            return out
+        length *= 2
+
+
+def test_stretches_equal_brute_force(spark):
+    rng = random.Random(7)
+    stock = [[rng.randint(1, 3) for _ in range(rng.randint(2, 30))] for _ in range(8)]
+    streams, rows = {}, []
+    for k in range(24):
+        page, content, at = b"%d" % k, k // 2 if k < 6 else k, 0
+        for article in (False, True):
+            random_ = random.Random(content * 2 + article)
+            tokens = [t for _ in range(random_.randint(0, 5)) for t in random_.choice([*stock, [random_.randint(4, 99) for _ in range(5)]])]
+            streams[page, content, article] = tokens
+            rows += [("h", page, content, at + i, t, article) for i, t in enumerate(tokens)]
+            at += len(tokens) + 1
+    table = spark.createDataFrame(rows, "host string, page binary, content long, at int, token long, article boolean")
+    found = {(bytes(r.page), r["at"]): (r.length, r.own) for r in html_text.shared_stretches(table, 3, 3).collect()}
+    assert found == longest(streams, 3, 3)
+    assert len({length for length, _ in found.values()}) > 2 and len({own for _, own in found.values()}) == 2
+
+
 def test_short_stories_under_a_long_menu_lose_the_menu(spark):
     menu = "".join(f"<div>entry{i} of this long menu</div>" for i in range(40))
     rows = [(k, "http://a.example/", f"<body>{menu}<p>story{k} is told in word{k} and in term{k} alone</p>") for k in range(5)]
