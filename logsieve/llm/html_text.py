@@ -200,15 +200,14 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ).astype({"page_id": "Int64"})
 
 
-def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per place. A page has two streams, of its articles and of its other blocks; a place is left out between them."""
+def _streams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens of a page: first those of its ``others``, the blocks that are no article, then those of its articles."""
     for frame in frames:
-        for host, page, content, kinds, texts in zip(frame["host"], frame["page"], frame["content"], frame["kinds"], frame["texts"]):
-            other = _stream([t for k, t in zip(kinds, texts) if k != ARTICLE])
-            article = _stream([t for k, t in zip(kinds, texts) if k == ARTICLE])
-            at = np.arange(len(other) + len(article), dtype=np.int32)
-            at[len(other) :] += 1
-            yield pd.DataFrame({"host": host, "page": page, "content": content, "at": at, "token": np.array(other + article, np.int64), "article": at > len(other)})
+        blocks = [list(zip(k, t)) for k, t in zip(frame["kinds"], frame["texts"])]
+        other = [_stream([t for k, t in b if k != ARTICLE]) for b in blocks]
+        article = [_stream([t for k, t in b if k == ARTICLE]) for b in blocks]
+        tokens = [np.array(o + a, np.int64) for o, a in zip(other, article)]
+        yield frame[["host", "page", "content"]].assign(others=[len(o) for o in other], tokens=tokens)
 
 
 def shared_stretches(tokens: DataFrame, run: int = RUN, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -231,7 +230,8 @@ def shared_stretches(tokens: DataFrame, run: int = RUN, least_pages: int = LEAST
             per_content = keyed.groupBy("key", "content").agg(F.min("article").alias("article"))
             groups = per_content.groupBy("key").agg(F.count_if(~F.col("article")).alias("n"), F.count_if("article").alias("articles"))
             groups = groups.where(F.col("n") >= least_pages).select("key", (F.col("articles") >= F.col("n")).alias("own"))
-        ranks = spread_join(keyed, ranked(groups, "key"), "key").select("page", "content", "at", "article", "own", "rank")
+        # stored, since dealing by range reads the keys twice and the join reads the pairs again
+        ranks = spread_join(keyed, ranked(stored(groups, "groups"), "key"), "key").select("page", "content", "at", "article", "own", "rank")
         ranks = stored(ranks, "suffixes")
         if done >= run:
             found.append(ranks.where("not article").select("page", "at", F.lit(done).alias("length"), "own"))
@@ -239,7 +239,7 @@ def shared_stretches(tokens: DataFrame, run: int = RUN, least_pages: int = LEAST
             break
         step = done if done >= run else min(done, run - done)
         then = ranks.select("page", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
-        keyed = ranks.join(then, ["page", "at"]).select("page", "content", "at", "article", F.struct("rank", "then").alias("key"))
+        keyed = stored(ranks.join(then, ["page", "at"]).select("page", "content", "at", "article", F.struct("rank", "then").alias("key")), "pairs")
         done += step
     if not found:
         return ranks.select("page", "at", F.lit(done).alias("length"), "own")
@@ -332,8 +332,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bucket = F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS))
     near = parsed.withColumn("bucket", bucket).join(F.broadcast(hosts.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
     evidence = spread_join(near.select("host", "page", "content", "kinds", "texts"), hosts, "host").dropDuplicates(["page"])
-    places = "host string, page binary, content long, at int, token long, article boolean"
-    tokens = stored(evidence.select("host", "page", "content", "kinds", "texts").mapInPandas(_tokens, places), "tokens")
+    streams = evidence.mapInPandas(_streams, "host string, page binary, content long, others int, tokens array<long>")
+    tokens = streams.select("host", "page", "content", "others", F.posexplode("tokens").alias("at", "token")).withColumn("article", F.col("at") >= F.col("others"))
+    # a place is left out between the two streams of a page
+    tokens = stored(tokens.withColumn("at", F.col("at") + F.col("article").cast("int")).drop("others"), "tokens")
     stretches = shared_stretches(tokens).groupBy("page").agg(F.collect_list(F.struct("at", "length", "own")).alias("found"))
     decided = undecided.join(stretches, "page", "left")
     found = [F.coalesce(f"found.{name}", F.array().cast(f"array<{kind}>")) for name, kind in (("at", "int"), ("length", "int"), ("own", "boolean"))]
