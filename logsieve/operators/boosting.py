@@ -1,34 +1,28 @@
 """Boosted trees with patience, for two or more classes, as ensembles of Spark's regression trees.
 
 A round fits one tree per margin on the Newton step of the log loss: residual over curvature, weighted by the curvature.
-Two classes need one margin and one tree of the library a round, more classes one for each (softmax); these are grown together,
-one pass over packed rows a level. Margins go on from round to round with the rows; after every block of rounds these are
-written to shared storage, which cuts their lineage.
+Two classes need one margin, more classes one for each (softmax); the trees of a round are grown together, one pass over packed
+rows a level. Margins go on from round to round with the rows.
 """
 
-import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any, NamedTuple
 
+from pyspark import RDD
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressor
-from pyspark.ml.wrapper import JavaWrapper
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.operators.histogram_trees import (
-    LEAST_CHANCE, LEAST_CURVATURE, LONGEST_STEP, Tree, advance, cut_points, grow, growth, library_tree, packed,
-)
+from logsieve.operators.histogram_trees import Rounds, Tree, cut_points, ensemble, grow, growth, library_tree, packed
 from logsieve.operators.learning import BINARY_CONFIGS, Trained, multiclass_weights, weight_column
-from logsieve.session import work_dir
-from logsieve.sources.tables import stored
 
 #: Rounds without a lower validation loss after which boosting ends.
 PATIENCE = 50
-#: Rounds between two writes of the rows. It decides no more than which rows a round's sample picks.
+#: Rounds between two looks at the validation loss.
 BLOCK = 5
 #: Multiclass settings; as for two classes, leaf-count limits and L1/L2 terms have no counterpart.
 MULTICLASS_CONFIG: dict[str, Any] = {
@@ -70,93 +64,33 @@ def chances(margins: Column, classes: int) -> Column:
     return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def _newton(rows: DataFrame) -> DataFrame:
-    """Training rows of two classes with the Newton step of their margin as label."""
-    chance = F.col("chances")[1]
-    curvature = F.greatest(chance * (1 - chance), F.lit(LEAST_CURVATURE))
-    step = ((F.col("label") == 1).cast("double") - chance) / curvature
-    return rows.filter("NOT is_valid").select(
-        "features",
-        F.greatest(F.least(step, F.lit(LONGEST_STEP)), F.lit(-LONGEST_STEP)).alias("step"),
-        (F.col("weight") * curvature).alias("step_weight"),
-    )
-
-
-class _LibraryTrees:
-    """Two classes: a round is one tree of the library over unpacked rows."""
-
-    def __init__(self, rows: DataFrame, settings: Mapping[str, Any], step: float) -> None:
-        start = rows.withColumn("margins", F.array(F.lit(0.0))).withColumn("n_valid", F.col("is_valid").cast("long"))
-        self.start = start.withColumn("chances", chances(F.col("margins"), 2))
-        self.settings, self.step = settings, step
-
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        return rows
-
-    def grow(self, rows: DataFrame, seed: int) -> list[DecisionTreeRegressionModel]:
-        forest = RandomForestRegressor(
-            featuresCol="features", labelCol="step", weightCol="step_weight", numTrees=1, bootstrap=False, seed=seed, **self.settings,
-        )
-        return [forest.fit(_newton(rows)).trees[0]]
-
-    def advance(self, rows: DataFrame, trees: Sequence[DecisionTreeRegressionModel]) -> DataFrame:
-        found = trees[0].setPredictionCol("tree").transform(rows)
-        found = found.withColumn("margins", F.array(F.col("margins")[0] + self.step * F.col("tree")))
-        found = found.withColumn("chances", chances(F.col("margins"), 2))
-        loss = -F.log(F.greatest(F.element_at("chances", F.col("label") + 1), F.lit(LEAST_CHANCE)))
-        loss = F.when(F.col("is_valid"), loss).otherwise(0.0)
-        return found.withColumn("losses", F.concat("losses", F.array(loss))).drop("tree")
-
-    def model(self, tree: DecisionTreeRegressionModel) -> DecisionTreeRegressionModel:
-        return tree
-
-
 class _SharedTrees:
-    """More classes: the trees of a round are grown together over packed rows."""
+    """The trees of a round, one per margin, are grown together over packed rows."""
 
     def __init__(self, rows: DataFrame, outputs: int, settings: Mapping[str, Any], step: float) -> None:
         self.spark, self.outputs, self.step = rows.sparkSession, outputs, step
-        rows = stored(rows, work_dir(self.spark))
         self.cuts = cut_points(rows, settings.get("maxBins", 32))
         self.sizes, self.growth = [len(c) for c in self.cuts], growth(len(self.cuts), settings)
-        self.start = packed(rows, self.cuts, outputs)
+        self.rounds = Rounds(packed(rows, self.cuts, outputs), len(self.cuts))
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.spark.sparkContext.defaultParallelism)
-
-    def grow(self, rows: DataFrame, seed: int) -> list[Tree]:
+    def grow(self, rows: RDD, seed: int) -> list[Tree]:
         return grow(rows, self.sizes, self.outputs, seed, self.growth)
 
-    def advance(self, rows: DataFrame, trees: Sequence[Tree]) -> DataFrame:
-        return advance(rows, trees, self.step, len(self.cuts))
-
     def model(self, tree: Tree) -> DecisionTreeRegressionModel:
         return library_tree(self.spark, tree, self.cuts)
 
 
-def _grow(way: _LibraryTrees | _SharedTrees, rows: DataFrame, seed: int) -> list[Any]:
+def _grow(way: _SharedTrees, rows: RDD, seed: int) -> list[Any]:
     """The trees of one round over the same persisted rows."""
     return way.grow(rows, seed)
 
 
-def _valid_losses(rows: DataFrame, n: int) -> list[float]:
-    means = [(F.sum(F.col("losses")[i]) / F.nullif(F.sum("n_valid"), F.lit(0))).alias(f"l{i}") for i in range(n)]
-    found = list(rows.agg(*means).first())
-    if any(loss is None for loss in found):
+def _valid_losses(rounds: Rounds, n: int) -> list[float]:
+    """Mean loss of the validation rows in the last ``n`` rounds."""
+    losses, _, count = rounds.losses()
+    if not count:
         raise ValueError("patience needs rows of split 'valid' whose class has training rows")
-    return found
-
-
-def _joined(kind: type, java_name: str, trees: Sequence[DecisionTreeRegressionModel], weight: float, *more: int) -> Any:
-    """Single trees as one of the library's ensembles, which saves, loads and scores like any other."""
-    spark = SparkSession.active()
-    jvm = spark.sparkContext._jvm
-    array = JavaWrapper._new_java_array(
-        [t._java_obj for t in trees], jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
-    )
-    weights = JavaWrapper._new_java_array([weight] * len(trees), jvm.double)
-    uid = f"{kind.__name__}_{uuid.uuid4().hex[-12:]}"
-    return kind(JavaWrapper._new_java_obj(java_name, uid, array, weights, trees[0].numFeatures, *more))
+    return [loss / count for loss in losses[-n:]]
 
 
 def _boost(
@@ -170,25 +104,16 @@ def _boost(
     most, step = tree.pop("maxIter"), tree.pop("stepSize")
     spark = rows.sparkSession
     outputs = 1 if classes == 2 else classes
-    folder = work_dir(spark)
-    way = _LibraryTrees(rows, tree, step) if outputs == 1 else _SharedTrees(rows, outputs, tree, step)
-    state = stored(way.start, folder)
+    way = _SharedTrees(rows, outputs, tree, step)
     trees: list[list[Any]] = []
     losses: list[float] = []
     while len(losses) < most and not stop_at(losses, patience).ended:
         n = min(block, most - len(losses))
-        current = way.dealt(state.withColumn("losses", F.array().cast("array<double>"))).persist()
         for i in range(n):
-            grown = _grow(way, current, len(losses) + i)
-            trees.append(grown)
-            following = way.advance(current, grown).persist()
-            if i:
-                earlier.unpersist()
-            earlier, current = current, following
-        losses += _valid_losses(current, n)
-        state = stored(current.drop("losses"), folder)
-        earlier.unpersist()
-        current.unpersist()
+            trees.append(_grow(way, way.rounds.rows, len(losses) + i))
+            way.rounds.advance(trees[-1], step)
+        losses += _valid_losses(way.rounds, n)
+    way.rounds.close()
     stop = stop_at(losses, patience)
     listed = [(i + 1, i // block + 1, loss, int(i < stop.best)) for i, loss in enumerate(losses[: stop.seen])]
     table = spark.createDataFrame(listed, "round int, block int, valid_loss double, kept int")
@@ -223,7 +148,8 @@ def boost_binary(
     rows = _rows(table, assembler, label, F.coalesce(weight, F.lit(1.0)))
     trees, step, rounds = _boost(rows, 2, patience, block, settings)
     # the library's probability is that of twice the margin
-    model = _joined(GBTClassificationModel, "org.apache.spark.ml.classification.GBTClassificationModel", trees[0], step / 2, 2)
+    weights = [step / 2] * len(trees[0])
+    model = ensemble(GBTClassificationModel, "org.apache.spark.ml.classification.GBTClassificationModel", trees[0], weights, 2)
     return Boosted(Trained(PipelineModel([assembler, model]), list(features)), rounds)
 
 
@@ -254,7 +180,7 @@ def boost_multiclass(
     trees, step, rounds = _boost(rows, len(names), patience, block, {**config, **override})
     stages: list[Transformer] = [assembler]
     for k, grown in enumerate(trees):
-        model = _joined(GBTRegressionModel, "org.apache.spark.ml.regression.GBTRegressionModel", grown, step)
+        model = ensemble(GBTRegressionModel, "org.apache.spark.ml.regression.GBTRegressionModel", grown, [step] * len(grown))
         stages.append(model.setPredictionCol(f"margin_{k}"))
     stages += _softmax_stages(names, len(trees))
     return Boosted(Trained(PipelineModel(stages), list(features)), rounds)

@@ -111,3 +111,29 @@ def test_a_round_takes_as_many_jobs_for_eight_classes_as_for_three(spark):
         boost_multiclass(df, ["x"], maxIter=1, stepSize=0.5, maxDepth=2, minInstancesPerNode=1, subsamplingRate=1.0)
         used.append(max(tracker.getJobIdsForGroup()) - before)
     assert abs(used[1] - used[0]) <= 3
+
+
+def test_of_two_siblings_one_is_summed(packed, monkeypatch):
+    """The other has what is left of its parent; the splits are the same (see above)."""
+    cuts, state = packed
+    real, summed = trees._level_sums, []
+    monkeypatch.setattr(trees, "_level_sums", lambda t, places, *more: summed.append([int(p.max()) + 1 for p in places]) or real(t, places, *more))
+    grown = trees.grow(state, [len(c) for c in cuts], 3, 0, trees.growth(5, {"maxDepth": 3, "minInstancesPerNode": 20}))
+    assert summed[0] == [1, 1, 1] and summed[1] == [1, 1, 1] and all(n <= 2 for n in summed[2])
+    assert all(tree.feature[0] >= 0 for tree in grown)
+
+
+def test_sums_over_many_tasks_are_added_by_tasks(packed, monkeypatch):
+    cuts, state = packed
+    sizes, settings = [len(c) for c in cuts], trees.growth(5, {"maxDepth": 3, "minInstancesPerNode": 20})
+    direct = trees.grow(state, sizes, 3, 0, settings)
+    monkeypatch.setattr(trees, "DIRECT_BYTES", 0)
+    dealt = trees.grow(state, sizes, 3, 0, settings)
+    assert all((a == b).all() for x, y in zip(direct, dealt) for a, b in zip(x, y))
+
+
+def test_bundles_hold_every_feature_once():
+    sizes = [31, 1, 1, 0, 7, 1, 255]
+    groups = trees.bundles(sizes, 64)
+    assert sorted(f for g in groups for f in g) == list(range(7)) and len(groups) < 5
+    assert all(len(g) == 1 or math.prod(sizes[f] + 1 for f in g) <= 64 for g in groups)
