@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any, NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import fixed_values as V
 from logsieve.operators.distribution import auc
+from logsieve.operators.histogram_trees import Rounds, Tree, cut_points, ensemble, gradient, grow_told, growth, library_tree, packed, signs
 from logsieve.operators.metrics import best_threshold_f1, binary_metrics, confusion, threshold_sweep
 from logsieve.operators.reports import ratio
 from logsieve.session import work_dir
@@ -21,6 +22,10 @@ from logsieve.sources.tables import stored
 
 #: Share of the validation error that a round has to gain; the library's own default is ten times as much.
 LEAST_GAIN = 0.001
+#: An error below counts as this much in that share, as in the library.
+LEAST_ERROR = 0.01
+#: Deeper trees are left to the library: nodes are kept in arrays with a place for each possible one.
+MOST_DEPTH = 14
 #: Tree settings with a Spark counterpart. Leaf-count limits and L1/L2 terms have none; depth, minimum rows per
 #: leaf and minimum gain take their place.
 BINARY_CONFIGS: dict[str, dict[str, Any]] = {
@@ -116,11 +121,84 @@ def train_binary(
         featuresCol="features",
         weightCol="weight",
         seed=42,
-        cacheNodeIds=False,  # trees of such depth are walked faster than the nodes of all rows are kept
+        cacheNodeIds=False,
         checkpointInterval=10,
         **settings,
     )
-    return Trained(Pipeline(stages=[_assembler(features), trees]).fit(weighted), list(features))
+    return Trained(PipelineModel([_assembler(features), _boosted(trees, _assembler(features).transform(weighted))]), list(features))
+
+
+def rounds_kept(errors: Sequence[float], tolerance: float) -> tuple[int, bool]:
+    """The library's rule: how many rounds are kept, and whether boosting ends, after the validation errors of all rounds so far."""
+    kept = 1
+    for i, error in enumerate(errors[1:], 2):
+        best = errors[kept - 1]
+        if best - error < tolerance * max(error, LEAST_ERROR):
+            return kept, True
+        if error < best:
+            kept = i
+    return kept, False
+
+
+def _sound(rows: DataFrame) -> DataFrame:
+    """``rows`` as the library takes them: labels 0 and 1, weights from 0, numbers as features."""
+    number = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.col("weight") >= 0) & (F.col("weight") < float("inf"))
+    finite = F.forall(vector_to_array("features"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    faults = [
+        (~F.coalesce(F.col("label").isin(0.0, 1.0), F.lit(False)), "labels must be 0 or 1"),
+        (~F.coalesce(number, F.lit(False)), "weights must be numbers from 0"),
+        (~F.coalesce(finite, F.lit(False)), "features must not be NaN or infinite"),
+    ]
+    checked = F.col("label")
+    for wrong, message in faults:
+        checked = F.when(wrong, F.raise_error(F.lit(message)).cast("double")).otherwise(checked)
+    return rows.withColumn("label", checked.cast("int"))
+
+
+def _boosted(settings: GBTClassifier, rows: DataFrame) -> GBTClassificationModel:
+    """The model that the library's classifier of these settings describes, its trees grown from sums by bin over packed rows.
+
+    Losses, residuals, weights of the trees, samples, features drawn and early stopping are the library's rules; cut points are
+    taken of all train rows. Trees with a least share of the weight in a leaf, very deep ones and those of many bins stay with the library.
+    """
+    if settings.getMinWeightFractionPerNode() > 0 or settings.getMaxDepth() > MOST_DEPTH or settings.getMaxBins() > 256:
+        return settings.fit(rows)
+    spark, validates = rows.sparkSession, settings.hasParam("validationIndicatorCol") and settings.isSet("validationIndicatorCol")
+    kept = rows.select("features", "label", "weight", F.col("is_valid") if validates else F.lit(False).alias("is_valid"))
+    cuts = cut_points(_sound(kept), settings.getMaxBins())
+    strategy = settings.getFeatureSubsetStrategy()
+    named = {
+        "maxDepth": settings.getMaxDepth(), "minInstancesPerNode": settings.getMinInstancesPerNode(), "minInfoGain": settings.getMinInfoGain(),
+        "subsamplingRate": settings.getSubsamplingRate(), "featureSubsetStrategy": strategy, "maxBins": settings.getMaxBins(),
+    }
+    grown_by, sizes, seed = growth(len(cuts), named), [len(c) for c in cuts], settings.getSeed()
+    rounds = Rounds(packed(_sound(kept), cuts, 1), len(cuts), gradient)
+    trees: list[Tree] = []
+    errors: list[float] = []
+
+    def ended(loss: float, weight: float) -> bool:
+        if validates:
+            if not weight > 0:
+                raise ValueError("early stopping needs rows of split 'valid'")
+            errors.append(loss / weight)
+        return validates and rounds_kept(errors, settings.getValidationTol())[1]
+
+    for m in range(settings.getMaxIter()):
+        grown, told = grow_told(rounds.rows, sizes, 1, seed + m, grown_by, gradient if m else signs)
+        if m and ended(*told):
+            break  # told by the pass for the next tree, which is not used
+        trees += grown
+        rounds.advance(grown, settings.getStepSize() if m else 1.0)
+    else:
+        losses, weight, _ = rounds.losses()
+        ended(losses[-1], weight)
+    rounds.close()
+    if validates:
+        trees = trees[: rounds_kept(errors, settings.getValidationTol())[0]]
+    made = [library_tree(spark, tree, cuts) for tree in trees]
+    weights = [1.0] + [settings.getStepSize()] * (len(made) - 1)
+    model = ensemble(GBTClassificationModel, "org.apache.spark.ml.classification.GBTClassificationModel", made, weights, 2)
+    return settings._copyValues(model)
 
 
 def train_multiclass(

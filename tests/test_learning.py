@@ -95,3 +95,41 @@ def test_reports_and_tables(spark, table, tmp_path):
     assert artifacts.read_json_document(spark, str(tmp_path / "doc")) == {"ü": [1]}
     write_table(table, str(tmp_path / "t"), ["attack_type"])
     assert read_table(spark, str(tmp_path / "t"), ["x", "attack_type"]).filter("attack_type = 'scan'").count() == 171
+
+
+def test_packed_rows_give_the_librarys_trees(spark, monkeypatch):
+    """Without samples, draws and ties the model is that of the library, its early stopping included, in fewer jobs."""
+    tracker = spark.sparkContext.statusTracker()
+    noise = (F.hash("row_id") % 10 == 0).cast("int")
+    df = spark.range(3000).select(
+        F.col("id").alias("row_id"), F.pmod(F.hash("id", F.lit(1)), F.lit(7)).cast("double").alias("x"), F.pmod(F.hash("id", F.lit(2)), F.lit(5)).cast("double").alias("y")
+    )
+    df = split_three(df.withColumn("is_attack", ((F.col("x") * 3 + F.col("y") * F.col("y") > 15).cast("int") + noise) % 2)).cache()
+    df.count()
+    settings = {"maxIter": 40, "maxDepth": 3, "minInstancesPerNode": 5, "stepSize": 0.3, "weight": "sqrt"}
+    jobs, models = [], []
+    for packs in (True, False):
+        if not packs:
+            monkeypatch.setattr(learning, "_boosted", lambda estimator, rows: estimator.fit(rows))
+        before = max(tracker.getJobIdsForGroup())
+        models.append(learning.train_binary(df, FEATURES, settings))
+        jobs.append(max(tracker.getJobIdsForGroup()) - before)
+    ours, library = (learning.tree_stage(m) for m in models)
+    assert 1 < ours.getNumTrees == library.getNumTrees < 40 and ours.treeWeights == pytest.approx(library.treeWeights)
+    scores = [{r.row_id: r.score for r in learning.score_binary(m, df).collect()} for m in models]
+    assert scores[0] == pytest.approx(scores[1])
+    assert ours.featureImportances.toArray().tolist() == pytest.approx(library.featureImportances.toArray().tolist())
+    assert jobs[0] < jobs[1]
+
+
+def test_the_librarys_stopping_rule():
+    assert learning.rounds_kept([0.5], 0.001) == (1, False)
+    assert learning.rounds_kept([0.5, 0.4, 0.3999], 0.001) == (2, True)
+    assert learning.rounds_kept([0.5, 0.6], 0.001) == (1, True)
+    assert learning.rounds_kept([0.005, 0.00498, 0.00497], 0.0015) == (2, True)
+
+
+def test_rows_the_library_refuses(table):
+    empty = table.withColumn("x", F.when(F.col("row_id") > 5, F.col("x")))
+    with pytest.raises(Exception, match="NaN"):
+        learning.train_binary(empty, FEATURES, maxIter=1, maxDepth=1)
