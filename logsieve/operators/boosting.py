@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.operators.histogram_trees import Rounds, Tree, cut_points, ensemble, grow, growth, library_tree, packed
-from logsieve.operators.learning import BINARY_CONFIGS, Trained, multiclass_weights, weight_column
+from logsieve.operators.learning import BINARY_CONFIGS, Trained, multiclass_weights, sound, weight_column
 
 #: Rounds without a lower validation loss after which boosting ends.
 PATIENCE = 50
@@ -104,6 +104,8 @@ def _boost(
     most, step = tree.pop("maxIter"), tree.pop("stepSize")
     spark = rows.sparkSession
     outputs = 1 if classes == 2 else classes
+    if outputs == 1:  # two classes take what the library's trees take; for more, missing values lie above every threshold
+        rows = sound(rows, F.col("is_valid"))
     way = _SharedTrees(rows, outputs, tree, step)
     trees: list[list[Any]] = []
     losses: list[float] = []

@@ -140,8 +140,8 @@ def rounds_kept(errors: Sequence[float], tolerance: float) -> tuple[int, bool]:
     return kept, False
 
 
-def _sound(rows: DataFrame) -> DataFrame:
-    """``rows`` as the library takes them: labels 0 and 1, weights from 0, numbers as features."""
+def sound(rows: DataFrame, *unseen: Column) -> DataFrame:
+    """``rows`` as the library takes them: labels 0 and 1, weights from 0, numbers as features. Others fail, but for the ``unseen``."""
     number = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.col("weight") >= 0) & (F.col("weight") < float("inf"))
     finite = F.forall(vector_to_array("features"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     faults = [
@@ -151,6 +151,8 @@ def _sound(rows: DataFrame) -> DataFrame:
     ]
     checked = F.col("label")
     for wrong, message in faults:
+        for some in unseen:
+            wrong &= ~some
         checked = F.when(wrong, F.raise_error(F.lit(message)).cast("double")).otherwise(checked)
     return rows.withColumn("label", checked.cast("int"))
 
@@ -165,14 +167,14 @@ def _boosted(settings: GBTClassifier, rows: DataFrame) -> GBTClassificationModel
         return settings.fit(rows)
     spark, validates = rows.sparkSession, settings.hasParam("validationIndicatorCol") and settings.isSet("validationIndicatorCol")
     kept = rows.select("features", "label", "weight", F.col("is_valid") if validates else F.lit(False).alias("is_valid"))
-    cuts = cut_points(_sound(kept), settings.getMaxBins())
+    cuts = cut_points(sound(kept), settings.getMaxBins())
     strategy = settings.getFeatureSubsetStrategy()
     named = {
         "maxDepth": settings.getMaxDepth(), "minInstancesPerNode": settings.getMinInstancesPerNode(), "minInfoGain": settings.getMinInfoGain(),
         "subsamplingRate": settings.getSubsamplingRate(), "featureSubsetStrategy": strategy, "maxBins": settings.getMaxBins(),
     }
     grown_by, sizes, seed = growth(len(cuts), named), [len(c) for c in cuts], settings.getSeed()
-    rounds = Rounds(packed(_sound(kept), cuts, 1), len(cuts), gradient)
+    rounds = Rounds(packed(sound(kept), cuts, 1), len(cuts), gradient)
     trees: list[Tree] = []
     errors: list[float] = []
 

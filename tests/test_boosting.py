@@ -138,3 +138,12 @@ def test_split_counts_are_those_of_the_trees(spark, multi, tmp_path):
         assert counts[name].splits == text.count(f"If (feature {i} ")
     assert (counts["unused"].splits, counts["unused"].gain) == (0, 0.0)
     assert sum(c.splits for c in counts.values()) == sum(r.feature is None for r in rows) - len(trees)
+
+
+def test_two_classes_refuse_train_rows_with_gaps(table):
+    """As the library's trees do; a gap in a validation row is none of their business."""
+    gap = table.withColumn("x", F.when(~((F.col("split") == "train") & (F.col("row_id") < 9)), F.col("x")))
+    with pytest.raises(Exception, match="NaN"):
+        boost_binary(gap, FEATURES, {**SMALL, "maxIter": 1})
+    gap = table.withColumn("x", F.when(~((F.col("split") == "valid") & (F.col("row_id") < 99)), F.col("x")))
+    assert boost_binary(gap, FEATURES, {**SMALL, "maxIter": 1}).rounds.count() == 1
